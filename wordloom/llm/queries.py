@@ -6,9 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.encode import encode_corpus
 from wordloom.llm.mixing import Mix, mix_sources
+from wordloom.llm.visual_form import same_looking_pairs, with_form
 from wordloom.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_looking_pairs(table(spark, sf_dir, "vocab_words"))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "vocab_words").select("word_id", "model_id", "word")
+    return with_form(words)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -26,7 +36,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
