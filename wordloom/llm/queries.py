@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.encode import encode_corpus
+from wordloom.llm.encoding_repair import repair_words
 from wordloom.llm.mixing import Mix, mix_sources
 from wordloom.llm.visual_form import same_looking_pairs, with_form
 from wordloom.runtime import table
@@ -19,6 +20,14 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_form(words)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_words(table(spark, sf_dir, "vocab_words")).select("word_id")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_words(table(spark, sf_dir, "vocab_words"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -36,7 +45,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
