@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.encode import encode_corpus
 from wordloom.llm.encoding_repair import repair_words
+from wordloom.llm.language import mislabelled_or_mixed, passages
 from wordloom.llm.mixing import Mix, mix_sources
 from wordloom.llm.visual_form import same_looking_pairs, with_form
 from wordloom.runtime import table
@@ -44,8 +45,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled_or_mixed(table(spark, sf_dir, "documents"))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 
 
 def oracle_sql() -> dict[str, str]:
