@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wordloom.llm.encode import encode_corpus
 from wordloom.llm.encoding_repair import repair_words
 from wordloom.llm.language import mislabelled_or_mixed, passages
 from wordloom.llm.mixing import Mix, mix_sources
+from wordloom.llm.neighbours import nearest_pairs, nearest_rows
 from wordloom.llm.visual_form import same_looking_pairs, with_form
 from wordloom.runtime import table
 
@@ -29,6 +31,18 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_words(table(spark, sf_dir, "vocab_words"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_pairs(table(spark, sf_dir, "word_vectors"))
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "word_vectors")
+    near = nearest_rows(rows)
+    words = rows.select("row_id", "word")
+    other = rows.select(F.col("row_id").alias("other_id"), F.col("word").alias("other_word"))
+    return near.join(words, "row_id").join(other, "other_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -54,7 +68,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 
 
 def oracle_sql() -> dict[str, str]:
