@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm.clusters import Groups, all_vectors, similarity_groups
 from wordloom.llm.encode import encode_corpus
 from wordloom.llm.encoding_repair import repair_words
 from wordloom.llm.language import mislabelled_or_mixed, passages
@@ -23,6 +24,19 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_form(words)
 
 
+def _groups(spark: SparkSession, sf_dir: str) -> Groups:
+    names = ("word_vectors", "pq_codes", "pq_books", "models")
+    return similarity_groups(all_vectors(*(table(spark, sf_dir, n) for n in names)))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir).members.where("row_id <> head_id").select("head_id", "row_id")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir).groups
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_words(table(spark, sf_dir, "vocab_words")).select("word_id")
 
@@ -68,7 +82,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 
 
 def oracle_sql() -> dict[str, str]:
