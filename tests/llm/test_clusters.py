@@ -66,10 +66,18 @@ def test_divided_models(spark, monkeypatch):
 
 def test_criterion_chooses_components():
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(size=(300, 5)) + 9 * c for c in np.eye(5)[:4]]).astype(np.float32)
-    model = fit_mixture(x, len(x))
-    _, part, own, density = route_mixture(model, x)
-    assert len(set(part[own])) == 4 and np.isfinite(density).all()
+
+    def parts(x):
+        model = fit_mixture(x.astype(np.float32), len(x))
+        _, part, own, density = route_mixture(model, x.astype(np.float32))
+        assert np.isfinite(density).all()
+        return part[own]
+
+    far = np.concatenate([rng.normal(size=(300, 8)) + 12 * c for c in np.eye(8)[:4]])
+    found = parts(far)
+    assert len(set(found)) >= 4
+    assert all(len(set(found[300 * a : 300 * a + 300]) & set(found[300 * b : 300 * b + 300])) == 0 for a in range(4) for b in range(a))
+    assert len(set(parts(rng.normal(size=(600, 8)) + 3))) == 1
 
 
 def test_codes(spark):
