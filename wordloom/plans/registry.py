@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from wordloom.plans import line_queries
+    from wordloom.plans import line_queries, model_queries
 
-    return [line_queries]
+    return [line_queries, model_queries]
 
 
 def queries() -> dict[str, Query]:
