@@ -22,9 +22,9 @@ LIMIT = 10
 TRIPLE = ("1", "2", "3")
 
 
-def mark(vector: Column) -> Column:
+def mark(vector: Column, digits: int = 5) -> Column:
     weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
-    return F.round(F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x), 5) + 0.0
+    return F.round(F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x), digits) + 0.0
 
 
 def rounded(value: Column) -> Column:
@@ -388,20 +388,20 @@ def oov_pooling(spark, d):
 
 _LOOKUP = f"""WITH {_WORDS}, {_UNKNOWN}, {_pooled('unknown', _FT_BUCKET)},
 found AS (SELECT asked.word, embedding::DOUBLE[] AS e, coalesce(norm, 1)::DOUBLE AS norm FROM asked JOIN words ON asked.word = words.word
-  UNION ALL SELECT word, list_transform(total, lambda x: x / sqrt(list_dot_product(total, total))), sqrt(list_dot_product(total, total)) FROM total)"""
+  UNION ALL SELECT word, list_transform(total, lambda x: (x / sqrt(list_dot_product(total, total)))::FLOAT::DOUBLE), sqrt(list_dot_product(total, total)) FROM total)"""
 
 
 @query(_LOOKUP + " SELECT word, round(norm, 5) AS norm, round(list_sum(list_transform(e, lambda x, i: x * i)), 4) + 0.0 AS mark FROM found")
 def lookup_with_norm(spark, d):
     found = lookup.lookup_distinct(asked_words(spark, d), corpus_model(spark, d))
-    return found.select("word", F.round("norm", 5).alias("norm"), (F.round(mark(F.col("embedding")), 4) + 0.0).alias("mark"))
+    return found.select("word", F.round("norm", 5).alias("norm"), mark(F.col("embedding"), 4).alias("mark"))
 
 
 @query(_LOOKUP + " SELECT word_id AS pos, v.word, found.word IS NOT NULL AS found, coalesce(round(list_sum(list_transform(e, lambda x, i: x * i)), 4), 0.0) + 0.0 AS mark FROM vocab_words v LEFT JOIN found ON v.word = found.word")
 def lookup_batch(spark, d):
     asked = table(spark, d, "vocab_words").select(F.col("word_id").alias("pos"), "word")
     found = lookup.lookup_batch(asked, corpus_model(spark, d))
-    return found.select("pos", "word", "found", (F.round(mark(F.col("embedding")), 4) + 0.0).alias("mark"))
+    return found.select("pos", "word", "found", mark(F.col("embedding"), 4).alias("mark"))
 
 
 @query(f"""WITH {_WORDS}, {_UNKNOWN}, {_grams('unknown')}, h AS (SELECT word, {_FT_BUCKET} + (SELECT count(*) FROM words) AS idx FROM grams),
@@ -436,31 +436,33 @@ def explicit_lookup(spark, d):
 _COMPOSE = f"WITH {_WORDS}, {_pooled('words', _FT_BUCKET)}"
 
 
-@query(_COMPOSE + f" SELECT words.word, round(list_sum(list_transform(CASE WHEN total IS NULL THEN embedding::DOUBLE[] ELSE list_transform(list_zip(embedding::DOUBLE[], total), lambda t: (t[1] + t[2]) / (hits + 1)) END, lambda x, i: x * i)), 4) + 0.0 AS mark FROM words LEFT JOIN total ON words.word = total.word")
+@query(_COMPOSE + f" SELECT words.word, round(list_sum(list_transform(CASE WHEN total IS NULL THEN embedding::DOUBLE[] ELSE list_transform(list_zip(embedding::DOUBLE[], total), lambda t: ((t[1] + t[2]) * (1 / (hits + 1)::DOUBLE))::FLOAT::DOUBLE) END, lambda x, i: x * i)), 4) + 0.0 AS mark FROM words LEFT JOIN total ON words.word = total.word")
 def fasttext_compose(spark, d):
-    return subwords.compose_words(corpus_model(spark, d)).select("word", (F.round(mark(F.col("embedding")), 4) + 0.0).alias("mark"))
+    return subwords.compose_words(corpus_model(spark, d)).select("word", mark(F.col("embedding"), 4).alias("mark"))
 
 
-@query(_COMPOSE + f" SELECT words.word, round(list_sum(list_transform(CASE WHEN total IS NULL THEN list_transform(embedding::DOUBLE[], lambda x: x * coalesce(norm, 1)) ELSE list_transform(list_zip(embedding::DOUBLE[], total), lambda t: t[1] * coalesce(norm, 1) * (hits + 1) - t[2]) END, lambda x, i: x * i)), 1) + 0.0 AS mark FROM words LEFT JOIN total ON words.word = total.word")
+@query(_COMPOSE + f" SELECT words.word, round(list_sum(list_transform(CASE WHEN total IS NULL THEN list_transform(embedding::DOUBLE[], lambda x: (x * coalesce(norm, 1))::FLOAT::DOUBLE) ELSE list_transform(list_zip(embedding::DOUBLE[], total), lambda t: (t[1] * coalesce(norm, 1) * (hits + 1) - t[2])::FLOAT::DOUBLE) END, lambda x, i: x * i)), 3) + 0.0 AS mark FROM words LEFT JOIN total ON words.word = total.word")
 def fasttext_decompose(spark, d):
-    return subwords.decompose_words(corpus_model(spark, d)).select("word", (F.round(mark(F.col("embedding")), 1) + 0.0).alias("mark"))
+    return subwords.decompose_words(corpus_model(spark, d)).select("word", mark(F.col("embedding"), 3).alias("mark"))
 
 
 # Quantization
 
 
-@query(f"""
-WITH c AS (SELECT row_id, quantizer_id, norm, codes, unnest(codes) AS code, generate_subscripts(codes, 1) - 1 AS sub FROM pq_codes JOIN models USING (model_id) WHERE codes IS NOT NULL),
-p AS (SELECT c.row_id, any_value(norm) AS norm, count(vec) AS n, max(len(codes)) AS codes, list(vec ORDER BY c.sub) AS parts
+@query("""
+WITH size AS (SELECT quantizer_id, count(DISTINCT sub) AS subs FROM pq_books GROUP BY quantizer_id),
+c AS (SELECT row_id, quantizer_id, norm, len(codes) AS n, unnest(codes) AS code, generate_subscripts(codes, 1) - 1 AS sub FROM pq_codes JOIN models USING (model_id) WHERE codes IS NOT NULL),
+p AS (SELECT c.row_id, any_value(c.quantizer_id) AS quantizer_id, any_value(norm) AS norm, count(vec) AS known, any_value(n) AS n, list(vec ORDER BY c.sub) AS parts
   FROM c LEFT JOIN pq_books b ON b.quantizer_id = c.quantizer_id AND b.sub = c.sub AND b.centroid = c.code GROUP BY c.row_id)
-SELECT row_id, round(list_sum(list_transform(flatten(parts), lambda x, i: (x * coalesce(norm, 1)::FLOAT)::FLOAT::DOUBLE * i)), 4) + 0.0 AS mark FROM p WHERE n = 16 AND codes = 16
+SELECT row_id, round(list_sum(list_transform(flatten(parts), lambda x, i: (x * coalesce(norm, 1::FLOAT))::FLOAT::DOUBLE * i)), 4) + 0.0 AS mark
+FROM p JOIN size USING (quantizer_id) WHERE known = n AND n = subs
 """)
 def pq_decode(spark, d):
     names = ("pq_codes", "pq_books", "models")
     codes, books, models = (table(spark, d, n) for n in names)
     rows = codes.join(models.select("model_id", "quantizer_id"), "model_id")
     found = quantize.decode_rows(rows, books).where("embedding is not null")
-    return found.select("row_id", (F.round(mark(F.col("embedding")), 4) + 0.0).alias("mark"))
+    return found.select("row_id", mark(F.col("embedding"), 4).alias("mark"))
 
 
 @query("""
