@@ -27,7 +27,14 @@ def p1_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).clean
 
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p1_words": p1_words}
+def p1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the clean lines, a row a component."""
+    clean = _parsed(spark, sf_dir).clean
+    exploded = clean.select("line_id", "word", F.posexplode("embedding").alias("place", "value"))
+    return exploded.select("line_id", "word", "place", F.col("value").cast("double").alias("value"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p1_words": p1_words, "p1_components": p1_components}
 
 _CUT = r"""
 WITH known AS (
@@ -55,6 +62,16 @@ WITH known AS (
 
 SQL = {
     "p1_found": _CUT + "SELECT line_id FROM judged WHERE NOT coalesce(good, false)",
-    "p1_words": _CUT
-    + "SELECT line_id, model_id, line_no, cells[1] AS word, list_transform(cells[2:], lambda c: c::FLOAT) AS embedding FROM judged WHERE good",
+    "p1_reasons": _CUT
+    + """SELECT line_id, array_to_string(list_sort(list_filter([
+      CASE WHEN whole IS NULL THEN 'bytes are not valid UTF-8' END,
+      CASE WHEN whole IS NOT NULL AND NOT quoting THEN 'broken quoting' END,
+      CASE WHEN whole IS NOT NULL AND quoting AND len(cells) <> dims + 1 THEN 'wrong number of fields' END,
+      CASE WHEN whole IS NOT NULL AND quoting AND cells[1] = '' THEN 'word is empty' END,
+      CASE WHEN whole IS NOT NULL AND quoting AND len(list_filter(cells[2:], lambda c: NOT regexp_full_match(c, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'))) > 0 THEN 'component is not a number' END,
+      CASE WHEN whole IS NOT NULL AND quoting AND len(list_filter(cells[2:], lambda c: regexp_full_match(c, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+        AND abs(coalesce(TRY_CAST(c AS DOUBLE), 'inf'::DOUBLE)) >= 3.4028235677973366e38)) > 0 THEN 'component is not finite as FLOAT' END
+    ], lambda r: r IS NOT NULL)), '; ') AS reasons FROM judged WHERE NOT coalesce(good, false)""",
+    "p1_components": _CUT
+    + "SELECT line_id, cells[1] AS word, (i - 2)::INT AS place, cells[i]::FLOAT::DOUBLE AS value FROM judged, range(2, 1000) t(i) WHERE good AND i <= len(cells)",
 }

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from wordloom.plans import line_queries, model_queries
+    from wordloom.plans import file_queries, line_queries, model_queries
 
-    return [line_queries, model_queries]
+    return [line_queries, model_queries, file_queries]
 
 
 def queries() -> dict[str, Query]:

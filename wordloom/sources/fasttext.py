@@ -15,7 +15,7 @@ from wordloom.errors import FormatError, MatrixShapeError, ReadError, WriteError
 from wordloom.functions.indexers import FastTextIndexer
 from wordloom.model import EmbeddingModel, Subwords
 from wordloom.operators.subwords import compose_words, decompose_words, normalized_words
-from wordloom.sources.files import SLICE, OrderedFile, exactly, float_bytes, matrix_rows
+from wordloom.sources.files import SLICE, OrderedFile, exactly, float_bytes, mapped, matrix_rows
 
 # The mark and the latest version of the format, and its names of numbers.
 MAGIC, VERSION = 793712314, 12
@@ -41,15 +41,19 @@ def read_fasttext(spark: SparkSession, path: str, lossy: bool = False) -> Embedd
         if pruned >= 0:
             raise FormatError("pruned vocabularies are not supported")
         slices, first, start = [], 0, file.tell()
-        for row in range(size):
-            if file.tell() - start >= SLICE:
-                slices.append((first, row - first, start))
-                first, start = row, file.tell()
-            while (byte := file.read(1)) != b"\0":
-                if not byte:
-                    raise ReadError("the file ends within a word")
-            if exactly(file, 9, "the vocabulary")[8]:
-                raise FormatError("an entry is no word")
+        place = start
+        with mapped(file) as data:
+            for row in range(size):
+                if place - start >= SLICE:
+                    slices.append((first, row - first, start))
+                    first, start = row, place
+                end = data.find(b"\0", place)
+                if end < 0 or end + 10 > len(data):
+                    raise ReadError("the file ends within an entry")
+                if data[end + 9]:
+                    raise FormatError("an entry is no word")
+                place = end + 10
+        file.seek(place)
         if size > first:
             slices.append((first, size - first, start))
         if exactly(file, 1, "the head of the matrix") == b"\1":
@@ -63,14 +67,11 @@ def read_fasttext(spark: SparkSession, path: str, lossy: bool = False) -> Embedd
         for batch in batches:
             for low, count, place in zip(*(c.to_pylist() for c in batch.columns)):
                 words = []
-                with open(path, "rb", buffering=1 << 20) as own:
-                    own.seek(place)
+                with open(path, "rb") as own, mapped(own) as data:
                     for _ in range(count):
-                        token = bytearray()
-                        while (char := own.read(1)) != b"\0":
-                            token += char
-                        own.read(9)
-                        words.append(bytes(token).decode("utf-8", "replace" if lossy else "strict"))
+                        end = data.find(b"\0", place)
+                        words.append(data[place:end].decode("utf-8", "replace" if lossy else "strict"))
+                        place = end + 10
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.arange(low, low + count))], ["word", "of"])
 
     table = spark.createDataFrame(slices, "first long, rows long, start long").repartition(max(1, len(slices)), "first")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wordloom.errors import FormatError, ReadError
 from wordloom.model import EmbeddingModel
 from wordloom.operators.subwords import normalized_words
-from wordloom.sources.files import SLICE, OrderedFile, exactly, float_bytes, first_line
+from wordloom.sources.files import SLICE, OrderedFile, first_line, float_bytes, mapped
 from wordloom.sources.text import WORDS, written_words
 
 
@@ -20,21 +20,17 @@ def _slices(path: str, count: int, dims: int, begin: int) -> list[tuple[int, int
     """First row, rows and place of stretches of the file.  Rows differ in length, so their
     starts are found in one reading; only the starts of stretches are kept."""
     found, first, start = [], 0, begin
-    width = 4 * dims
-    with open(path, "rb", buffering=1 << 20) as file:
-        file.seek(begin)
+    step = 4 * dims + 1
+    with open(path, "rb") as file, mapped(file) as data:
+        place = begin
         for row in range(count):
-            place = file.tell()
             if place - start >= SLICE:
                 found.append((first, row - first, start))
                 first, start = row, place
-            while True:
-                byte = file.read(1)
-                if not byte:
-                    raise ReadError("the file ends within a word")
-                if byte == b" ":
-                    break
-            exactly(file, width, "a vector")
+            space = data.find(b" ", place)
+            if space < 0 or space + step > len(data):
+                raise ReadError("the file ends within a row")
+            place = space + step
     if count > first:
         found.append((first, count - first, start))
     return found
@@ -54,16 +50,14 @@ def read_word2vec_binary(spark: SparkSession, path: str, lossy: bool = False, no
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, start in zip(*(c.to_pylist() for c in batch.columns)):
-                words, data = [], []
-                with open(path, "rb", buffering=1 << 20) as file:
-                    file.seek(start)
+                words, vectors = [], []
+                with open(path, "rb") as file, mapped(file) as data:
                     for _ in range(rows):
-                        token = bytearray()
-                        while (byte := file.read(1)) != b" ":
-                            token += byte
-                        words.append(bytes(token).decode("utf-8", "replace" if lossy else "strict").strip())
-                        data.append(file.read(width))
-                values = np.frombuffer(b"".join(data), "<f4")
+                        space = data.find(b" ", start)
+                        words.append(data[start:space].decode("utf-8", "replace" if lossy else "strict").strip())
+                        start = space + 1 + width
+                        vectors.append(data[space + 1 : start])
+                values = np.frombuffer(b"".join(vectors), "<f4")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows + 1, dtype=np.int32) * dims), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words), pa.array(np.arange(first, first + rows)), lists, pa.nulls(rows, pa.float32())],
