@@ -85,5 +85,31 @@ def queries() -> dict:
     return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 
 
+_CODED = """
+size AS (SELECT quantizer_id, count(DISTINCT sub) AS subs FROM pq_books GROUP BY quantizer_id),
+c AS (SELECT row_id, model_id, quantizer_id, norm, len(codes) AS n, unnest(codes) AS code, generate_subscripts(codes, 1) - 1 AS sub
+  FROM pq_codes JOIN models USING (model_id) WHERE codes IS NOT NULL),
+p AS (SELECT c.row_id, any_value(c.model_id) AS model_id, any_value(c.quantizer_id) AS quantizer_id, any_value(norm) AS norm, count(vec) AS known, any_value(n) AS n, list(vec ORDER BY c.sub) AS parts
+  FROM c LEFT JOIN pq_books b ON b.quantizer_id = c.quantizer_id AND b.sub = c.sub AND b.centroid = c.code GROUP BY c.row_id),
+coded AS (SELECT row_id, model_id, list_transform(flatten(parts), lambda x: (x * coalesce(norm, 1::FLOAT))::FLOAT) AS embedding FROM p JOIN size USING (quantizer_id) WHERE known = n AND n = subs)
+"""
+
+_UNIT = """u AS (SELECT row_id, model_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM {source}
+  WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0)"""
+
+#: Exact results; the operators are exact in models of one partition, as all are at small scales.
+SQL = {
+    "p3_found": f"""WITH {_CODED}, every AS (SELECT row_id, model_id, embedding FROM word_vectors UNION ALL SELECT * FROM coded), {_UNIT.format(source="every")},
+pairs AS (SELECT a.model_id, a.row_id AS a, b.row_id AS b FROM u a JOIN u b USING (model_id) WHERE a.row_id = b.row_id OR list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.70),
+sets AS (SELECT model_id, a, list(b ORDER BY b) AS s FROM pairs GROUP BY model_id, a),
+whole AS (SELECT s FROM sets GROUP BY model_id, s HAVING count(*) = len(s) AND len(s) > 1)
+SELECT s[1] AS head_id, unnest(s[2:]) AS row_id FROM whole""",
+    "p5_found": f"""WITH {_UNIT.format(source="word_vectors")},
+s AS (SELECT a.row_id AS a, b.row_id AS b, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 6) AS cosine FROM u a JOIN u b ON a.model_id = b.model_id AND a.row_id <> b.row_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM s)
+SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM r WHERE place <= 5""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
