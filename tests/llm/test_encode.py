@@ -45,6 +45,20 @@ def test_frame(spark, reference):
     assert encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_very_long_texts(spark, reference, monkeypatch):
+    from wordloom.llm import points
+
+    monkeypatch.setattr(points, "PIECE_BYTES", 64)
+    rnd = random.Random(3)
+    words = ["don't", "'re", "x,", "  ", "\n", "été", "日本語。", "a.b", "1st", "!?"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 200))) for _ in range(60)] + ["", None, "z" * 999]
+    encode = encoder(TOKENIZER)
+    from wordloom.llm.encode import _encoded
+
+    got = [ids[a:b].tolist() for _, _, ids, bounds in _encoded(encode, pa.array(texts)) for a, b in zip(bounds, bounds[1:])]
+    assert got == reference(texts)
+
+
 def test_round_trip_of_points():
     texts = pa.array(["a", "", None, "é日👍", "\x00"])
     points, _, _, bounds = code_points(texts)

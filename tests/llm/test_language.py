@@ -40,6 +40,24 @@ def test_passages(documents):
     assert whole[rows[1].begin : rows[1].end].startswith("Der motor") and rows[0].confidence > 0.8
 
 
+def test_very_long_texts(documents, monkeypatch):
+    import pyarrow as pa
+
+    from wordloom.llm import points
+    from wordloom.llm.language import BORDER, find_passages, score_sentences
+
+    classifier = fit(documents)
+    whole = " ".join([text("en", 1)] * 9) + "\n" + " ".join([text("de", 2)] * 9)
+
+    def found():
+        parts = [find_passages(score_sentences(classifier, t, s)) for _, t, s in points.chunks(pa.array([whole, None]), BORDER)]
+        return [(classifier.languages[x], b, e, n) for p in parts for x, b, e, n in zip(p.language, p.begin, p.end, p.sentences)]
+
+    once = found()
+    monkeypatch.setattr(points, "PIECE_BYTES", 128)
+    assert found() == once and [x[0] for x in once] == ["en", "de"] and once[1][2] == len(whole)
+
+
 def test_labels_and_empty(spark, documents):
     frame = spark.createDataFrame([(x,) for x in ["en", "EN", "en-US", "eng", "ger", "zh-CN", "n/a", "it", " ", None, "english"]], "l string")
     assert [r[0] for r in frame.select(language_of_label(frame.l)).collect()] == ["en"] * 4 + ["de", "zh"] + [None] * 5

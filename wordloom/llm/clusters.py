@@ -32,7 +32,7 @@ TARGET = 4096
 DIRECTIONS, COMPONENTS = 16, (1, 2, 4, 8, 16, 32)
 #: Share of a covariance that is shrunk to a sphere, and share of the responsibility that the
 #: components of a row hold.
-SHRINK, MASS = 0.1, 0.9999
+SHRINK, MASS = 0.1, 0.999999
 STEPS = 30
 #: Typical rows given of a group.
 TYPICAL = 3
@@ -124,7 +124,6 @@ def route_mixture(model: bytes, vectors: np.ndarray) -> tuple[np.ndarray, np.nda
     order = np.argsort(-share, axis=1, kind="stable")
     held = np.take_along_axis(share, order, 1).cumsum(1)
     take = np.concatenate([np.ones((len(x), 1), bool), held[:, :-1] < MASS], axis=1)
-    take[:, :2] = True  # the second best as well, near a border
     row, place = np.nonzero(take)
     return row, order[row, place], place == 0, each[row]
 

@@ -6,14 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
-from wordloom.llm.bpe import encoder
-from wordloom.llm.points import pieces
+from wordloom.llm.bpe import BytePairEncoder, encoder
+from wordloom.llm.points import chunks
 
 #: Place of the tokenizer file, the same on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
+#: After a letter that no letter and no white space follows a word always begins.
+BORDER = regex.compile(r"\p{L}(?=[^\s\p{L}])")
+
+
+def _encoded(own: BytePairEncoder, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First text, texts, their ids one after the other and the texts' bounds, slice by slice; of
+    a very long text the parts are encoded apart."""
+    for first, part, starts in chunks(text, BORDER):
+        if len(starts) > 1 and starts[1] > 0:
+            found = [own.encode(part.slice(k, 1))[0] for k in range(len(part))]
+            ids = np.concatenate(found)
+            yield first, 1, ids, np.array([0, len(ids)])
+        else:
+            ids, bounds = own.encode(part)
+            yield first, len(part), ids, bounds
+
 
 def encode_corpus(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id and ids (array of int, without special tokens) of every document.
@@ -26,12 +43,9 @@ def encode_corpus(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            at = 0
-            for text in pieces(batch.column(1)):
-                ids, bounds = own.encode(text)
+            for first, count, ids, bounds in _encoded(own, batch.column(1)):
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(text)), lists], ["doc_id", "ids"])
-                at += len(text)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), lists], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {_type(documents)}, ids array<int>")
 
@@ -42,7 +56,7 @@ def count_tokens(documents: DataFrame, keep: list[str], tokenizer: str = TOKENIZ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            sizes = [np.diff(own.encode(text)[1]) for text in pieces(batch.column(0))]
+            sizes = [np.diff(bounds) for _, _, _, bounds in _encoded(own, batch.column(0))]
             tokens = pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], tokens], [*keep, "tokens"])
 

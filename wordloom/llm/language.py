@@ -15,10 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.points import code_points, pieces
+from wordloom.llm.points import chunks, code_points
 
 # Names under which a label means a language.
 NAMES = {
@@ -275,12 +276,37 @@ class Passages:
     sentences: np.ndarray
 
 
-def find_passages(classifier: Classifier, points: np.ndarray, bounds: np.ndarray) -> Passages:
+#: Where a very long text may be cut: after a line.
+BORDER = regex.compile(r"\n|[.!?]\s|[。！？]")
+
+
+@dataclass
+class Scored:
+    """Sentences of texts, with bounds in code points of their text and scores by language."""
+
+    document: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    scores: np.ndarray
+
+
+def score_sentences(classifier: Classifier, text: pa.Array, starts: list[int]) -> Scored:
+    """The sentences of a slice of texts, or of the parts of one very long text."""
+    apart = len(starts) > 1 and starts[1] > 0
+    found = []
+    for k in range(len(text) if apart else 1):
+        points, _, _, bounds = code_points(text.slice(k, 1) if apart else text)
+        cut = cut_sentences(points, bounds)
+        scores = classifier.scores(cut.symbol, cut.owner, len(cut.begin))
+        offset = starts[k] if apart else -bounds[cut.document]
+        found.append((cut.document, cut.begin + offset, cut.end + offset, scores))
+    return Scored(*(np.concatenate(x) for x in zip(*found)))
+
+
+def find_passages(cut: Scored) -> Passages:
     """Consecutive sentences of one language.  A sentence whose lead is small goes with the one
     before it, or with the document's first that is sure."""
-    cut = cut_sentences(points, bounds)
-    count = len(cut.begin)
-    scores = classifier.scores(cut.symbol, cut.owner, count)
+    count, scores = len(cut.begin), cut.scores
     language = scores.argmax(1) if count else np.zeros(0, np.int64)
     ordered = np.sort(scores, axis=1)
     lead = ordered[:, -1] - ordered[:, -2] if scores.shape[1] > 1 else np.ones(count)
@@ -313,14 +339,13 @@ def passages(documents: DataFrame, classifier: Classifier | None = None) -> Data
     return _apply(documents, classifier, columns, _passage_rows)
 
 
-def _passage_rows(own: Classifier, found: Passages, ids: pa.Array, bounds: np.ndarray, labels: pa.Array) -> list:
+def _passage_rows(own: Classifier, found: Passages, ids: pa.Array, labels: pa.Array) -> list:
     first = np.searchsorted(found.document, found.document)
-    offset = bounds[found.document]
     return [
         ids.take(pa.array(found.document)),
         pa.array(np.arange(len(first)) - first + 1, pa.int32()),
-        pa.array(found.begin - offset, pa.int32()),
-        pa.array(found.end - offset, pa.int32()),
+        pa.array(found.begin, pa.int32()),
+        pa.array(found.end, pa.int32()),
         pa.array(np.array(own.languages, object)[found.language], pa.string()),
         pa.array(found.confidence, pa.float64()),
         pa.array(found.sentences, pa.int32()),
@@ -337,7 +362,7 @@ def document_languages(documents: DataFrame, classifier: Classifier | None = Non
     return _apply(documents, classifier, columns, _language_rows)
 
 
-def _language_rows(own: Classifier, found: Passages, ids: pa.Array, bounds: np.ndarray, labels: pa.Array) -> list:
+def _language_rows(own: Classifier, found: Passages, ids: pa.Array, labels: pa.Array) -> list:
     many = len(own.languages)
     key, back = np.unique(found.document * many + found.language, return_inverse=True)
     document, language = key // many, key % many
@@ -345,9 +370,9 @@ def _language_rows(own: Classifier, found: Passages, ids: pa.Array, bounds: np.n
     confidence = np.bincount(back, weights=found.sentences * found.confidence, minlength=len(key)) / np.maximum(sentences, 1)
     names = np.array(own.languages, object)[language]
     label = np.array(labels.to_pylist(), object)[document] if len(key) else names
-    fits = np.zeros(len(bounds), bool)
+    fits = np.zeros(len(ids), bool)
     np.logical_or.at(fits, document, label == names)
-    number = np.bincount(document, minlength=len(bounds))
+    number = np.bincount(document, minlength=len(ids))
     return [
         ids.take(pa.array(document)),
         pa.array(names, pa.string()),
@@ -370,13 +395,11 @@ def _apply(documents: DataFrame, classifier: Classifier | None, columns: str, ro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            at = 0
-            for text in pieces(batch.column(1)):
-                ids, labels = batch.column(0).slice(at, len(text)), batch.column(2).slice(at, len(text))
-                at += len(text)
-                points, _, _, bounds = code_points(text)
-                found = find_passages(own, points, bounds)
-                yield pa.RecordBatch.from_arrays(rows(own, found, ids, bounds, labels), names)
+            for first, text, starts in chunks(batch.column(1), BORDER):
+                count = 1 if len(starts) > 1 and starts[1] > 0 else len(text)
+                ids, labels = batch.column(0).slice(first, count), batch.column(2).slice(first, count)
+                found = find_passages(score_sentences(own, text, starts))
+                yield pa.RecordBatch.from_arrays(rows(own, found, ids, labels), names)
 
     taken = documents.select("doc_id", "text", language_of_label(F.col("lang")).alias("label"))
     return taken.mapInArrow(run, f"doc_id {kind}, {columns}")

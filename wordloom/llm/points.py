@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: A batch of text is cut into pieces of about so many bytes.
 PIECE_BYTES = 4 << 20
@@ -46,3 +49,23 @@ def pieces(text: pa.Array) -> list[pa.Array]:
     group = (np.cumsum(size) - size) // PIECE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(text)]
     return [text.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def chunks(text: pa.Array, border: regex.Pattern) -> Iterator[tuple[int, pa.Array, list[int]]]:
+    """Consecutive slices of ``text`` as pieces() gives them, with the number of the first text;
+    a text far above PIECE_BYTES comes alone and in parts that end with a match of ``border``,
+    given with the code points at which the parts begin."""
+    at = 0
+    for slice_ in pieces(text):
+        first, at = at, at + len(slice_)
+        if len(slice_) > 1 or pc.binary_length(slice_)[0].as_py() in (None, 0) or pc.binary_length(slice_)[0].as_py() <= 2 * PIECE_BYTES:
+            yield first, slice_, [0] * len(slice_)
+            continue
+        whole, parts, starts, low = slice_[0].as_py(), [], [], 0
+        while low < len(whole):
+            found = border.search(whole, low + PIECE_BYTES // 2) if low + PIECE_BYTES // 2 < len(whole) else None
+            end = found.end() if found else len(whole)
+            parts.append(whole[low:end])
+            starts.append(low)
+            low = end
+        yield first, pa.array(parts, pa.large_string()), starts
