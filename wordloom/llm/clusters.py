@@ -27,12 +27,12 @@ from wordloom.runtime import materialize
 #: Least cosine of similar rows.
 SIMILAR = 0.70
 #: Vectors of a component at which it is divided again.
-TARGET = 4096
+TARGET = 8192
 #: Main directions, and components to choose from.
 DIRECTIONS, COMPONENTS = 16, (1, 2, 4, 8, 16, 32)
 #: Share of a covariance that is shrunk to a sphere, and share of the responsibility that the
 #: components of a row hold.
-SHRINK, MASS = 0.1, 0.999999
+SHRINK, MASS = 0.1, 1 - 1e-8
 STEPS = 30
 #: Typical rows given of a group.
 TYPICAL = 3
