@@ -122,6 +122,14 @@ def _to_byte(codec: str) -> dict[str, int]:
     return found
 
 
+@lru_cache(maxsize=None)
+def _has_sequence(read: str) -> re.Pattern:
+    """A first and a following byte of UTF-8, as the reading shows them."""
+    places: dict[int, str] = {v: k for k, v in _to_byte(read).items()}
+    shown = lambda low, high: "".join(re.escape(places[b]) for b in range(low, high) if b in places)
+    return re.compile(f"[{shown(0xC2, 0xF5)}][{shown(0x80, 0xC0)}]")
+
+
 def undo(word: str, written: str, read: str) -> str | None:
     """The text of which ``word`` is the reading, wholly or in its parts; None where nothing is.
 
@@ -130,6 +138,8 @@ def undo(word: str, written: str, read: str) -> str | None:
     become replacement characters.
     """
     table = _to_byte(read)
+    if written == "utf-8" and not _has_sequence(read).search(word):
+        return None
     out, changed = [], False
     at, n = 0, len(word)
     while at < n:
@@ -223,16 +233,18 @@ def undoings(word: str, learned: list[tuple[str, str]]) -> dict[str, tuple[int,
     found: dict[str, tuple[int, bool]] = {}
     front = {word: True}
     for depth in range(1, DEPTH + 1):
-        made_now: dict[str, bool] = {}
+        following: dict[str, bool] = {}
         for text, strict in front.items():
             for written, read in learned:
                 made = undo(text, written, read)
                 if made and made != word and made not in found:
                     utf8 = strict and written == "utf-8"
                     found[made] = depth, utf8
-                    made_now[made] = utf8
-        # Only what is still unlike a word is undone further.
-        front = {m: u for m, u in made_now.items() if not sound(m)}
+                    # Almost any bytes are text in a single-byte encoding, so only what was UTF-8
+                    # is evidence of another garbling under it.
+                    if written == "utf-8":
+                        following[made] = utf8
+        front = following
         if not front:
             break
     return found
