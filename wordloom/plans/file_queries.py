@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.indexers import FloretIndexer
 from wordloom.model import EmbeddingModel, Subwords
 from wordloom.operators.subwords import to_explicit
+from wordloom.plans.model_queries import SQL as MODEL_SQL
 from wordloom.plans.model_queries import _WORDS, MARK, bucket_rows, corpus_model, corpus_words, mark, native_model, rounded
 from wordloom.runtime import shared_folder, table
 from wordloom.sources import fasttext, floret, native, text, toml, word2vec
@@ -101,7 +102,8 @@ def native_buckets(spark, d):
     return native.read_embeddings(spark, path).buckets.select("bucket", mark(F.col("embedding"), 3).alias("mark"))
 
 
-@query()
+# The numbers of first appearance in the file are the numbers themselves.
+@query(MODEL_SQL["explicit_conversion"])
 def explicit_round_trip(spark, d):
     path = _place(spark)
     native.write_embeddings(to_explicit(native_model(spark, d)), path)
