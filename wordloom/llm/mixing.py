@@ -89,9 +89,7 @@ def mix_sources(
     listed = wanted.where("source is not null")
     counted = materialize(
         count_tokens(
-            documents.select("doc_id", "source", "text").join(
-                F.broadcast(listed.select("source")), "source", "left_semi"
-            ),
+            documents.select("doc_id", "source", "text").join(listed.select("source"), "source", "left_semi"),
             ["doc_id", "source"],
             tokenizer,
         ).where("tokens > 0")
