@@ -82,6 +82,17 @@ def test_native_quantized(spark, tmp_path, normalize):
     assert np.allclose([x[2] for x in a], [x[2] for x in c], atol=1e-4) and np.allclose([x[1] for x in b], [x[1] for x in d], atol=1e-4)
 
 
+def test_quantized_rows(spark):
+    model = native.quantize_model(make(spark, KINDS["bucket"], dims=8), 4, 2, 3, normalize=True)
+    whole = {r.idx: r.embedding for r in model.reconstruct().storage().collect()}
+    assert model.shape == (20, 8) and len(whole) == 20
+    asked = spark.createDataFrame([(0, 19), (1, 0), (2, 19)], "pos long, idx long")
+    got = {r.pos: r for r in model.gather(asked).collect()}
+    assert all(np.allclose(got[p].embedding, whole[i]) for p, i in ((0, 19), (1, 0), (2, 19)))
+    mapping = spark.createDataFrame([(0, 19), (1, 19)], "new_idx long, old_idx long")
+    assert len({tuple(r.codes) for r in model.clone_from_mapping(mapping).collect()}) == 1
+
+
 def test_native_errors(spark, tmp_path):
     path = tmp_path / "model"
     for data in (b"XXXX" + struct.pack("<II", 0, 0), b"FiFu" + struct.pack("<II", 0, 0), b"FiFu" + struct.pack("<III", 0, 1, 77), b"Fi"):

@@ -50,6 +50,29 @@ class QuantizedModel:
     def dims(self) -> int:
         return self.quantizer.reconstructed_len
 
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.words.count() + (self.subwords.indexer.upper_bound if self.subwords else 0), self.dims
+
+    def storage(self) -> DataFrame:
+        """idx, codes, code_norm of the whole matrix: words first, then buckets."""
+        rows = self.words.select("idx", "codes", "code_norm")
+        if self.buckets is None:
+            return rows
+        shift = F.lit(self.words.count())
+        return rows.unionByName(self.buckets.select((F.col("bucket") + shift).cast("long").alias("idx"), "codes", "code_norm"))
+
+    def gather(self, indices: DataFrame) -> DataFrame:
+        """pos, idx, embedding: the asked rows alone decoded, repeats kept.  ``indices``: pos, idx."""
+        asked = indices.select("idx").distinct()
+        coded = self.storage().join(asked, "idx", "left_semi").withColumnRenamed("code_norm", "norm")
+        return indices.select("pos", "idx").join(pq.reconstruct(coded, self.quantizer, "idx"), "idx").select("pos", "idx", "embedding")
+
+    def clone_from_mapping(self, mapping: DataFrame) -> DataFrame:
+        """idx, codes, code_norm of a new matrix whose row new_idx is the old row old_idx."""
+        asked = mapping.select(F.col("new_idx").alias("new"), F.col("old_idx").alias("idx"))
+        return asked.join(self.storage(), "idx").select(F.col("new").alias("idx"), "codes", "code_norm")
+
     def reconstruct(self) -> EmbeddingModel:
         """The model with every row decoded."""
         coded = self.words.select("idx", "codes", F.col("code_norm").alias("norm"))
