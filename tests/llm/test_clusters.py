@@ -64,6 +64,21 @@ def test_divided_models(spark, monkeypatch):
     assert all(h in want for h in members)
 
 
+def test_groups_across_components(spark, monkeypatch):
+    def route(model, vectors):
+        # One component a row, whatever its neighbours.
+        return np.arange(len(vectors)), np.arange(len(vectors)) % 3, np.ones(len(vectors), bool), np.zeros(len(vectors))
+
+    monkeypatch.setattr(clusters, "route_mixture", route)
+    monkeypatch.setattr(clusters, "BLOCK", 50)
+    rng = np.random.default_rng(5)
+    rows = [(i, 1 + (i > 380), v) for i, v in enumerate(made(rng, 400, 24))]
+    # A pair and a row that is similar to one of the two only.
+    rows += [(500, 3, [1, 0]), (501, 3, [np.cos(0.6), np.sin(0.6)]), (502, 3, [np.cos(1.2), np.sin(1.2)])]
+    want = brute(rows)
+    assert len(want) > 10 and run(spark, rows)[0] == want
+
+
 def test_criterion_chooses_components():
     rng = np.random.default_rng(4)
 

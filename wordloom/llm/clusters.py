@@ -3,9 +3,9 @@
 A Gaussian mixture is fitted to each model's vectors, standardised and reduced to their main
 directions, by expectation-maximisation with regularised covariances; the Bayesian information
 criterion chooses the number of components.  Every row goes to the components that may have
-made it; within a component similar rows are linked exactly, links are merged over components,
-and a group counts if all its rows are similar to each other.  The rows of highest density
-under the mixture stand for their group.
+made it.  Each row is compared with its whole model, block against block, whatever its component,
+and a group counts if all its rows are similar to each other and to no other row.  The rows of
+highest density under the mixture stand for their group.
 """
 
 from __future__ import annotations
@@ -128,77 +128,82 @@ def route_mixture(model: bytes, vectors: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, order[row, place], place == 0, each[row]
 
 
-LINKS = "vec_id long, label long, similar long"
-
-
-def link_cell(table: pa.Table) -> pa.Table:
-    """For each vector of a cell that has similar ones: the least vector it is linked with, over
-    any number of links, and how many it is similar to."""
-    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("similar", pa.int64())])
-    table = table.take(pc.sort_indices(table.column("vec_id")))
-    ids = np.asarray(table.column("vec_id"))
-    unit = unit_rows(stacked_vectors(table.column("vec")))
-    n = len(ids)
-    near = []
-    count = np.zeros(n, np.int64)
-    for low in range(0, n, 512):
-        alike = unit[low : low + 512] @ unit.T >= SIMILAR
-        alike[np.arange(len(alike)), np.arange(low, low + len(alike))] = True
-        count[low : low + len(alike)] = alike.sum(1) - 1
-        near.append(np.packbits(alike, axis=1))
-    label = np.arange(n)
-    linked = np.flatnonzero(count)
-    while len(linked):
-        new = label.copy()
-        for low, bits in zip(range(0, n, 512), near):
-            rows = linked[(linked >= low) & (linked < low + 512)]
-            if len(rows):
-                alike = np.unpackbits(bits[rows - low], axis=1, count=n).astype(bool)
-                new[rows] = np.where(alike, label, n).min(1)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return pa.table([pa.array(x) for x in (ids[linked], ids[label[linked]], count[linked])], schema=schema)
-
-
-def _merged(links: DataFrame) -> DataFrame:
-    """vec_id and the least label that any chain of labels leads to."""
-    pairs = materialize(links.select("vec_id", "label").distinct())
-    roots = pairs.select("label", F.col("label").alias("root")).distinct()
-    while True:
-        of_vector = pairs.join(roots, "label").groupBy("vec_id").agg(F.min("root").alias("root"), F.max("root").alias("most"))
-        of_vector = materialize(of_vector)
-        if of_vector.where("root <> most").isEmpty():
-            return of_vector.select("vec_id", "root")
-        roots = materialize(pairs.join(of_vector.select("vec_id", "root"), "vec_id").groupBy("label").agg(F.min("root").alias("root")))
-
-
-def _count_within(members: DataFrame) -> DataFrame:
-    """vec_id and similar: to how many others of its group each vector is similar, exactly, block
-    against block of a group."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("long").alias("blocks"))
-    blocked = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = blocked.select("root", "block", every.alias("other"), "vec_id", "vec")
-    right = blocked.select(
-        F.col("root").alias("root_b"), every.alias("block_b"), F.col("block").alias("other_b"),
-        F.col("vec_id").alias("id_b"), F.col("vec").alias("vec_b"),
+COUNTS = "vec_id long, similar long, root long"
+
+
+def count_pairs(table: pa.Table) -> pa.Table:
+    """vec_id, similar and root of each vector of a block, or of two blocks, that has similar ones:
+    how many they are, and the least vec_id of them and itself.  Only vectors of one key, and, if
+    ``low`` and ``high`` differ, of different blocks, are compared."""
+    schema = pa.schema([("vec_id", pa.int64()), ("similar", pa.int64()), ("root", pa.int64())])
+    table = table.sort_by([("key", "ascending"), ("vec_id", "ascending")])
+    keys = np.asarray(table.column("key").combine_chunks().dictionary_encode().indices)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])) if len(keys) else []
+    same = len(table) and table.column("low")[0].as_py() == table.column("high")[0].as_py()
+    out = []
+    for start, end in zip(starts, [*starts[1:], len(keys)]):
+        part = table.slice(start, end - start)
+        ids, unit = np.asarray(part.column("vec_id")), unit_rows(stacked_vectors(part.column("vec")))
+        block = np.asarray(part.column("block"))
+        left = np.arange(len(ids)) if same else np.flatnonzero(block == part.column("low")[0].as_py())
+        right = left if same else np.flatnonzero(block == part.column("high")[0].as_py())
+        if not len(left) or not len(right):
+            continue
+        similar, root = np.zeros(len(ids), np.int64), ids.copy()
+        base = unit[right]
+        for k in range(0, len(left), 512):
+            rows = left[k : k + 512]
+            alike = unit[rows] @ base.T >= SIMILAR
+            if same:
+                alike[np.arange(len(rows)), rows] = False
+            some = alike.any(1)
+            similar[rows] += alike.sum(1)
+            root[rows[some]] = np.minimum(root[rows[some]], ids[right[alike[some].argmax(1)]])
+            if not same:
+                some = alike.any(0)
+                similar[right] += alike.sum(0)
+                root[right[some]] = np.minimum(root[right[some]], ids[rows[alike[:, some].argmax(0)]])
+        found = similar > 0
+        out.append((ids[found], similar[found], root[found]))
+    if not out:
+        return schema.empty_table()
+    return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+
+
+def similar_counts(rows: DataFrame, key: str) -> DataFrame:
+    """vec_id, similar, root: for every vector that has similar ones among those of the same ``key``,
+    how many, and the least vec_id of them and itself.  Exact: each block of a key is compared with
+    each, a pair of blocks a task; keys of one block share tasks.
+
+    ``rows``: vec_id (key), vec and the column ``key``.
+    """
+    sizes = materialize(rows.groupBy(key).agg(F.count("*").alias("n")))
+    packs = max(1, -(-(sizes.agg(F.sum("n").alias("n")).first()["n"] or 0) // BLOCK))
+    sized = sizes.select(key, F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("long").alias("blocks"))
+    blocked = rows.join(sized, key).select(
+        F.col(key).cast("string").alias("key"), "vec_id", "vec", "blocks", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
     )
+    pack = F.pmod(F.xxhash64("key"), F.lit(packs)).cast("string")
+    tasks = blocked.select(
+        F.when(F.col("blocks") > 1, F.concat(F.lit("="), "key")).otherwise(pack).alias("task"),
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "block", "vec_id", "vec",
+    )
+    counted = tasks.groupBy("task", "low", "high").applyInArrow(count_pairs, COUNTS)
+    return counted.groupBy("vec_id").agg(F.sum("similar").alias("similar"), F.min("root").alias("root"))
 
-    def count(a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("vec_id", pa.int64()), ("similar", pa.int64())])
-        if not len(a) or not len(b):
-            return schema.empty_table()
-        ids, base = np.asarray(a.column("vec_id")), unit_rows(stacked_vectors(b.column("vec_b")))
-        unit, own = unit_rows(stacked_vectors(a.column("vec"))), np.asarray(b.column("id_b"))
-        found = [
-            ((unit[k : k + 512] @ base.T >= SIMILAR) & (ids[k : k + 512, None] != own)).sum(1) for k in range(0, len(ids), 512)
-        ]
-        return pa.table([pa.array(ids), pa.array(np.concatenate(found).astype(np.int64))], schema=schema)
 
-    parts = left.groupBy("root", "block", "other").cogroup(right.groupBy("root_b", "block_b", "other_b"))
-    return parts.applyInArrow(count, "vec_id long, similar long").groupBy("vec_id").agg(F.sum("similar").alias("similar"))
+def similar_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vec_id and root (least vec_id of the group) of the vectors of groups of two or more; and
+    vec_id of all vectors that have similar ones.  ``vectors``: cell, vec_id, vec."""
+    near = materialize(similar_counts(vectors, "cell"))
+    sizes = near.groupBy("root").agg(F.count("*").alias("n"), F.min("similar").alias("least"), F.max("similar").alias("most"))
+    # All have the right number of similar vectors in the whole model; now whether these are the group's.
+    likely = near.join(sizes.where("least = n - 1 and most = n - 1"), "root", "left_semi")
+    likely = materialize(likely.join(vectors.select("vec_id", "vec"), "vec_id").select("root", "vec_id", "vec", "similar"))
+    within = similar_counts(likely, "root").select("vec_id", F.col("similar").alias("within"))
+    wrong = likely.join(within, "vec_id", "left").where("within is null or within <> similar").select("root")
+    return likely.join(wrong, "root", "left_anti").select("vec_id", "root"), near.select("vec_id")
 
 
 @dataclass(frozen=True)
@@ -212,7 +217,7 @@ class Groups:
 
 def similarity_groups(vectors: DataFrame, column: str = "embedding") -> Groups:
     """Groups of two or more rows of a model that are all similar to each other (cosine of
-    SIMILAR at least) and, in the cells they were compared in, to no other row.
+    SIMILAR at least) and to no other row of the model.
 
     ``vectors``: row_id (key), model_id, a column of FLOAT arrays; other columns are ignored.
     Null and zero vectors and those with nulls or infinite components belong to no group,
@@ -222,20 +227,8 @@ def similarity_groups(vectors: DataFrame, column: str = "embedding") -> Groups:
     """
     found = distinct_vectors(usable(vectors, column))
     cells = materialize(divide(found.vectors, fit_mixture, route_mixture, TARGET, always=True))
-    links = materialize(cells.select("cell", "vec_id", "vec").groupBy("cell").applyInArrow(link_cell, LINKS))
-    merged = _merged(links)
-    most = links.groupBy("vec_id").agg(F.max("similar").alias("similar"))
-    grouped = materialize(merged.join(most, "vec_id"))
-    checked = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min("similar").alias("least"), F.max("similar").alias("most"))
-    sure = checked.where("least = n - 1 and most = n - 1").select("root")
-    # Not all of a group in one component: counted once more, within the group as a whole.
-    open_ = materialize(
-        grouped.join(checked.where("least < n - 1 and most <= n - 1"), "root").join(found.vectors, "vec_id").select("root", "n", "vec_id", "vec")
-    )
-    exact = open_.join(_count_within(open_.select("root", "vec_id", "vec")), "vec_id")
-    late = exact.groupBy("root").agg(F.min(F.col("similar") - F.col("n")).alias("lack")).where("lack = -1").select("root")
-    whole = grouped.join(sure.unionByName(late), "root", "left_semi").select("vec_id", "root")
-    alone = found.rows.select("vec_id").join(grouped.select("vec_id"), "vec_id", "left_anti").groupBy("vec_id").count()
+    whole, near = similar_groups(found.vectors)
+    alone = found.rows.select("vec_id").join(near, "vec_id", "left_anti").groupBy("vec_id").count()
     copies = alone.where("count > 1").select("vec_id", F.col("vec_id").alias("root"))
     density = cells.where("own").select("vec_id", "density")
     members = materialize(
