@@ -1,6 +1,6 @@
 import numpy as np
 
-from wordloom.llm import clusters
+from wordloom.llm import clusters, vectors
 from wordloom.llm.clusters import all_vectors, fit_mixture, route_mixture, similarity_groups
 
 SCHEMA = "row_id long, model_id long, embedding array<float>, density string, root int"
@@ -79,6 +79,24 @@ def test_groups_across_components(spark, monkeypatch):
     assert len(want) > 10 and run(spark, rows)[0] == want
 
 
+def test_density_is_of_all_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 24)) * np.linspace(1, 2, 24)
+    rows = [(i, 1, v) for i, v in enumerate(np.concatenate([base, base + 0.1 * rng.normal(size=base.shape)]))]
+
+    def density():
+        return {r.row_id: r.density for r in similarity_groups(frame(spark, rows)).members.collect()}
+
+    want = density()
+    monkeypatch.setattr(clusters, "TARGET", 200)
+    monkeypatch.setattr(clusters, "BLOCK", 150)
+    for module in (clusters, vectors):
+        monkeypatch.setattr(module, "SAMPLE", 150, raising=False)
+    got = density()
+    assert len(want) > 10 and got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_criterion_chooses_components():
     rng = np.random.default_rng(4)
 

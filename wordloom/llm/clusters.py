@@ -1,9 +1,10 @@
 """Groups of mutually similar rows, with size and most typical rows (problem 3).
 
-A Gaussian mixture is fitted to each model's vectors, standardised and reduced to their main
+A Gaussian mixture is fitted to all of each model's vectors, standardised and reduced to their main
 directions, by expectation-maximisation with regularised covariances; the Bayesian information
-criterion chooses the number of components.  Every row goes to the components that may have
-made it.  Each row is compared with its whole model, block against block, whatever its component,
+criterion chooses the number of components.  A model of up to TARGET vectors is fitted in one
+task; of a larger one a draw gives only the start, and moments, steps and criterion are passes
+over all its vectors with partial sums.  Each row is compared with its whole model, block against block, whatever its component,
 and a group counts if all its rows are similar to each other and to no other row.  The rows of
 highest density under the mixture stand for their group.
 """
@@ -20,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.vectors import BLOCK, distinct_vectors, divide, stacked_vectors, unit_rows, usable
+from wordloom.llm.vectors import BLOCK, SAMPLE, distinct_vectors, stacked_vectors, unit_rows, usable
 from wordloom.operators.quantize import decode_rows
 from wordloom.runtime import materialize
 
 #: Least cosine of similar rows.
 SIMILAR = 0.70
-#: Vectors of a component at which it is divided again.
+#: Vectors of a model up to which one task fits its mixture.
 TARGET = 8192
 #: Main directions, and components to choose from.
 DIRECTIONS, COMPONENTS = 16, (1, 2, 4, 8, 16, 32)
@@ -61,6 +62,17 @@ def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return x[chosen]
 
 
+def _root(cov: np.ndarray) -> np.ndarray:
+    """Inverse Cholesky factor of a covariance, regularised."""
+    d = len(cov)
+    cov = (1 - SHRINK) * cov + (SHRINK * np.trace(cov) / d + 1e-3) * np.eye(d)
+    return np.linalg.inv(np.linalg.cholesky(cov))
+
+
+def _criterion(now: float, n: int, k: int, d: int) -> float:
+    return (k * (d + d * (d + 1) / 2) + k - 1) * math.log(n) - 2 * now
+
+
 def mixture(x: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """A mixture of ``k`` Gaussians: its information criterion, weights, means and roots."""
     rng = np.random.default_rng(k)
@@ -75,10 +87,7 @@ def mixture(x: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray, np.nd
         root = np.empty((k, d, d))
         for c in range(k):
             centred = x - mean[c]
-            cov = (share[:, c, None] * centred).T @ centred / total[c]
-            size = np.trace(cov) / d
-            cov = (1 - SHRINK) * cov + (SHRINK * size + 1e-3) * np.eye(d)
-            root[c] = np.linalg.inv(np.linalg.cholesky(cov))
+            root[c] = _root((share[:, c, None] * centred).T @ centred / total[c])
         logs = _log_densities(x, weight, mean, root)
         each = _log_sum(logs)
         share = np.exp(logs - each[:, None])
@@ -86,37 +95,51 @@ def mixture(x: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray, np.nd
         if now - before < 1e-4 * n:
             break
         before = now
-    free = k * (d + d * (d + 1) / 2) + k - 1
-    return free * math.log(n) - 2 * now, weight, mean, root
+    return _criterion(now, n, k, d), weight, mean, root
+
+
+def _directions(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scale and main directions of vectors with a covariance."""
+    scale = np.sqrt(np.diag(cov))
+    scale = np.where(scale > 1e-9, scale, 1)
+    _, axes = np.linalg.eigh(cov / np.outer(scale, scale))
+    return scale, axes[:, ::-1][:, : min(DIRECTIONS, len(cov))]
+
+
+def _tried(size: int, d: int) -> list[int]:
+    return [k for k in COMPONENTS if k == 1 or k * 4 * d <= size]
+
+
+def _packed(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(data)))
 
 
 def fit_mixture(vectors: np.ndarray, size: int) -> bytes:
-    """The mixture of a cell, with the standardisation and the directions it is fitted in."""
+    """The mixture of a cell of ``size`` vectors, with the standardisation and the directions it is
+    fitted in."""
     unit = unit_rows(vectors)
-    mean, scale = unit.mean(0), unit.std(0)
-    scale = np.where(scale > 1e-9, scale, 1)
-    z = (unit - mean) / scale
-    values, axes = np.linalg.eigh(z.T @ z / len(z))
-    axes = axes[:, ::-1][:, : min(DIRECTIONS, z.shape[1])]
-    x = z @ axes
-    least = math.ceil(size / TARGET)
-    tried = [k for k in COMPONENTS if k <= max(least, 1) or k * 4 * x.shape[1] <= len(x)]
+    mean = unit.mean(0)
+    centred = unit - mean
+    scale, axes = _directions(centred.T @ centred / len(unit))
+    x = centred / scale @ axes
     best = None
-    for k in tried:
-        if k < least and k != tried[-1]:
-            continue
+    for k in _tried(size, x.shape[1]):
         found = mixture(x, k)
         if best and found[0] >= best[0]:
             break
         best = found
-    out = io.BytesIO()
-    np.savez(out, mean=mean, scale=scale, axes=axes, weight=best[1], centre=best[2], root=best[3])
-    return out.getvalue()
+    return _packed(mean=mean, scale=scale, axes=axes, weight=best[1], centre=best[2], root=best[3])
 
 
 def route_mixture(model: bytes, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The components that may have made each row, until they hold MASS of the responsibility."""
-    m = np.load(io.BytesIO(model))
+    m = _unpacked(model)
     x = (unit_rows(vectors) - m["mean"]) / m["scale"] @ m["axes"]
     logs = _log_densities(x, m["weight"], m["centre"], m["root"])
     each = _log_sum(logs)
@@ -128,6 +151,174 @@ def route_mixture(model: bytes, vectors: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, order[row, place], place == 0, each[row]
 
 
+DENSITY = "vec_id long, density double"
+STATE = "cell string, state binary"
+
+
+def _density(ids: pa.ChunkedArray, model: bytes, vectors: np.ndarray) -> pa.Table:
+    _, _, own, density = route_mixture(model, vectors)
+    return pa.table([ids, pa.array(density[own])], ["vec_id", "density"])
+
+
+def fit_cell(table: pa.Table) -> pa.Table:
+    """Density of each vector of a cell under the mixture of all of them."""
+    table = table.take(pc.sort_indices(table.column("vec_id")))
+    vectors = stacked_vectors(table.column("vec"))
+    return _density(table.column("vec_id"), fit_mixture(vectors, len(vectors)), vectors)
+
+
+def _state(table: pa.Table, **arrays: np.ndarray) -> pa.Table:
+    return pa.table({"cell": table.column("cell").slice(0, 1), "state": pa.array([_packed(**arrays)], pa.binary())})
+
+
+def _states(table: pa.Table) -> list[dict[str, np.ndarray]]:
+    return [_unpacked(x) for x in table.column("state").to_pylist()]
+
+
+def block_moments(table: pa.Table) -> pa.Table:
+    unit = unit_rows(stacked_vectors(table.column("vec")))
+    centred = unit - unit.mean(0)
+    return _state(table, n=np.array(len(unit)), mean=unit.mean(0), second=centred.T @ centred)
+
+
+def cell_moments(table: pa.Table) -> pa.Table:
+    """Mean, scale and main directions of a cell from the moments of its blocks."""
+    parts = _states(table)
+    n = sum(int(p["n"]) for p in parts)
+    mean = sum(p["n"] * p["mean"] for p in parts) / n
+    second = sum(p["second"] + p["n"] * np.outer(p["mean"] - mean, p["mean"] - mean) for p in parts)
+    scale, axes = _directions(second / n)
+    return _state(table, n=np.array(n), mean=mean, scale=scale, axes=axes)
+
+
+def _projected(table: pa.Table, m: dict[str, np.ndarray]) -> np.ndarray:
+    return (unit_rows(stacked_vectors(table.column("vec"))) - m["mean"]) / m["scale"] @ m["axes"]
+
+
+def start(draw: pa.Table, frame: pa.Table) -> pa.Table:
+    """Mixtures of a draw of a cell, one for each number of components, for the passes to start from."""
+    m = _states(frame)[0]
+    x = _projected(draw.take(pc.sort_indices(draw.column("vec_id"))), m)
+    for k in _tried(int(m["n"]), x.shape[1]):
+        _, m[f"weight{k}"], m[f"centre{k}"], m[f"root{k}"] = mixture(x, k)
+        m[f"now{k}"], m[f"open{k}"] = np.array(-np.inf), np.array(True)
+    return _state(frame, **m)
+
+
+def _open(m: dict[str, np.ndarray]) -> list[int]:
+    return [k for k in COMPONENTS if f"open{k}" in m and m[f"open{k}"]]
+
+
+def block_sums(block: pa.Table, state: pa.Table) -> pa.Table:
+    """The responsibilities of a block, summed up: total, and first and second moments about the
+    components' centres, with the log-likelihood."""
+    m, sums = _states(state)[0], {}
+    x = np.frombuffer(block.column("x")[0].as_py()).reshape(-1, m["axes"].shape[1])
+    for k in _open(m):
+        centre = m[f"centre{k}"]
+        logs = _log_densities(x, m[f"weight{k}"], centre, m[f"root{k}"])
+        each = _log_sum(logs)
+        share = np.exp(logs - each[:, None])
+        away = [x - c for c in centre]
+        sums[f"now{k}"], sums[f"total{k}"] = each.sum(), share.sum(0)
+        sums[f"first{k}"] = np.array([share[:, c] @ away[c] for c in range(k)])
+        sums[f"second{k}"] = np.array([(share[:, c, None] * away[c]).T @ away[c] for c in range(k)])
+    return _state(block, **sums)
+
+
+def step(parts: pa.Table, state: pa.Table, last: bool) -> pa.Table:
+    """The mixtures of a cell after a step, from the sums of all its blocks."""
+    m, sums = _states(state)[0], _states(parts)
+    for k in _open(m):
+        now, total, first, second = (sum(p[f"{name}{k}"] for p in sums) for name in ("now", "total", "first", "second"))
+        if last or now - m[f"now{k}"] < 1e-4 * m["n"]:
+            m[f"open{k}"] = np.array(False)
+        else:
+            total = total + 1e-9
+            moved = first / total[:, None]
+            m[f"weight{k}"], m[f"centre{k}"] = total / total.sum(), m[f"centre{k}"] + moved
+            m[f"root{k}"] = np.array([_root(second[c] / total[c] - np.outer(moved[c], moved[c])) for c in range(k)])
+        m[f"now{k}"] = np.array(now)
+    out = _state(state, **m)
+    return out.append_column("open", pa.array([bool(_open(m))]))
+
+
+def chosen(m: dict[str, np.ndarray]) -> bytes:
+    """The mixture of least criterion, as fit_mixture() gives it."""
+    n, d = int(m["n"]), m["axes"].shape[1]
+    best = None
+    for k in _tried(n, d):
+        value = _criterion(float(m[f"now{k}"]), n, k, d)
+        if best and value >= best[0]:
+            break
+        best = value, k
+    k = best[1]
+    return _packed(**{x: m[x] for x in ("mean", "scale", "axes")}, weight=m[f"weight{k}"], centre=m[f"centre{k}"], root=m[f"root{k}"])
+
+
+def _large_densities(vectors: DataFrame, large: DataFrame) -> DataFrame:
+    """densities() of the cells of ``large`` (cell, n), each fitted in passes over its blocks."""
+    large = large.withColumn("salts", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("long"))
+    rows = vectors.join(large, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit("salt")), F.col("salts")))
+    rows = materialize(rows.select("cell", "salt", "vec_id", "vec", "n"))
+
+    def spread(states: DataFrame) -> DataFrame:
+        block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("block")
+        return states.join(large, "cell").select("cell", "state", block)
+
+    moments = rows.select("cell", "salt", "vec").groupBy("cell", "salt").applyInArrow(block_moments, STATE)
+    frames = materialize(moments.groupBy("cell").applyInArrow(cell_moments, STATE))
+
+    def project(block: pa.Table, frame: pa.Table) -> pa.Table:
+        x = _projected(block, _states(frame)[0]).tobytes() if len(block) else b""
+        kept = block.slice(0, 1).select(["cell", "salt"])
+        return kept.append_column("x", pa.array([x] * len(kept), pa.binary()))
+
+    by_block = rows.groupBy("cell", "salt").cogroup(spread(frames).groupBy("cell", "block"))
+    blocks = materialize(by_block.applyInArrow(project, "cell string, salt long, x binary"))
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(0)), F.lit(1 << 30)) < F.lit(float((1 << 30) * SAMPLE)) / F.col("n")
+    draw = rows.where(drawn).select("cell", "vec_id", "vec")
+    states = materialize(draw.groupBy("cell").cogroup(frames.groupBy("cell")).applyInArrow(start, STATE))
+    done = []
+    for k in range(STEPS):
+        last = k == STEPS - 1
+
+        def sums(block: pa.Table, state: pa.Table) -> pa.Table:
+            return block_sums(block, state) if len(block) and len(state) else block.slice(0, 0).select(["cell"]).append_column("state", pa.array([], pa.binary()))
+
+        def advance(parts: pa.Table, state: pa.Table) -> pa.Table:
+            return step(parts, state, last)
+
+        parts = blocks.join(states.select("cell"), "cell", "left_semi").groupBy("cell", "salt").cogroup(spread(states).groupBy("cell", "block"))
+        parts = parts.applyInArrow(sums, STATE)
+        moved = materialize(parts.groupBy("cell").cogroup(states.groupBy("cell")).applyInArrow(advance, STATE + ", open boolean"))
+        done.append(moved.where("not open").select("cell", "state"))
+        states = moved.where("open").select("cell", "state")
+        if states.isEmpty():
+            break
+    final = done[0]
+    for part in done[1:]:
+        final = final.unionByName(part)
+
+    def density(block: pa.Table, state: pa.Table) -> pa.Table:
+        if not len(block):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], ["vec_id", "density"])
+        return _density(block.column("vec_id"), chosen(_states(state)[0]), stacked_vectors(block.column("vec")))
+
+    by_block = rows.groupBy("cell", "salt").cogroup(spread(final).groupBy("cell", "block"))
+    return by_block.applyInArrow(density, DENSITY)
+
+
+def densities(vectors: DataFrame) -> DataFrame:
+    """vec_id and density (logarithm) of every vector under the mixture of its cell, fitted to all
+    its vectors.  ``vectors``: cell, vec_id, vec."""
+    sizes = materialize(vectors.groupBy("cell").agg(F.count("*").alias("n")))
+    small = vectors.join(sizes.where(F.col("n") <= TARGET).select("cell"), "cell", "left_semi")
+    found = small.select("cell", "vec_id", "vec").groupBy("cell").applyInArrow(fit_cell, DENSITY)
+    large = sizes.where(F.col("n") > TARGET)
+    return found if large.isEmpty() else found.unionByName(_large_densities(vectors, large))
+
+
 COUNTS = "vec_id long, similar long, root long"
 
 
@@ -226,11 +417,10 @@ def similarity_groups(vectors: DataFrame, column: str = "embedding") -> Groups:
     no groups.
     """
     found = distinct_vectors(usable(vectors, column))
-    cells = materialize(divide(found.vectors, fit_mixture, route_mixture, TARGET, always=True))
     whole, near = similar_groups(found.vectors)
     alone = found.rows.select("vec_id").join(near, "vec_id", "left_anti").groupBy("vec_id").count()
     copies = alone.where("count > 1").select("vec_id", F.col("vec_id").alias("root"))
-    density = cells.where("own").select("vec_id", "density")
+    density = materialize(densities(found.vectors))
     members = materialize(
         found.rows.join(whole.unionByName(copies), "vec_id").join(density, "vec_id").select(F.col("root").alias("head_id"), "row_id", "density")
     )

@@ -116,14 +116,14 @@ def _salted(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit("salt")), F.col("salts")))
 
 
-def divide(vectors: DataFrame, fit: Fit, route: Route, target: int, always: bool = False) -> DataFrame:
+def divide(vectors: DataFrame, fit: Fit, route: Route, target: int) -> DataFrame:
     """cell, vec_id, vec, own, density: every vector in its own cell and, with ``own`` false, in
     the other cells it may belong to.
 
     ``fit`` gives the model of a cell from a sample of its vectors and the cell's size, empty
     bytes if it can't be divided; ``route`` gives, for a matrix of vectors, row numbers, parts,
     whether the part is the row's own, and the row's log-density.  Cells of more than ``target``
-    own vectors are divided, all cells once if ``always``.
+    own vectors are divided.
     """
     done: list[DataFrame] = []
     rows = vectors.select("cell", "vec_id", "vec", F.lit(True).alias("own"), F.lit(0.0).alias("density"))
@@ -131,13 +131,11 @@ def divide(vectors: DataFrame, fit: Fit, route: Route, target: int, always: bool
         sizes = rows.groupBy("cell").agg(
             F.count_if("own").alias("size"), F.ceil(F.count("*") / F.lit(2.0 * BLOCK)).cast("long").alias("salts")
         )
-        least = 0 if always and not level else target
-        large = materialize(sizes.where(F.col("size") > least))
+        large = materialize(sizes.where(F.col("size") > target))
         if large.isEmpty():
             break
         marked = rows.join(large.select("cell", F.lit(True).alias("large")), "cell", "left")
-        if level or not always:
-            done.append(marked.where("large is null").drop("large"))
+        done.append(marked.where("large is null").drop("large"))
         rest = rows.join(large, "cell", "left_semi")
         draw = F.pmod(F.xxhash64("vec_id", F.lit(level)), F.lit(1 << 30)) < F.lit(float((1 << 30) * SAMPLE)) / F.col("size")
         sample = rest.where("own").join(large, "cell").where(draw).select("cell", "vec_id", "vec", "size")
