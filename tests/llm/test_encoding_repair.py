@@ -1,4 +1,4 @@
-from wordloom.llm.encoding_repair import aligned_votes, GRID, repair_words, sound, undo
+from wordloom.llm.encoding_repair import aligned_votes, GRID, repair_words, sound, undo, undoings
 
 CLEAN = ["kümön", "schlösser", "grüße", "brötchen", "fährte", "çedéra", "garçon", "señora", "über", "größer", "mädchen", "löwe"]
 
@@ -10,6 +10,12 @@ def test_undo():
     assert undo("kümön", "utf-8", "cp1252") is None
 
 
+def test_undoes_what_lies_under_a_single_byte_reading():
+    inner = "größer".encode().decode("cp1252")
+    word = inner.encode("cp1252").decode("cp1251")
+    assert "größer" in undoings(word, [("cp1252", "cp1251"), ("utf-8", "cp1252")])
+
+
 def test_sound():
     assert all(map(sound, [*CLEAN, "Москва", "ピヨヒ", "naïve²", "O'Brien"]))
     assert not any(map(sound, ["kÃ¼m", "rekrдsang", "a�b", "sÅ\x93"]))

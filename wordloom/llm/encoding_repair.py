@@ -240,9 +240,9 @@ def undoings(word: str, learned: list[tuple[str, str]]) -> dict[str, tuple[int,
                 if made and made != word and made not in found:
                     utf8 = strict and written == "utf-8"
                     found[made] = depth, utf8
-                    # Almost any bytes are text in a single-byte encoding, so only what was UTF-8
-                    # is evidence of another garbling under it.
-                    if written == "utf-8":
+                    # Almost any bytes are text in a single-byte encoding, so of what was not UTF-8
+                    # only a result that still looks unsound may be garbled under it.
+                    if written == "utf-8" or not sound(made):
                         following[made] = utf8
         front = following
         if not front:
