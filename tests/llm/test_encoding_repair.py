@@ -16,6 +16,13 @@ def test_undoes_what_lies_under_a_single_byte_reading():
     assert "größer" in undoings(word, [("cp1252", "cp1251"), ("utf-8", "cp1252")])
 
 
+def test_undoes_any_number_of_readings_of_utf8():
+    word = "größer"
+    for _ in range(6):
+        word = word.encode().decode("latin_1")
+    assert undoings(word, [("utf-8", "latin_1")])["größer"] == (6, True)
+
+
 def test_sound():
     assert all(map(sound, [*CLEAN, "Москва", "ピヨヒ", "naïve²", "O'Brien"]))
     assert not any(map(sound, ["kÃ¼m", "rekrдsang", "a�b", "sÅ\x93"]))

@@ -35,7 +35,7 @@ READ = ["cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "mac_roman"
 VOTES = 3
 #: Gain in log-likelihood, in nats, from which on a result counts by itself.
 GAIN = 6.0
-#: Times a word may have been garbled, one over the other.
+#: Steps among which other encodings than UTF-8 are undone; UTF-8 is undone any number of times.
 DEPTH = 3
 
 LOST = "�"
@@ -228,14 +228,19 @@ def sound(word: str) -> bool:
 
 
 def undoings(word: str, learned: list[tuple[str, str]]) -> dict[str, tuple[int, bool]]:
-    """Texts that undoing learned transformations, up to DEPTH in a row, gives, with the number
-    of steps and whether only UTF-8 was undone."""
+    """Texts that undoing learned transformations gives, with the number of steps and whether only
+    UTF-8 was undone.  Undoing UTF-8 shortens a word, so it is repeated until nothing changes;
+    other encodings are undone among the first DEPTH steps."""
     found: dict[str, tuple[int, bool]] = {}
     front = {word: True}
-    for depth in range(1, DEPTH + 1):
+    depth = 0
+    while front:
+        depth += 1
         following: dict[str, bool] = {}
         for text, strict in front.items():
             for written, read in learned:
+                if written != "utf-8" and depth > DEPTH:
+                    continue
                 made = undo(text, written, read)
                 if made and made != word and made not in found:
                     utf8 = strict and written == "utf-8"
@@ -245,8 +250,6 @@ def undoings(word: str, learned: list[tuple[str, str]]) -> dict[str, tuple[int,
                     if written == "utf-8" or not sound(made):
                         following[made] = utf8
         front = following
-        if not front:
-            break
     return found
 
 
