@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
@@ -36,6 +37,28 @@ def test_random(reference):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == reference(texts)
 
 
+def test_words_that_differ_in_their_last_bytes(reference):
+    texts = ["=========", "=========\x00", "=" * 8, "=" * 8 + "\x00" * 7, "=" * 8 + "\x00" * 8, "abcdefgA", "abcdefg\xc1"]
+    texts += ["\x00" * n for n in (7, 8, 9, 15, 16, 17)] + ["ab" * 255 + "c", "ab" * 256, "a" * 513, "=-" * 2500, "中文" * 800]
+    rnd = random.Random(5)
+    texts += ["".join(rnd.choice("etaoinshrdlu") for _ in range(n)) for n in (511, 512, 513, 600, 5000)]
+    for batch in (texts, texts[::-1]):
+        ids, bounds = encoder(TOKENIZER).encode(pa.array(batch))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == reference(batch)
+
+
+def test_equal_keys(reference, monkeypatch):
+    from wordloom.llm import bpe
+
+    keys = bpe._keys
+    monkeypatch.setattr(bpe, "_keys", lambda d, b, s: np.where(s < 8, keys(d, b, s), keys(d, b, s) | np.uint64((1 << 62) - 1)))
+    own = bpe.BytePairEncoder(TOKENIZER)
+    texts = ["information technology", "something otherwise", "informatics", "otherwise information", "x" * 40] * 2
+    for _ in range(2):
+        ids, bounds = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == reference(texts)
+
+
 def test_frame(spark, reference):
     rows = [(i, t, "clash") for i, t in enumerate(CASES)] + [(0, CASES[0], "clash")]
     out = encode_corpus(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()

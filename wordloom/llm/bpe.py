@@ -19,8 +19,11 @@ import regex
 from wordloom.llm.points import code_points
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Longest word, in bytes, that is encoded together with others; longer ones go one by one.
+#: Words up to so many bytes are walked through together, step by step; of a longer one the longest
+#: match is sought at every byte at once, and if a pair of it fails it is merged with a heap.
 LONG_WORD = 512
+#: Words met so far that a worker keeps, with 16 bytes for each.
+KEPT_WORDS = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -72,31 +75,54 @@ def word_starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return start
 
 
-def _keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each stretch of bytes: up to seven bytes the bytes themselves."""
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; behind the end there are zeros."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    windows = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+    return np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+
+
+def _chunk(windows: np.ndarray, begin: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next up to eight bytes of stretches that have ``left`` more."""
+    mask = np.where(left >= 8, ~np.uint64(0), (np.uint64(1) << (left.astype(np.uint64) % 8 * 8)) - np.uint64(1))
+    return windows[begin] & mask
+
+
+def _keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each stretch of bytes.  Up to seven bytes it is the bytes and their number;
+    a longer stretch has a mixture of its length and bytes, with the top bit set, which other
+    stretches may share: _same() tells."""
+    windows = _windows(data)
     key = np.zeros(len(begin), np.uint64)
-    todo = np.arange(len(begin))
+    small = size < 8
+    key[small] = _chunk(windows, begin[small], size[small]) | size[small].astype(np.uint64) << np.uint64(56)
+    todo = np.flatnonzero(~small)
+    mixed = size[todo].astype(np.uint64) * _MIX
     at = 0
     while len(todo):
-        left = np.minimum(size[todo] - at, 8)
-        chunk = windows[begin[todo] + at]
-        mask = np.where(left == 8, ~np.uint64(0), (np.uint64(1) << (left.astype(np.uint64) % 8 * 8)) - np.uint64(1))
-        chunk = chunk & mask
-        if at == 0:
-            key[:] = chunk
-        else:
-            mixed = (key[todo] ^ (key[todo] >> np.uint64(29))) * _MIX
-            key[todo] = (mixed ^ (mixed >> np.uint64(32))) * _BASE + chunk
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _BASE + _chunk(windows, begin[todo] + at, size[todo] - at)
         at += 8
-        todo = todo[size[todo] > at]
-    small = size < 8
-    key[small] |= size[small].astype(np.uint64) << np.uint64(56)
-    key[~small] |= np.uint64(1) << np.uint64(63)
+        key[todo] = (mixed ^ (mixed >> np.uint64(31))) | np.uint64(1) << np.uint64(63)
+        going = size[todo] > at
+        todo, mixed = todo[going], mixed[going]
     return key
 
 
+def _same(one: np.ndarray, begin_one: np.ndarray, two: np.ndarray, begin_two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether stretches of equal sizes have equal bytes."""
+    windows_one, windows_two = _windows(one), _windows(two)
+    same = np.ones(len(size), bool)
+    todo = np.arange(len(size))
+    at = 0
+    while len(todo):
+        left = size[todo] - at
+        equal = _chunk(windows_one, begin_one[todo] + at, left) == _chunk(windows_two, begin_two[todo] + at, left)
+        same[todo[~equal]] = False
+        at += 8
+        todo = todo[equal & (left > 8)]
+    return same
+
+
 class BytePairEncoder:
     """The merges of one tokenizer file, as arrays."""
 
@@ -126,21 +152,36 @@ class BytePairEncoder:
         pair = left << 20 | right
         order = np.argsort(pair, kind="stable")
         self.pair, self.pair_made, self.pair_rank = pair[order], made[order], order
-        # Spellings by length, for the longest match.
-        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
-        by_size: dict[int, list[int]] = {}
-        for i, spelling in spelled.items():
-            by_size.setdefault(len(spelling), []).append(i)
-        for size in sorted(by_size, reverse=True):
-            ids = np.array(by_size[size])
-            data = np.frombuffer(b"".join(spelled[i] for i in ids), np.uint8)
-            keys = _keys(data, np.arange(len(ids)) * size, np.full(len(ids), size))
+        # Spellings by length, for the longest match; only what its own merges give is proposed.
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.byte_tables: list[tuple[int, dict[bytes, int]]] = []
+        ids = np.array(sorted(spelled))
+        size = np.array([len(spelled[i]) for i in ids])
+        data = np.frombuffer(b"".join(spelled[i] for i in ids), np.uint8)
+        word, token = self._merge(np.repeat(np.arange(len(ids)), size), self.byte_id[data])
+        whole = np.bincount(word, minlength=len(ids)) == 1
+        whole[word[whole[word]]] = token[whole[word]] == ids[whole]
+        for length in sorted(set(size[whole].tolist()), reverse=True):
+            here = ids[whole & (size == length)]
+            text = np.frombuffer(b"".join(spelled[i] for i in here), np.uint8)
+            keys = _keys(text, np.arange(len(here)) * length, np.full(len(here), length))
+            if len(np.unique(keys)) < len(keys):  # then keys can't find them
+                self.byte_tables.append((length, {spelled[i]: int(i) for i in here}))
+                continue
             order = np.argsort(keys)
-            self.tables.append((size, keys[order], ids[order]))
+            self.tables.append((length, keys[order], here[order], text.reshape(-1, length)[order].ravel()))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drops the words met so far."""
         self._known = np.zeros(0, np.uint64)
         self._known_at = np.zeros(0, np.int64)
         self._ids: np.ndarray = np.zeros(0, np.int32)
         self._bounds = np.zeros(1, np.int64)
+        # The spellings of the words met so far.
+        self._data = np.zeros(0, np.uint8)
+        self._begin = np.zeros(0, np.int64)
+        self._size = np.zeros(0, np.int64)
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and token of the merge of each pair; rank is large where there is none."""
@@ -149,27 +190,40 @@ class BytePairEncoder:
         hit = self.pair[at] == key
         return np.where(hit, self.pair_rank[at], 1 << 30), np.where(hit, self.pair_made[at], -1)
 
+    def _longest(self, data: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token and length of the longest match at each place that has ``left`` bytes."""
+        found = self.byte_id[data[at]]
+        length = np.ones(len(at), np.int64)
+        open_ = np.ones(len(at), bool)
+        for token_size, keys, ids, spelled in self.tables:
+            if token_size == 1:
+                break
+            here = np.flatnonzero(open_ & (left >= token_size))
+            if not len(here):
+                continue
+            key = _keys(data, at[here], np.full(len(here), token_size))
+            spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[spot] == key)
+            if token_size > 7:
+                hit = hit[_same(data, at[here[hit]], spelled, spot[hit] * token_size, np.full(len(hit), token_size))]
+            found[here[hit]] = ids[spot[hit]]
+            length[here[hit]] = token_size
+            open_[here[hit]] = False
+        for token_size, table in self.byte_tables:
+            for k in np.flatnonzero((length < token_size) & (left >= token_size)):
+                token = table.get(data[at[k] : at[k] + token_size].tobytes())
+                if token is not None:
+                    found[k], length[k] = token, token_size
+        return found, length
+
     def _propose(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest matches: the words' numbers and the tokens, in order of both."""
-        words, tokens, steps = [], [], []
-        active, at, left = np.arange(len(begin)), begin.copy(), size.copy()
+        words, tokens, steps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        active = np.flatnonzero(size <= LONG_WORD)
+        at, left = begin[active], size[active]
         step = 0
         while len(active):
-            found = self.byte_id[data[at]]
-            length = np.ones(len(active), np.int64)
-            open_ = np.ones(len(active), bool)
-            for token_size, keys, ids in self.tables:
-                if token_size == 1:
-                    break
-                here = np.flatnonzero(open_ & (left >= token_size))
-                if not len(here):
-                    continue
-                key = _keys(data, at[here], np.full(len(here), token_size))
-                spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[spot] == key
-                found[here[hit]] = ids[spot[hit]]
-                length[here[hit]] = token_size
-                open_[here[hit]] = False
+            found, length = self._longest(data, at, left)
             words.append(active)
             tokens.append(found)
             steps.append(np.full(len(active), step))
@@ -177,6 +231,16 @@ class BytePairEncoder:
             at, left = at + length, left - length
             keep = left > 0
             active, at, left = active[keep], at[keep], left[keep]
+        for k in np.flatnonzero(size > LONG_WORD):
+            n = int(size[k])
+            found, length = self._longest(data, begin[k] + np.arange(n), n - np.arange(n))
+            ahead, place, chain = length.tolist(), 0, []
+            while place < n:
+                chain.append(place)
+                place += ahead[place]
+            words.append(np.full(len(chain), k))
+            tokens.append(found[chain])
+            steps.append(np.arange(len(chain)))
         word, token, order = map(np.concatenate, (words, tokens, steps))
         by = np.lexsort((order, word))
         return word[by], token[by]
@@ -283,30 +347,42 @@ class BytePairEncoder:
 
     def _encode_words(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words, one after the other, and their bounds."""
-        short = np.flatnonzero(size <= LONG_WORD)
-        word, token = self._propose(data, begin[short], size[short]) if len(short) else (np.zeros(0, np.int64),) * 2
+        word, token = self._propose(data, begin, size)
         inside = word[1:] == word[:-1]
         pairs, back = np.unique(token[:-1][inside] << 20 | token[1:][inside], return_inverse=True)
         good = self._compatible(pairs >> 20, pairs & (1 << 20) - 1)[back] if len(pairs) else np.zeros(0, bool)
         wrong = np.unique(word[1:][inside][~good])
         if len(wrong):
-            b, s = begin[short[wrong]], size[short[wrong]]
-            number = np.repeat(np.arange(len(wrong)), s)
+            short = wrong[size[wrong] <= LONG_WORD]
+            b, s = begin[short], size[short]
+            number = np.repeat(np.arange(len(short)), s)
             place = np.arange(len(number)) - np.repeat(np.cumsum(s) - s, s) + np.repeat(b, s)
             fixed_word, fixed_token = self._merge(number, self.byte_id[data[place]])
             keep = ~np.isin(word, wrong)
-            word = np.concatenate([word[keep], wrong[fixed_word]])
-            token = np.concatenate([token[keep], fixed_token])
-        word = short[word]
-        for k in np.flatnonzero(size > LONG_WORD):
-            ids = self._merge_long(data[begin[k] : begin[k] + size[k]])
-            word, token = np.concatenate([word, np.full(len(ids), k)]), np.concatenate([token, ids])
+            words, tokens = [word[keep], short[fixed_word]], [token[keep], fixed_token]
+            for k in wrong[size[wrong] > LONG_WORD]:
+                tokens.append(self._merge_long(data[begin[k] : begin[k] + size[k]]))
+                words.append(np.full(len(tokens[-1]), k))
+            word, token = np.concatenate(words), np.concatenate(tokens)
         by = np.argsort(word, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(begin)))])
         return token[by].astype(np.int32), bounds
 
+    def _add(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encodes words and keeps their ids; the words' numbers."""
+        ids, bounds = self._encode_words(data, begin, size)
+        number = len(self._bounds) - 1 + np.arange(len(begin))
+        self._ids = np.concatenate([self._ids, ids])
+        self._bounds = np.concatenate([self._bounds, self._bounds[-1] + bounds[1:]])
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
+        self._begin = np.concatenate([self._begin, len(self._data) + np.cumsum(size) - size])
+        self._size = np.concatenate([self._size, size])
+        self._data = np.concatenate([self._data, data[place]])
+        return number
+
     def _lookup(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Number of each word among the words met so far; new ones are encoded first."""
+        """Number of each word among the words met so far; new ones are encoded first.  Words
+        are the same only if all their bytes are."""
         keys, index, back = np.unique(_keys(data, begin, size), return_index=True, return_inverse=True)
         at = np.searchsorted(self._known, keys)
         hit = np.zeros(len(keys), bool)
@@ -314,25 +390,31 @@ class BytePairEncoder:
         hit[inside] = self._known[at[inside]] == keys[inside]
         new = np.flatnonzero(~hit)
         if len(new):
-            ids, bounds = self._encode_words(data, begin[index[new]], size[index[new]])
-            number = len(self._bounds) - 1 + np.arange(len(new))
-            self._ids = np.concatenate([self._ids, ids])
-            self._bounds = np.concatenate([self._bounds, self._bounds[-1] + bounds[1:]])
+            number = self._add(data, begin[index[new]], size[index[new]])
             known = np.concatenate([self._known, keys[new]])
             order = np.argsort(known, kind="stable")
             self._known = known[order]
             self._known_at = np.concatenate([self._known_at, number])[order]
             at = np.searchsorted(self._known, keys)
-        return self._known_at[at][back]
+        word = self._known_at[at][back]
+        # Keys of up to seven bytes are the bytes; of longer words the bytes are compared.
+        long = np.flatnonzero(size > 7)
+        long_word = word[long]
+        other = self._size[long_word] != size[long]
+        equal = np.flatnonzero(~other)
+        other[equal] = ~_same(data, begin[long[equal]], self._data, self._begin[long_word[equal]], size[long[equal]])
+        apart = long[other]
+        if len(apart):
+            word[apart] = self._add(data, begin[apart], size[apart])
+        return word
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after the other, and the texts' bounds among them."""
         points, heads, data, bounds = code_points(text)
         if not len(points):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
-        if len(self._known) > 1 << 21:  # the words met so far are only a cache
-            self._known, self._known_at = self._known[:0], self._known_at[:0]
-            self._ids, self._bounds = self._ids[:0], self._bounds[:1]
+        if len(self._bounds) > KEPT_WORDS or len(self._data) > KEPT_WORDS * 16:  # they are only a cache
+            self._forget()
         begin_at = np.flatnonzero(word_starts(points, bounds))
         begin = heads[begin_at]
         size = np.diff(np.concatenate([begin, [len(data)]]))
