@@ -1,7 +1,7 @@
 import numpy as np
 
-from wordloom.llm import clusters, vectors
-from wordloom.llm.clusters import all_vectors, fit_mixture, route_mixture, similarity_groups
+from wordloom.llm import clusters
+from wordloom.llm.clusters import all_vectors, density, fit_mixture, similarity_groups
 
 SCHEMA = "row_id long, model_id long, embedding array<float>, density string, root int"
 
@@ -33,8 +33,8 @@ def made(rng, n, d):
     return [centres[k % len(centres)] + rng.normal(size=d) * (0.25 if k % 5 else 2) for k in range(n)]
 
 
-def run(spark, rows):
-    got = similarity_groups(frame(spark, rows))
+def run(spark, rows, **parameters):
+    got = similarity_groups(frame(spark, rows), **parameters)
     members = {}
     for r in got.members.collect():
         members.setdefault(r.head_id, set()).add(r.row_id)
@@ -54,29 +54,26 @@ def test_groups(spark):
     assert run(spark, []) == ({}, {})
 
 
-def test_divided_models(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "TARGET", 120)
+def test_models_of_several_blocks(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, 1, v) for i, v in enumerate(made(rng, 900, 24))]
-    members, _ = run(spark, rows)
+    rows = [(i, 1 + (i > 880), v) for i, v in enumerate(made(rng, 900, 24))]
+    # A pair and a row that is similar to one of the two only.
+    rows += [(1000, 3, [1, 0]), (1001, 3, [np.cos(0.6), np.sin(0.6)]), (1002, 3, [np.cos(1.2), np.sin(1.2)])]
     want = brute(rows)
-    assert len(want) > 30 and sum(members.get(h) == m for h, m in want.items()) >= 0.99 * len(want)
-    assert all(h in want for h in members)
-
+    assert len(want) > 30 and run(spark, rows, block=120)[0] == want
+    few = rows[-23:]
+    assert run(spark, few, block=1)[0] == brute(few)
 
-def test_groups_across_components(spark, monkeypatch):
-    def route(model, vectors):
-        # One component a row, whatever its neighbours.
-        return np.arange(len(vectors)), np.arange(len(vectors)) % 3, np.ones(len(vectors), bool), np.zeros(len(vectors))
 
-    monkeypatch.setattr(clusters, "route_mixture", route)
-    monkeypatch.setattr(clusters, "BLOCK", 50)
-    rng = np.random.default_rng(5)
-    rows = [(i, 1 + (i > 380), v) for i, v in enumerate(made(rng, 400, 24))]
-    # A pair and a row that is similar to one of the two only.
-    rows += [(500, 3, [1, 0]), (501, 3, [np.cos(0.6), np.sin(0.6)]), (502, 3, [np.cos(1.2), np.sin(1.2)])]
-    want = brute(rows)
-    assert len(want) > 10 and run(spark, rows)[0] == want
+def test_nearly_equal_vectors(spark):
+    # One group in several blocks, and a row that would spoil it.
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    rows = [(i, 1, centre + 0.01 * rng.normal(size=16)) for i in range(600)]
+    members, groups = run(spark, rows, block=100)
+    assert members == {0: set(range(600))} and groups[0].size == 600
+    spoiled = [*rows, (5000, 1, centre + 1.0202 * np.linalg.norm(centre) * np.linalg.qr(np.c_[centre, rng.normal(size=16)])[0][:, 1])]
+    assert len(brute(spoiled)) == 0 and run(spark, spoiled, block=100)[0] == {}
 
 
 def test_density_is_of_all_vectors(spark, monkeypatch):
@@ -84,15 +81,12 @@ def test_density_is_of_all_vectors(spark, monkeypatch):
     base = rng.normal(size=(300, 24)) * np.linspace(1, 2, 24)
     rows = [(i, 1, v) for i, v in enumerate(np.concatenate([base, base + 0.1 * rng.normal(size=base.shape)]))]
 
-    def density():
-        return {r.row_id: r.density for r in similarity_groups(frame(spark, rows)).members.collect()}
+    def density(**parameters):
+        return {r.row_id: r.density for r in similarity_groups(frame(spark, rows), **parameters).members.collect()}
 
     want = density()
-    monkeypatch.setattr(clusters, "TARGET", 200)
-    monkeypatch.setattr(clusters, "BLOCK", 150)
-    for module in (clusters, vectors):
-        monkeypatch.setattr(module, "SAMPLE", 150, raising=False)
-    got = density()
+    monkeypatch.setattr(clusters, "SAMPLE", 150)
+    got = density(block=150)
     assert len(want) > 10 and got.keys() == want.keys()
     assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
@@ -101,10 +95,9 @@ def test_criterion_chooses_components():
     rng = np.random.default_rng(4)
 
     def parts(x):
-        model = fit_mixture(x.astype(np.float32), len(x))
-        _, part, own, density = route_mixture(model, x.astype(np.float32))
-        assert np.isfinite(density).all()
-        return part[own]
+        values, part = density(fit_mixture(x.astype(np.float32)), x.astype(np.float32))
+        assert np.isfinite(values).all()
+        return part
 
     far = np.concatenate([rng.normal(size=(300, 8)) + 12 * c for c in np.eye(8)[:4]])
     found = parts(far)

@@ -41,20 +41,43 @@ def test_exact_in_small_models(spark):
 
 
 def test_recall_over_partitions(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "TARGET", 200)
-    monkeypatch.setattr(vectors, "SAMPLE", 700)
+    monkeypatch.setattr(neighbours, "SAMPLE", 700)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(60, 16))
     rows = [(i, 1, centres[i % 60] + 0.2 * rng.normal(size=16) if i % 3 else rng.normal(size=16)) for i in range(1500)]
     want = brute(rows)
     got = {}
-    for r in nearest_rows(frame(spark, rows)).collect():
+    for r in nearest_rows(frame(spark, rows), target=200).collect():
         got.setdefault(r.row_id, set()).add(r.other_id)
     assert all(len(v) == 5 for v in got.values())
     recall = sum(len(got[i] & set(n)) for i, n in want.items()) / sum(map(len, want.values()))
     assert recall >= 0.9
 
 
+def test_what_cannot_be_divided(spark, monkeypatch):
+    # Nearly equal vectors in many blocks: exact, whatever the routers make of them.
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=8)
+    rows = [(i, 1, centre + 1e-3 * rng.normal(size=8)) for i in range(700)] + [(i, 1, centre * (1 + i)) for i in range(700, 720)]
+    monkeypatch.setattr(neighbours, "fit_router", lambda vectors, size, target: b"")
+    got = {}
+    for r in nearest_rows(frame(spark, rows), target=50, block=60).orderBy("row_id", "place").collect():
+        got.setdefault(r.row_id, []).append(r.other_id)
+    assert got == brute(rows)
+
+
+def test_divided_again(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PARTS", 3)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, 1, centres[i % 40] + 0.1 * rng.normal(size=12)) for i in range(2000)]
+    want = brute(rows)
+    got = {}
+    for r in nearest_rows(frame(spark, rows), target=150).collect():
+        got.setdefault(r.row_id, set()).add(r.other_id)
+    assert sum(len(got[i] & set(n)) for i, n in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 @pytest.mark.parametrize("parts", [2, 5, 16])
 def test_parts_are_balanced(parts):
     unit = vectors.unit_rows(np.random.default_rng(2).normal(size=(800, 8))).astype(np.float32)

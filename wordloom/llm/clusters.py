@@ -2,50 +2,71 @@
 
 A Gaussian mixture is fitted to all of each model's vectors, standardised and reduced to their main
 directions, by expectation-maximisation with regularised covariances; the Bayesian information
-criterion chooses the number of components.  A model of up to TARGET vectors is fitted in one
-task; of a larger one a draw gives only the start, and moments, steps and criterion are passes
-over all its vectors with partial sums.  Each row is compared with its whole model, block against block, whatever its component,
-and a group counts if all its rows are similar to each other and to no other row.  The rows of
-highest density under the mixture stand for their group.
+criterion alone chooses the number of components among COMPONENTS.  A model of one block is fitted in
+one task; of a larger one a draw gives only the start, and moments, criterion and steps are passes
+over all its blocks with partial sums.  A component holds many of the groups that are asked for, which
+may be of two rows, so the mixture can't tell them apart: each vector is compared with its whole
+model, block against block, and a group counts if all its rows are similar to each other and to no
+other row.  The mixture describes the groups: by their component, and by the rows of highest density,
+which stand for their group.
 """
 
 from __future__ import annotations
 
-import io
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.vectors import BLOCK, SAMPLE, distinct_vectors, stacked_vectors, unit_rows, usable
+from wordloom.llm.vectors import BLOCK, SAMPLE, distinct_vectors, drawn, joined_blocks, mixed, pack, read_block, unit_rows, unpack, usable
 from wordloom.operators.quantize import decode_rows
 from wordloom.runtime import materialize
 
 #: Least cosine of similar rows.
 SIMILAR = 0.70
-#: Vectors of a model up to which one task fits its mixture.
-TARGET = 8192
 #: Main directions, and components to choose from.
 DIRECTIONS, COMPONENTS = 16, (1, 2, 4, 8, 16, 32)
-#: Share of a covariance that is shrunk to a sphere, and share of the responsibility that the
-#: components of a row hold.
-SHRINK, MASS = 0.1, 1 - 1e-8
-STEPS = 30
+#: Share of a covariance that is shrunk to a sphere.
+SHRINK = 0.1
+#: Most steps of a fit, and the gain in log-likelihood a vector at which it ends.
+STEPS, ENOUGH = 25, 1e-3
 #: Typical rows given of a group.
 TYPICAL = 3
 
 
-def _log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Logarithm of weight times density, for each row and component; ``root``: inverse Cholesky factors."""
-    out = np.empty((len(x), len(weight)))
-    for k in range(len(weight)):
-        z = (x - mean[k]) @ root[k].T
-        out[:, k] = math.log(weight[k]) + np.log(np.diag(root[k])).sum() - 0.5 * (z * z).sum(1)
-    return out - 0.5 * x.shape[1] * math.log(2 * math.pi)
+def _features(x: np.ndarray) -> np.ndarray:
+    """1, the coordinates and their products: the logarithm of a Gaussian's density is linear in
+    them, and their sums are all that a step needs."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], axis=1)
+
+
+def _coefficients(weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """For each component the coefficients of its weighted log-density in the features."""
+    d = mean.shape[1]
+    i, j = np.triu_indices(d)
+    inverse = np.linalg.inv(cov)
+    slope = np.einsum("kij,kj->ki", inverse, mean)
+    level = np.log(weight) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (slope * mean).sum(1) - 0.5 * d * math.log(2 * math.pi)
+    square = np.where(i == j, -0.5, -1.0) * inverse[:, i, j]
+    return np.concatenate([level[:, None], slope, square], axis=1).T
+
+
+def _moved(sums: np.ndarray, d: int) -> np.ndarray:
+    """Coefficients of the mixture whose components have these sums of features."""
+    total = sums[:, 0] + 1e-9
+    i, j = np.triu_indices(d)
+    mean = sums[:, 1 : 1 + d] / total[:, None]
+    cov = np.empty((len(sums), d, d))
+    cov[:, i, j] = cov[:, j, i] = sums[:, 1 + d :] / total[:, None]
+    cov -= mean[:, :, None] * mean[:, None, :]
+    sphere = SHRINK * np.trace(cov, axis1=1, axis2=2) / d + 1e-3
+    cov = (1 - SHRINK) * cov + sphere[:, None, None] * np.eye(d)
+    return _coefficients(total / total.sum(), mean, cov)
 
 
 def _log_sum(values: np.ndarray) -> np.ndarray:
@@ -53,6 +74,17 @@ def _log_sum(values: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(values - top).sum(1, keepdims=True)))[:, 0]
 
 
+def _responsibilities(features: np.ndarray, coefficients: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood, and the sums of features by responsibility."""
+    logs = features @ coefficients
+    top = logs.max(1, keepdims=True)
+    share = np.exp(logs - top)
+    total = share.sum(1, keepdims=True)
+    now = float((top + np.log(total)).sum())
+    share /= total
+    return now, share.T @ features
+
+
 def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     chosen = [int(rng.integers(len(x)))]
     far = ((x - x[chosen[0]]) ** 2).sum(1)
@@ -62,40 +94,26 @@ def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return x[chosen]
 
 
-def _root(cov: np.ndarray) -> np.ndarray:
-    """Inverse Cholesky factor of a covariance, regularised."""
-    d = len(cov)
-    cov = (1 - SHRINK) * cov + (SHRINK * np.trace(cov) / d + 1e-3) * np.eye(d)
-    return np.linalg.inv(np.linalg.cholesky(cov))
-
-
 def _criterion(now: float, n: int, k: int, d: int) -> float:
     return (k * (d + d * (d + 1) / 2) + k - 1) * math.log(n) - 2 * now
 
 
-def mixture(x: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """A mixture of ``k`` Gaussians: its information criterion, weights, means and roots."""
+def mixture(x: np.ndarray, k: int, features: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """A mixture of ``k`` Gaussians: its log-likelihood and coefficients."""
+    features = _features(x) if features is None else features
     rng = np.random.default_rng(k)
     n, d = x.shape
-    near = ((x[:, None, :] - _seeds(x, k, rng)[None]) ** 2).sum(2).argmin(1) if k > 1 else np.zeros(n, int)
-    share = np.eye(k)[near]
+    seeds = _seeds(x, k, rng)
+    near = ((seeds**2).sum(1) - 2 * x @ seeds.T).argmin(1)
+    coefficients = _moved(np.eye(k)[near].T @ features, d)
     before = -np.inf
     for _ in range(STEPS):
-        total = share.sum(0) + 1e-9
-        weight = total / total.sum()
-        mean = share.T @ x / total[:, None]
-        root = np.empty((k, d, d))
-        for c in range(k):
-            centred = x - mean[c]
-            root[c] = _root((share[:, c, None] * centred).T @ centred / total[c])
-        logs = _log_densities(x, weight, mean, root)
-        each = _log_sum(logs)
-        share = np.exp(logs - each[:, None])
-        now = each.sum()
-        if now - before < 1e-4 * n:
+        now, sums = _responsibilities(features, coefficients)
+        if now - before < ENOUGH * n:
             break
         before = now
-    return _criterion(now, n, k, d), weight, mean, root
+        coefficients = _moved(sums, d)
+    return now, coefficients
 
 
 def _directions(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,306 +125,290 @@ def _directions(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tried(size: int, d: int) -> list[int]:
+    """Numbers of components for which there are vectors enough."""
     return [k for k in COMPONENTS if k == 1 or k * 4 * d <= size]
 
 
-def _packed(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def _unpacked(data: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(data)))
-
-
-def fit_mixture(vectors: np.ndarray, size: int) -> bytes:
-    """The mixture of a cell of ``size`` vectors, with the standardisation and the directions it is
-    fitted in."""
+def fit_mixture(vectors: np.ndarray) -> dict[str, np.ndarray]:
+    """The mixture of a cell, with the standardisation and the directions it is fitted in."""
     unit = unit_rows(vectors)
     mean = unit.mean(0)
     centred = unit - mean
     scale, axes = _directions(centred.T @ centred / len(unit))
     x = centred / scale @ axes
-    best = None
-    for k in _tried(size, x.shape[1]):
-        found = mixture(x, k)
-        if best and found[0] >= best[0]:
-            break
-        best = found
-    return _packed(mean=mean, scale=scale, axes=axes, weight=best[1], centre=best[2], root=best[3])
-
+    features = _features(x)
+    found = {k: mixture(x, k, features) for k in _tried(*x.shape)}
+    best = min(found, key=lambda k: (_criterion(found[k][0], *(len(x), k, x.shape[1])), k))
+    return {"mean": mean, "scale": scale, "axes": axes, "coefficients": found[best][1]}
 
-def route_mixture(model: bytes, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The components that may have made each row, until they hold MASS of the responsibility."""
-    m = _unpacked(model)
-    x = (unit_rows(vectors) - m["mean"]) / m["scale"] @ m["axes"]
-    logs = _log_densities(x, m["weight"], m["centre"], m["root"])
-    each = _log_sum(logs)
-    share = np.exp(logs - each[:, None])
-    order = np.argsort(-share, axis=1, kind="stable")
-    held = np.take_along_axis(share, order, 1).cumsum(1)
-    take = np.concatenate([np.ones((len(x), 1), bool), held[:, :-1] < MASS], axis=1)
-    row, place = np.nonzero(take)
-    return row, order[row, place], place == 0, each[row]
 
-
-DENSITY = "vec_id long, density double"
-STATE = "cell string, state binary"
+def project(m: dict[str, np.ndarray], vectors: np.ndarray) -> np.ndarray:
+    return (unit_rows(vectors) - m["mean"]) / m["scale"] @ m["axes"]
 
 
-def _density(ids: pa.ChunkedArray, model: bytes, vectors: np.ndarray) -> pa.Table:
-    _, _, own, density = route_mixture(model, vectors)
-    return pa.table([ids, pa.array(density[own])], ["vec_id", "density"])
+def density(m: dict[str, np.ndarray], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the density of each vector under a mixture, and its most responsible component."""
+    logs = _features(project(m, vectors)) @ m["coefficients"]
+    return _log_sum(logs), logs.argmax(1)
 
 
-def fit_cell(table: pa.Table) -> pa.Table:
-    """Density of each vector of a cell under the mixture of all of them."""
-    table = table.take(pc.sort_indices(table.column("vec_id")))
-    vectors = stacked_vectors(table.column("vec"))
-    return _density(table.column("vec_id"), fit_mixture(vectors, len(vectors)), vectors)
+# Cells of several blocks: partial sums of blocks, states of cells.
+STATE = "cell string, state binary"
 
 
-def _state(table: pa.Table, **arrays: np.ndarray) -> pa.Table:
-    return pa.table({"cell": table.column("cell").slice(0, 1), "state": pa.array([_packed(**arrays)], pa.binary())})
+def _state(cell: str, **arrays: np.ndarray) -> pa.Table:
+    return pa.table({"cell": pa.array([cell]), "state": pa.array([pack(**arrays)], pa.binary())})
 
 
 def _states(table: pa.Table) -> list[dict[str, np.ndarray]]:
-    return [_unpacked(x) for x in table.column("state").to_pylist()]
+    return [unpack(x) for x in table.column("state").to_pylist()]
 
 
-def block_moments(table: pa.Table) -> pa.Table:
-    unit = unit_rows(stacked_vectors(table.column("vec")))
+def block_moments(vectors: np.ndarray) -> dict[str, np.ndarray]:
+    unit = unit_rows(vectors)
     centred = unit - unit.mean(0)
-    return _state(table, n=np.array(len(unit)), mean=unit.mean(0), second=centred.T @ centred)
+    return {"n": np.array(len(unit)), "mean": unit.mean(0), "second": centred.T @ centred}
 
 
-def cell_moments(table: pa.Table) -> pa.Table:
+def joint_moments(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Mean, scale and main directions of a cell from the moments of its blocks."""
-    parts = _states(table)
     n = sum(int(p["n"]) for p in parts)
     mean = sum(p["n"] * p["mean"] for p in parts) / n
     second = sum(p["second"] + p["n"] * np.outer(p["mean"] - mean, p["mean"] - mean) for p in parts)
     scale, axes = _directions(second / n)
-    return _state(table, n=np.array(n), mean=mean, scale=scale, axes=axes)
+    return {"n": np.array(n), "mean": mean, "scale": scale, "axes": axes}
 
 
-def _projected(table: pa.Table, m: dict[str, np.ndarray]) -> np.ndarray:
-    return (unit_rows(stacked_vectors(table.column("vec"))) - m["mean"]) / m["scale"] @ m["axes"]
-
-
-def start(draw: pa.Table, frame: pa.Table) -> pa.Table:
+def started(m: dict[str, np.ndarray], vectors: np.ndarray) -> dict[str, np.ndarray]:
     """Mixtures of a draw of a cell, one for each number of components, for the passes to start from."""
-    m = _states(frame)[0]
-    x = _projected(draw.take(pc.sort_indices(draw.column("vec_id"))), m)
+    x = project(m, vectors)
+    features = _features(x)
     for k in _tried(int(m["n"]), x.shape[1]):
-        _, m[f"weight{k}"], m[f"centre{k}"], m[f"root{k}"] = mixture(x, k)
-        m[f"now{k}"], m[f"open{k}"] = np.array(-np.inf), np.array(True)
-    return _state(frame, **m)
+        m[f"c{k}"] = mixture(x, k, features)[1]
+    return m | {"best": np.array(0), "now": np.array(-np.inf)}
 
 
 def _open(m: dict[str, np.ndarray]) -> list[int]:
-    return [k for k in COMPONENTS if f"open{k}" in m and m[f"open{k}"]]
+    return [int(m["best"])] if m["best"] else _tried(int(m["n"]), m["axes"].shape[1])
 
 
-def block_sums(block: pa.Table, state: pa.Table) -> pa.Table:
-    """The responsibilities of a block, summed up: total, and first and second moments about the
-    components' centres, with the log-likelihood."""
-    m, sums = _states(state)[0], {}
-    x = np.frombuffer(block.column("x")[0].as_py()).reshape(-1, m["axes"].shape[1])
-    for k in _open(m):
-        centre = m[f"centre{k}"]
-        logs = _log_densities(x, m[f"weight{k}"], centre, m[f"root{k}"])
-        each = _log_sum(logs)
-        share = np.exp(logs - each[:, None])
-        away = [x - c for c in centre]
-        sums[f"now{k}"], sums[f"total{k}"] = each.sum(), share.sum(0)
-        sums[f"first{k}"] = np.array([share[:, c] @ away[c] for c in range(k)])
-        sums[f"second{k}"] = np.array([(share[:, c, None] * away[c]).T @ away[c] for c in range(k)])
-    return _state(block, **sums)
-
-
-def step(parts: pa.Table, state: pa.Table, last: bool) -> pa.Table:
-    """The mixtures of a cell after a step, from the sums of all its blocks."""
-    m, sums = _states(state)[0], _states(parts)
+def block_sums(m: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+    """Log-likelihood and sums of features of a block under the mixtures that are still open."""
+    features, sums = _features(x), {}
     for k in _open(m):
-        now, total, first, second = (sum(p[f"{name}{k}"] for p in sums) for name in ("now", "total", "first", "second"))
-        if last or now - m[f"now{k}"] < 1e-4 * m["n"]:
-            m[f"open{k}"] = np.array(False)
-        else:
-            total = total + 1e-9
-            moved = first / total[:, None]
-            m[f"weight{k}"], m[f"centre{k}"] = total / total.sum(), m[f"centre{k}"] + moved
-            m[f"root{k}"] = np.array([_root(second[c] / total[c] - np.outer(moved[c], moved[c])) for c in range(k)])
-        m[f"now{k}"] = np.array(now)
-    out = _state(state, **m)
-    return out.append_column("open", pa.array([bool(_open(m))]))
-
-
-def chosen(m: dict[str, np.ndarray]) -> bytes:
-    """The mixture of least criterion, as fit_mixture() gives it."""
+        sums[f"now{k}"], sums[f"sums{k}"] = _responsibilities(features, m[f"c{k}"])
+    return sums
+
+
+def step(m: dict[str, np.ndarray], parts: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], bool]:
+    """The state of a cell after a pass over all its blocks, and whether another is wanted.  The
+    first pass gives the criterion of each number of components; the best one's mixture is then
+    moved until it gains no more."""
     n, d = int(m["n"]), m["axes"].shape[1]
-    best = None
-    for k in _tried(n, d):
-        value = _criterion(float(m[f"now{k}"]), n, k, d)
-        if best and value >= best[0]:
-            break
-        best = value, k
-    k = best[1]
-    return _packed(**{x: m[x] for x in ("mean", "scale", "axes")}, weight=m[f"weight{k}"], centre=m[f"centre{k}"], root=m[f"root{k}"])
-
-
-def _large_densities(vectors: DataFrame, large: DataFrame) -> DataFrame:
-    """densities() of the cells of ``large`` (cell, n), each fitted in passes over its blocks."""
-    large = large.withColumn("salts", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("long"))
-    rows = vectors.join(large, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit("salt")), F.col("salts")))
-    rows = materialize(rows.select("cell", "salt", "vec_id", "vec", "n"))
-
-    def spread(states: DataFrame) -> DataFrame:
-        block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("block")
-        return states.join(large, "cell").select("cell", "state", block)
-
-    moments = rows.select("cell", "salt", "vec").groupBy("cell", "salt").applyInArrow(block_moments, STATE)
-    frames = materialize(moments.groupBy("cell").applyInArrow(cell_moments, STATE))
-
-    def project(block: pa.Table, frame: pa.Table) -> pa.Table:
-        x = _projected(block, _states(frame)[0]).tobytes() if len(block) else b""
-        kept = block.slice(0, 1).select(["cell", "salt"])
-        return kept.append_column("x", pa.array([x] * len(kept), pa.binary()))
-
-    by_block = rows.groupBy("cell", "salt").cogroup(spread(frames).groupBy("cell", "block"))
-    blocks = materialize(by_block.applyInArrow(project, "cell string, salt long, x binary"))
-    drawn = F.pmod(F.xxhash64("vec_id", F.lit(0)), F.lit(1 << 30)) < F.lit(float((1 << 30) * SAMPLE)) / F.col("n")
-    draw = rows.where(drawn).select("cell", "vec_id", "vec")
-    states = materialize(draw.groupBy("cell").cogroup(frames.groupBy("cell")).applyInArrow(start, STATE))
-    done = []
-    for k in range(STEPS):
-        last = k == STEPS - 1
+    now = {k: sum(float(p[f"now{k}"]) for p in parts) for k in _open(m)}
+    best = min(now, key=lambda k: (_criterion(now[k], n, k, d), k))
+    if now[best] - m["now"] < ENOUGH * n:
+        return m | {"now": np.array(now[best])}, False
+    moved = _moved(sum(p[f"sums{best}"] for p in parts), d)
+    return {x: m[x] for x in ("n", "mean", "scale", "axes")} | {"best": np.array(best), "now": np.array(now[best]), f"c{best}": moved}, True
+
+
+DENSITY = "vec_id long, density double, component int"
+
 
-        def sums(block: pa.Table, state: pa.Table) -> pa.Table:
-            return block_sums(block, state) if len(block) and len(state) else block.slice(0, 0).select(["cell"]).append_column("state", pa.array([], pa.binary()))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
-        def advance(parts: pa.Table, state: pa.Table) -> pa.Table:
-            return step(parts, state, last)
 
-        parts = blocks.join(states.select("cell"), "cell", "left_semi").groupBy("cell", "salt").cogroup(spread(states).groupBy("cell", "block"))
-        parts = parts.applyInArrow(sums, STATE)
-        moved = materialize(parts.groupBy("cell").cogroup(states.groupBy("cell")).applyInArrow(advance, STATE + ", open boolean"))
-        done.append(moved.where("not open").select("cell", "state"))
-        states = moved.where("open").select("cell", "state")
+def _batch(schema: list[tuple[str, pa.DataType]], *columns: np.ndarray | list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
+
+
+_STATE = [("cell", pa.string()), ("state", pa.binary())]
+_DENSITY = [("vec_id", pa.int64()), ("density", pa.float64()), ("component", pa.int32())]
+
+
+def large_densities(blocks: DataFrame) -> DataFrame:
+    """densities() of the vectors of cells of several blocks.  States are joined to blocks,
+    by broadcast while the planner finds them small, and what a block sends is of fixed size."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, ids, vecs in _rows(batches):
+            yield _batch(_STATE, [cell], [pack(**block_moments(read_block(ids, vecs)[1]))])
+
+    def frame(table: pa.Table) -> pa.Table:
+        return _state(table.column("cell")[0].as_py(), **joint_moments(_states(table)))
+
+    plain = blocks.select("cell", "ids", "vecs")
+    frames = materialize(plain.mapInArrow(moments, STATE).groupBy("cell").applyInArrow(frame, STATE))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, ids, vecs, state in _rows(batches):
+            x = project(unpack(state), read_block(ids, vecs)[1])
+            yield _batch([("cell", pa.string()), ("x", pa.binary())], [cell], [x.tobytes()])
+
+    points = materialize(plain.join(frames, "cell").select("cell", "ids", "vecs", "state").mapInArrow(reduce, "cell string, x binary"))
+
+    def start(table: pa.Table) -> pa.Table:
+        return _state(table.column("cell")[0].as_py(), **started(_states(table.slice(0, 1))[0], joined_blocks(table)[1]))
+
+    draw = drawn(blocks, SAMPLE, 0).join(frames, "cell")
+    states = materialize(draw.groupBy("cell").applyInArrow(start, STATE).withColumn("going", F.lit(True)))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, x, state in _rows(batches):
+            m = unpack(state)
+            yield _batch(_STATE, [cell], [pack(**block_sums(m, np.frombuffer(x).reshape(-1, m["axes"].shape[1])))])
+
+    def advance(parts: pa.Table, state: pa.Table) -> pa.Table:
+        moved, going = step(_states(state)[0], _states(parts))
+        out = _state(state.column("cell")[0].as_py(), **moved)
+        return out.append_column("going", pa.array([going]))
+
+    done = []
+    for _ in range(STEPS):
+        parts = points.join(states.select("cell", "state"), "cell").select("cell", "x", "state").mapInArrow(sums, STATE)
+        states = materialize(parts.groupBy("cell").cogroup(states.select("cell", "state").groupBy("cell")).applyInArrow(advance, STATE + ", going boolean"))
+        done.append(states.where("not going").select("cell", "state"))
+        states = states.where("going")
         if states.isEmpty():
             break
-    final = done[0]
-    for part in done[1:]:
+    final = states.select("cell", "state")
+    for part in done:
         final = final.unionByName(part)
 
-    def density(block: pa.Table, state: pa.Table) -> pa.Table:
-        if not len(block):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], ["vec_id", "density"])
-        return _density(block.column("vec_id"), chosen(_states(state)[0]), stacked_vectors(block.column("vec")))
-
-    by_block = rows.groupBy("cell", "salt").cogroup(spread(final).groupBy("cell", "block"))
-    return by_block.applyInArrow(density, DENSITY)
-
-
-def densities(vectors: DataFrame) -> DataFrame:
-    """vec_id and density (logarithm) of every vector under the mixture of its cell, fitted to all
-    its vectors.  ``vectors``: cell, vec_id, vec."""
-    sizes = materialize(vectors.groupBy("cell").agg(F.count("*").alias("n")))
-    small = vectors.join(sizes.where(F.col("n") <= TARGET).select("cell"), "cell", "left_semi")
-    found = small.select("cell", "vec_id", "vec").groupBy("cell").applyInArrow(fit_cell, DENSITY)
-    large = sizes.where(F.col("n") > TARGET)
-    return found if large.isEmpty() else found.unionByName(_large_densities(vectors, large))
-
-
-COUNTS = "vec_id long, similar long, root long"
-
-
-def count_pairs(table: pa.Table) -> pa.Table:
-    """vec_id, similar and root of each vector of a block, or of two blocks, that has similar ones:
-    how many they are, and the least vec_id of them and itself.  Only vectors of one key, and, if
-    ``low`` and ``high`` differ, of different blocks, are compared."""
-    schema = pa.schema([("vec_id", pa.int64()), ("similar", pa.int64()), ("root", pa.int64())])
-    table = table.sort_by([("key", "ascending"), ("vec_id", "ascending")])
-    keys = np.asarray(table.column("key").combine_chunks().dictionary_encode().indices)
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])) if len(keys) else []
-    same = len(table) and table.column("low")[0].as_py() == table.column("high")[0].as_py()
-    out = []
-    for start, end in zip(starts, [*starts[1:], len(keys)]):
-        part = table.slice(start, end - start)
-        ids, unit = np.asarray(part.column("vec_id")), unit_rows(stacked_vectors(part.column("vec")))
-        block = np.asarray(part.column("block"))
-        left = np.arange(len(ids)) if same else np.flatnonzero(block == part.column("low")[0].as_py())
-        right = left if same else np.flatnonzero(block == part.column("high")[0].as_py())
-        if not len(left) or not len(right):
-            continue
-        similar, root = np.zeros(len(ids), np.int64), ids.copy()
-        base = unit[right]
-        for k in range(0, len(left), 512):
-            rows = left[k : k + 512]
-            alike = unit[rows] @ base.T >= SIMILAR
-            if same:
-                alike[np.arange(len(rows)), rows] = False
-            some = alike.any(1)
-            similar[rows] += alike.sum(1)
-            root[rows[some]] = np.minimum(root[rows[some]], ids[right[alike[some].argmax(1)]])
-            if not same:
-                some = alike.any(0)
-                similar[right] += alike.sum(0)
-                root[right[some]] = np.minimum(root[right[some]], ids[rows[alike[:, some].argmax(0)]])
-        found = similar > 0
-        out.append((ids[found], similar[found], root[found]))
-    if not out:
-        return schema.empty_table()
-    return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
-
-
-def similar_counts(rows: DataFrame, key: str) -> DataFrame:
-    """vec_id, similar, root: for every vector that has similar ones among those of the same ``key``,
-    how many, and the least vec_id of them and itself.  Exact: each block of a key is compared with
-    each, a pair of blocks a task; keys of one block share tasks.
-
-    ``rows``: vec_id (key), vec and the column ``key``.
-    """
-    sizes = materialize(rows.groupBy(key).agg(F.count("*").alias("n")))
-    packs = max(1, -(-(sizes.agg(F.sum("n").alias("n")).first()["n"] or 0) // BLOCK))
-    sized = sizes.select(key, F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("long").alias("blocks"))
-    blocked = rows.join(sized, key).select(
-        F.col(key).cast("string").alias("key"), "vec_id", "vec", "blocks", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
-    )
-    pack = F.pmod(F.xxhash64("key"), F.lit(packs)).cast("string")
-    tasks = blocked.select(
-        F.when(F.col("blocks") > 1, F.concat(F.lit("="), "key")).otherwise(pack).alias("task"),
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "block", "vec_id", "vec",
-    )
-    counted = tasks.groupBy("task", "low", "high").applyInArrow(count_pairs, COUNTS)
-    return counted.groupBy("vec_id").agg(F.sum("similar").alias("similar"), F.min("root").alias("root"))
-
-
-def similar_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vecs, state in _rows(batches):
+            m = unpack(state)
+            numbers, vectors = read_block(ids, vecs)
+            yield _batch(_DENSITY, numbers, *density(m | {"coefficients": m[f"c{int(m['best'])}"]}, vectors))
+
+    return plain.join(final, "cell").select("ids", "vecs", "state").mapInArrow(densities, DENSITY)
+
+
+COUNTS = "vec_id long, similar long, root long, mark long"
+_COUNTS = [("vec_id", pa.int64()), ("similar", pa.int64()), ("root", pa.int64()), ("mark", pa.int64())]
+
+
+def count_pairs(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
+    """vec_id, similar, root and mark of the vectors of a block (ids and vectors) that have similar
+    ones in it, or in another block: how many they are, the least vec_id of them and itself, and
+    a mark that tells sets of them apart (the parity of well-mixed 64 bits of each)."""
+    ids, unit = one[0], unit_rows(one[1])
+    other, base = (ids, unit) if two is None else (two[0], unit_rows(two[1]))
+    if not len(ids) or not len(other):
+        return [np.zeros(0, np.int64)] * 4
+    quick, quick_base = unit.astype(np.float32), base.astype(np.float32).T
+    marks, other_marks = mixed(ids), mixed(other)
+    rows, columns = [], []
+    for low in range(0, len(ids), 1024):
+        score = quick[low : low + 1024] @ quick_base
+        row, column = np.divmod(np.flatnonzero(score >= np.float32(SIMILAR - 1e-4)), len(other))
+        # Single precision decides what is far from the border, double precision the rest.
+        close = np.flatnonzero(score[row, column] < np.float32(SIMILAR + 1e-4))
+        good = np.ones(len(row), bool)
+        for k in range(0, len(close), 1 << 16):
+            part = close[k : k + (1 << 16)]
+            good[part] = np.einsum("ij,ij->i", unit[low + row[part]], base[column[part]]) >= SIMILAR
+        row = row + low
+        if two is None:
+            good &= row != column
+        rows.append(row[good])
+        columns.append(column[good])
+    row, column = np.concatenate(rows), np.concatenate(columns)
+    found = [_summed(ids, row, other, other_marks, column)]
+    if two is not None:
+        order = np.argsort(column, kind="stable")
+        found.append(_summed(other, column[order], ids, marks, row[order]))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def _summed(ids: np.ndarray, row: np.ndarray, other: np.ndarray, marks: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The counts of the vectors that occur in ``row``, which is in order."""
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 4
+    head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    size = np.diff(np.append(head, len(row)))
+    own = ids[row[head]]
+    root = np.minimum(own, np.minimum.reduceat(other[column], head))
+    return own, size, root, np.bitwise_xor.reduceat(marks[column], head).view(np.int64)
+
+
+def similar_counts(blocks: DataFrame) -> DataFrame:
+    """vec_id, similar, root, mark of every vector that has similar ones in its cell.  Exact: each
+    block of a cell is compared with each, a pair of blocks a task.  ``blocks``: PACKED."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vecs in _rows(batches):
+            yield _batch(_COUNTS, *count_pairs(read_block(ids, vecs)))
+
+    counted = blocks.select("ids", "vecs").mapInArrow(alone, COUNTS)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other")
+    # Numbers of blocks, without gaps where a share of the hash was empty, are not needed: an
+    # absent partner leaves a task with one block.
+    shares = blocks.groupBy("cell").agg((F.max("salt") + 1).alias("shares")).where("shares > 1")
+    spread = blocks.join(shares, "cell").select("cell", "salt", "ids", "vecs", other).where("other <> salt")
+    tasks = spread.select("cell", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "ids", "vecs")
+
+    def pair(table: pa.Table) -> pa.Table:
+        if len(table) < 2:
+            return pa.table([pa.array([], t) for _, t in _COUNTS], [n for n, _ in _COUNTS])
+        one, two = (read_block(table.column("ids")[k].as_py(), table.column("vecs")[k].as_py()) for k in (0, 1))
+        return pa.Table.from_batches([_batch(_COUNTS, *count_pairs(one, two))])
+
+    across = tasks.groupBy("cell", "low", "high").applyInArrow(pair, COUNTS)
+    return (
+        counted.unionByName(across)
+        .groupBy("vec_id")
+        .agg(F.sum("similar").alias("similar"), F.min("root").alias("root"), F.bit_xor("mark").alias("mark"))
+    )
+
+
+def similar_groups(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """vec_id and root (least vec_id of the group) of the vectors of groups of two or more; and
-    vec_id of all vectors that have similar ones.  ``vectors``: cell, vec_id, vec."""
-    near = materialize(similar_counts(vectors, "cell"))
-    sizes = near.groupBy("root").agg(F.count("*").alias("n"), F.min("similar").alias("least"), F.max("similar").alias("most"))
-    # All have the right number of similar vectors in the whole model; now whether these are the group's.
-    likely = near.join(sizes.where("least = n - 1 and most = n - 1"), "root", "left_semi")
-    likely = materialize(likely.join(vectors.select("vec_id", "vec"), "vec_id").select("root", "vec_id", "vec", "similar"))
-    within = similar_counts(likely, "root").select("vec_id", F.col("similar").alias("within"))
-    wrong = likely.join(within, "vec_id", "left").where("within is null or within <> similar").select("root")
-    return likely.join(wrong, "root", "left_anti").select("vec_id", "root"), near.select("vec_id")
+    vec_id of all vectors that have similar ones.  ``blocks``: PACKED.
+
+    The vectors of one root are a group if each has as many similar ones as there are others, and
+    all have the same set of them, themselves included."""
+
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, mark = (np.asarray(batch.column(k)) for k in (0, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((mark.view(np.uint64) ^ mixed(ids)).view(np.int64))], [n for n, _ in _COUNTS])
+
+    near = materialize(similar_counts(blocks).mapInArrow(closed, COUNTS))
+    sizes = near.groupBy("root").agg(
+        F.count("*").alias("n"), F.min("similar").alias("least"), F.max("similar").alias("most"), F.min("mark").alias("a"), F.max("mark").alias("b")
+    )
+    whole = near.join(sizes.where("least = n - 1 and most = n - 1 and a = b").select("root"), "root", "left_semi")
+    return whole.select("vec_id", "root"), near.select("vec_id")
 
 
 @dataclass(frozen=True)
 class Groups:
-    """``members``: head_id (least row_id of the group), row_id, density; ``groups``: head_id,
-    size, typical (row_ids of highest density)."""
+    """``members``: head_id (least row_id of the group), row_id, density, component; ``groups``:
+    head_id, size, typical (row_ids of highest density), components (how many its rows are in)."""
 
     members: DataFrame
     groups: DataFrame
 
 
-def similarity_groups(vectors: DataFrame, column: str = "embedding") -> Groups:
+def densities(blocks: DataFrame) -> DataFrame:
+    """vec_id, density (logarithm) and component of every vector under the mixture of its cell, fitted
+    to all its vectors.  ``blocks``: PACKED."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vecs in _rows(batches):
+            numbers, vectors = read_block(ids, vecs)
+            yield _batch(_DENSITY, numbers, *density(fit_mixture(vectors), vectors))
+
+    found = blocks.where("blocks = 1").select("ids", "vecs").mapInArrow(fit, DENSITY)
+    large = blocks.where("blocks > 1")
+    return found if large.isEmpty() else found.unionByName(large_densities(large))
+
+
+def similarity_groups(vectors: DataFrame, column: str = "embedding", block: int = BLOCK) -> Groups:
     """Groups of two or more rows of a model that are all similar to each other (cosine of
     SIMILAR at least) and to no other row of the model.
 
@@ -414,21 +416,22 @@ def similarity_groups(vectors: DataFrame, column: str = "embedding") -> Groups:
     Null and zero vectors and those with nulls or infinite components belong to no group,
     repeated rows count each; vectors of different lengths are not compared; a null model_id
     is a model.  Of equal density the smaller row_id is the more typical.  An empty table has
-    no groups.
+    no groups.  No task has more than two blocks of about ``block`` vectors.
     """
-    found = distinct_vectors(usable(vectors, column))
-    whole, near = similar_groups(found.vectors)
-    alone = found.rows.select("vec_id").join(near, "vec_id", "left_anti").groupBy("vec_id").count()
-    copies = alone.where("count > 1").select("vec_id", F.col("vec_id").alias("root"))
-    density = materialize(densities(found.vectors))
+    found = distinct_vectors(usable(vectors, column), block)
+    whole, near = similar_groups(found.blocks)
+    alone = found.copies.select("vec_id").distinct().join(near, "vec_id", "left_anti")
+    rooted = whole.unionByName(alone.select("vec_id", F.col("vec_id").alias("root")))
     members = materialize(
-        found.rows.join(whole.unionByName(copies), "vec_id").join(density, "vec_id").select(F.col("root").alias("head_id"), "row_id", "density")
+        rooted.join(densities(found.blocks), "vec_id")
+        .join(found.copies, "vec_id", "left")
+        .select(F.col("root").alias("head_id"), F.coalesce("row_id", "vec_id").alias("row_id"), "density", "component")
     )
     order = Window.partitionBy("head_id").orderBy(F.desc("density"), "row_id")
     typical = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TYPICAL)
     listed = typical.groupBy("head_id").agg(F.array_sort(F.collect_list(F.struct("place", "row_id"))).alias("t"))
-    sizes = members.groupBy("head_id").agg(F.count("*").alias("size"))
-    groups = sizes.join(listed.select("head_id", F.col("t.row_id").alias("typical")), "head_id")
+    sizes = members.groupBy("head_id").agg(F.count("*").alias("size"), F.count_distinct("component").alias("components"))
+    groups = sizes.join(listed, "head_id").select("head_id", "size", F.col("t.row_id").alias("typical"), "components")
     return Groups(members, groups)
 
 

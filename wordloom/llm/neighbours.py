@@ -3,28 +3,31 @@
 Learned partitions: the neighbour graph of a sample is divided into balanced parts, a small
 classifier learns in which parts a vector's neighbours are, and every vector is compared
 exactly with those of its most probable parts, as many as hold the asked share of probability.
+Parts that are still large are divided again.  What can't be divided, as vectors that are nearly
+equal, is compared block against block, so no task has more than two blocks.
 """
 
 from __future__ import annotations
 
-import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.vectors import BLOCK, distinct_vectors, divide, first_copies, stacked_vectors, unit_rows, usable
+from wordloom.llm.vectors import BLOCK, SAMPLE, distinct_vectors, drawn, joined_blocks, pack, read_block, unit_rows, unpack, usable
 from wordloom.runtime import materialize
 
-#: Vectors of a partition at which it is divided, and parts it is divided into at most.
+#: Vectors of a partition above which it is divided, and parts it is divided into at most.
 TARGET, PARTS = 2048, 64
 #: Neighbours in the graph that is divided.
 GRAPH = 10
 #: Share of the probability that the searched parts hold.
 MASS = 0.99
+#: Share of a cell that its largest part may have for the division to count as one.
+MOST = 0.8
 
 
 def _knn(unit: np.ndarray, k: int) -> np.ndarray:
@@ -86,10 +89,16 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits / logits.sum(1, keepdims=True)
 
 
-def fit_router(vectors: np.ndarray, size: int) -> bytes:
-    """Weights of a linear classifier of unit vectors over the parts of a partition."""
+def _inputs(vectors: np.ndarray) -> np.ndarray:
     unit = unit_rows(vectors).astype(np.float32)
-    parts = min(PARTS, math.ceil(size / (0.75 * TARGET)))
+    return np.concatenate([unit * np.float32(math.sqrt(unit.shape[1])), np.ones((len(unit), 1), np.float32)], axis=1)
+
+
+def fit_router(vectors: np.ndarray, size: int, target: int = TARGET) -> bytes:
+    """Weights of a linear classifier of unit vectors over the parts of a partition of ``size``
+    vectors, of which ``vectors`` are a draw; empty where they can't be divided."""
+    unit = unit_rows(vectors).astype(np.float32)
+    parts = min(PARTS, math.ceil(size / (0.75 * target)))
     if parts < 2 or len(unit) <= 2 * parts:
         return b""
     graph = _knn(unit, GRAPH)
@@ -98,7 +107,7 @@ def fit_router(vectors: np.ndarray, size: int) -> bytes:
     wanted = np.zeros((len(unit), parts), np.float32)
     np.add.at(wanted, (np.repeat(np.arange(len(unit)), graph.shape[1]), part[graph].ravel()), 1)
     wanted /= wanted.sum(1, keepdims=True)
-    inputs = np.concatenate([unit * np.float32(math.sqrt(unit.shape[1])), np.ones((len(unit), 1), np.float32)], axis=1)
+    inputs = _inputs(vectors)
     weight = np.zeros((inputs.shape[1], parts), np.float32)
     first, second = np.zeros_like(weight), np.zeros_like(weight)
     for step in range(1, 201):
@@ -107,55 +116,164 @@ def fit_router(vectors: np.ndarray, size: int) -> bytes:
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         weight -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    out = io.BytesIO()
-    np.save(out, weight)
-    return out.getvalue()
+    own = np.bincount((inputs @ weight).argmax(1), minlength=parts)
+    return pack(weight=weight) if own.max() <= MOST * len(inputs) else b""
 
 
-def route_vectors(model: bytes, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The parts of each vector, from the most probable on, until they hold MASS."""
-    weight = np.load(io.BytesIO(model))
-    unit = unit_rows(vectors).astype(np.float32)
-    inputs = np.concatenate([unit * np.float32(math.sqrt(unit.shape[1])), np.ones((len(unit), 1), np.float32)], axis=1)
-    chance = _softmax(inputs @ weight)
+def route_vectors(model: bytes, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of each vector, from the most probable on, until they hold MASS: row numbers, parts,
+    and whether the part is the most probable one."""
+    chance = _softmax(_inputs(vectors) @ unpack(model)["weight"])
     order = np.argsort(-chance, axis=1, kind="stable")
     held = np.take_along_axis(chance, order, 1).cumsum(1)
-    search = np.concatenate([np.ones((len(unit), 1), bool), held[:, :-1] < MASS], axis=1)
+    search = np.concatenate([np.ones((len(chance), 1), bool), held[:, :-1] < MASS], axis=1)
     row, place = np.nonzero(search)
-    return row, order[row, place], place == 0, np.zeros(len(row))
+    return row, order[row, place], place == 0
+
+
+CELLS = "cell string, size long, n long, ids binary, vecs binary, own binary"
+_CELLS = pa.schema([("cell", pa.string()), ("size", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("own", pa.binary())])
+
+
+def _slices(cell: str, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> dict:
+    """Vectors of a cell as rows CELLS of at most BLOCK vectors."""
+    cuts = range(0, len(ids), BLOCK)
+    return {
+        "cell": [cell] * len(cuts), "size": [int(own[k : k + BLOCK].sum()) for k in cuts], "n": [len(ids[k : k + BLOCK]) for k in cuts],
+        "ids": [ids[k : k + BLOCK].tobytes() for k in cuts], "vecs": [vectors[k : k + BLOCK].tobytes() for k in cuts],
+        "own": [own[k : k + BLOCK].tobytes() for k in cuts],
+    }
+
+
+def partitions(blocks: DataFrame, target: int) -> DataFrame:
+    """Rows CELLS: every vector in its own cell and, with ``own`` false, in the others in which its
+    neighbours may be; ``size`` counts the first, ``n`` all.  Cells of more than ``target`` own
+    vectors are divided, until none is left that can be.
+
+    A router is joined to blocks, by broadcast while the planner finds the routers small.  Each
+    level is one pass without a shuffle of vectors, over the cells that are still large."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, ids, vecs in zip(*(c.to_pylist() for c in batch.columns)):
+                numbers, vectors = read_block(ids, vecs)
+                yield pa.RecordBatch.from_pydict(_slices(cell, numbers, vectors, np.ones(len(numbers), bool)), schema=_CELLS)
+
+    rows = blocks.select("cell", "ids", "vecs").mapInArrow(first, CELLS)
+    done: DataFrame | None = None
+    level = 0
+    while True:
+        # Of the first level the sizes are known.
+        sizes = (
+            blocks.select("cell", "total").distinct() if not level else rows.groupBy("cell").agg(F.sum("size").alias("total"))
+        ).where(F.col("total") > target)
+        sizes = materialize(sizes)
+        if sizes.isEmpty():
+            return rows if done is None else done.unionByName(rows)
+        seed = level
+
+        def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for cell, total, ids, vecs, own in zip(*(c.to_pylist() for c in batch.columns)):
+                    keep = np.frombuffer(own, bool)
+                    numbers = np.frombuffer(ids, np.int64)
+                    vectors = np.frombuffer(vecs, np.float32).reshape(len(numbers), -1)
+                    yield pa.RecordBatch.from_pydict(
+                        {"cell": [cell], "total": [total], "ids": [numbers[keep].tobytes()], "vecs": [vectors[keep].tobytes()]},
+                        schema=pa.schema([("cell", pa.string()), ("total", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary())]),
+                    )
 
+        def learn(table: pa.Table) -> pa.Table:
+            model = fit_router(joined_blocks(table)[1], table.column("total")[0].as_py(), target)
+            return pa.table({"cell": table.column("cell").slice(0, 1), "model": pa.array([model], pa.binary())})
 
-#: Key of a vector itself, below every other.
-_SELF = -(1 << 62)
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for cell, ids, vecs, own, model in zip(*(c.to_pylist() for c in batch.columns)):
+                    numbers, mine = np.frombuffer(ids, np.int64), np.frombuffer(own, bool)
+                    vectors = np.frombuffer(vecs, np.float32).reshape(len(numbers), -1)
+                    row, part, likeliest = route_vectors(model, vectors)
+                    for p in np.unique(part):
+                        here = part == p
+                        r = row[here]
+                        made = _slices(f"{cell}/{p}", numbers[r], vectors[r], mine[r] & likeliest[here])
+                        yield pa.RecordBatch.from_pydict(made, schema=_CELLS)
 
+        large = rows.join(sizes, "cell").select("cell", "total", "ids", "vecs", "own")
+        owned_rows = large.mapInArrow(owned, "cell string, total long, ids binary, vecs binary")
+        draw = drawn(owned_rows, SAMPLE, seed).join(sizes, "cell")
+        models = materialize(draw.groupBy("cell").applyInArrow(learn, "cell string, model binary")).where("length(model) > 0")
+        whole = rows.join(models.select("cell"), "cell", "left_anti")
+        done = whole if done is None else done.unionByName(whole)
+        routed = rows.join(models, "cell").select("cell", "ids", "vecs", "own", "model").mapInArrow(send, CELLS)
+        rows = materialize(routed)
+        level += 1
 
-def _search(queries: pa.Table, held: pa.Table, k: int) -> pa.Table:
-    """The ``k`` best other vectors of a cell for each query, by rounded cosine, then vec_id."""
-    schema = pa.schema([("vec_id", pa.int64()), ("other", pa.int64()), ("cosine", pa.int64())])
-    if not len(queries) or not len(held):
-        return schema.empty_table()
-    held = held.take(pc.sort_indices(held.column("held_id")))
-    ids = np.asarray(held.column("held_id"))
-    base = unit_rows(stacked_vectors(held.column("held_vec")))
-    asked = np.asarray(queries.column("vec_id"))
-    wanted = unit_rows(stacked_vectors(queries.column("vec")))
+
+HITS = "vec_id long, other long, cosine long"
+_HITS = pa.schema([("vec_id", pa.int64()), ("other", pa.int64()), ("cosine", pa.int64())])
+
+
+def search(asked: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray], k: int) -> list[np.ndarray]:
+    """The ``k`` best other vectors for each one asked: vec_id, other and the cosine in millionths, by
+    the rounded cosine, then the number.  Single precision finds who may be among them, double
+    precision decides."""
+    ids, unit = asked[0], unit_rows(asked[1])
+    others, base = held[0], unit_rows(held[1])
+    if not len(ids) or not len(others):
+        return [np.zeros(0, np.int64)] * 3
+    quick, quick_base = unit.astype(np.float32), base.astype(np.float32).T
     out = []
-    place = np.arange(len(ids))
-    for low in range(0, len(asked), 512):
-        cosine = np.rint((wanted[low : low + 512] @ base.T) * 1e6).astype(np.int64)
-        key = cosine * (1 << 24) - place
-        own = np.searchsorted(ids, asked[low : low + 512])
-        mine = np.flatnonzero((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == asked[low : low + 512]))
-        key[mine, own[mine]] = _SELF
-        top = min(k, len(ids))
-        best = np.argpartition(-key, top - 1, axis=1)[:, :top] if top < len(ids) else np.tile(place, (len(key), 1))
-        row = np.repeat(np.arange(low, low + len(key)), best.shape[1])
-        good = np.take_along_axis(key, best, 1).ravel() != _SELF
-        out.append((asked[row][good], ids[best.ravel()][good], np.take_along_axis(cosine, best, 1).ravel()[good]))
-    return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
-
-
-def nearest_rows(rows: DataFrame, column: str = "embedding", k: int = 5) -> DataFrame:
+    top = min(k + 1, len(others))  # one may be the vector itself
+    step = max(1, (1 << 22) // len(others))
+    for low in range(0, len(ids), step):
+        score = quick[low : low + step] @ quick_base
+        least = np.partition(score, len(others) - top, axis=1)[:, len(others) - top]
+        row, column = np.divmod(np.flatnonzero(score >= (least - np.float32(4e-6))[:, None]), len(others))
+        good = ids[low + row] != others[column]
+        row, column = row[good] + low, column[good]
+        cosine = np.empty(len(row), np.int64)
+        for a in range(0, len(row), 1 << 16):
+            b = a + (1 << 16)
+            cosine[a:b] = np.rint(np.einsum("ij,ij->i", unit[row[a:b]], base[column[a:b]]) * 1e6)
+        order = np.lexsort((others[column], -cosine, row))
+        row, column, cosine = row[order], column[order], cosine[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        good = place < k
+        out.append((ids[row[good]], others[column[good]], cosine[good]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def nearest_vectors(blocks: DataFrame, k: int, target: int, block: int = BLOCK) -> DataFrame:
+    """vec_id, other, cosine (in millionths): the ``k`` best of those found for each vector, as far
+    as the vectors it was compared with hold so many.  ``blocks``: PACKED."""
+    rows = partitions(blocks, target)
+    shares = rows.groupBy("cell").agg(F.ceil(F.sum("n") / F.lit(2.0 * block)).cast("long").alias("shares"))
+    salt = F.pmod(F.xxhash64("ids"), F.col("shares"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    salted = rows.join(shares, "cell").select("cell", "ids", "vecs", "own", "size", "shares", salt.alias("salt"))
+    both = salted.select("cell", "ids", "vecs", "own", "size", "salt", other.alias("other"))
+    fields = ["cell", "ids", "vecs", "own"]
+    # Task (asked, held): a block asks all blocks of its cell.
+    asks = both.select(*fields, F.col("salt").alias("asking"), F.col("other").alias("holding"), F.lit(True).alias("asks"), (F.col("salt") == F.col("other")).alias("holds"))
+    holds = both.where("salt <> other and size > 0").select(*fields, F.col("other").alias("asking"), F.col("salt").alias("holding"), F.lit(False).alias("asks"), F.lit(True).alias("holds"))
+
+    def find(table: pa.Table) -> pa.Table:
+        sides = []
+        for side in ("asks", "holds"):
+            part = table.filter(table.column(side))
+            ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), np.int64)
+            vectors = np.frombuffer(b"".join(part.column("vecs").to_pylist()), np.float32).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.float32)
+            own = np.frombuffer(b"".join(part.column("own").to_pylist()), bool)
+            sides.append((ids, vectors) if side == "asks" else (ids[own], vectors[own]))
+        return pa.table([pa.array(x) for x in search(*sides, k)], schema=_HITS)
+
+    hits = asks.unionByName(holds).groupBy("cell", "asking", "holding").applyInArrow(find, HITS)
+    best = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")
+    return hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+
+
+def nearest_rows(rows: DataFrame, column: str = "embedding", k: int = 5, target: int = TARGET, block: int = BLOCK) -> DataFrame:
     """row_id, other_id, cosine, place: the ``k`` most similar other rows of each row's model.
 
     ``rows``: row_id (key), model_id, a column of FLOAT arrays; other columns are ignored.
@@ -163,36 +281,24 @@ def nearest_rows(rows: DataFrame, column: str = "embedding", k: int = 5) -> Data
     comes first.  Null and zero vectors and those with nulls or infinite components take no
     part; vectors of different lengths are not compared; repeated rows are rows of their own;
     a null model_id is a model.  In a model of up to k usable rows all others are nearest.
-    Partitions of up to TARGET vectors are searched as a whole, so small models are exact.
+    Models of up to ``target`` different vectors are one partition and searched as a whole.
+    No task has more than two blocks, of about 2 x ``block`` vectors each.
     """
-    found = distinct_vectors(usable(rows, column))
-    routed = materialize(divide(found.vectors, fit_router, route_vectors, TARGET))
-    sizes = routed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("long").alias("salts"))
-    asked = routed.join(sizes, "cell").select(
-        "cell", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("salts")).alias("salt"), "vec_id", "vec"
-    )
-    held = routed.where("own").join(sizes, "cell").select(
-        F.col("cell").alias("in_cell"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("block"),
-        F.col("vec_id").alias("held_id"),
-        F.col("vec").alias("held_vec"),
-    )
-    hits = (
-        asked.groupBy("cell", "salt")
-        .cogroup(held.groupBy("in_cell", "block"))
-        .applyInArrow(lambda q, h: _search(q, h, k), "vec_id long, other long, cosine long")
-    )
-    best = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")
-    top = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+    found = distinct_vectors(usable(rows, column), block)
+    top = nearest_vectors(found.blocks, k, target, block)
     # From vectors back to rows: copies of a vector are its nearest rows themselves.
-    copies = materialize(first_copies(found.rows, k + 1).withColumnRenamed("row_id", "other_id"))
-    several = copies.groupBy("vec_id").count().where("count > 1").select("vec_id", F.col("vec_id").alias("other"), F.lit(1_000_000).cast("long").alias("cosine"))
-    near = top.unionByName(several).join(copies.withColumnRenamed("vec_id", "other"), "other").select("vec_id", "other_id", "cosine")
+    first = Window.partitionBy("vec_id").orderBy("row_id")
+    copies = found.copies.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    copies = materialize(copies.select("vec_id", F.col("row_id").alias("other_id")))
+    several = copies.select("vec_id", "other_id", F.lit(1_000_000).cast("long").alias("cosine"))
+    others = top.join(copies.withColumnRenamed("vec_id", "other"), "other", "left")
+    near = others.select("vec_id", F.coalesce("other_id", "other").alias("other_id"), "cosine").unionByName(several)
     order = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other_id")
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
     last = Window.partitionBy("row_id").orderBy(F.desc("cosine"), "other_id")
     return (
-        found.rows.join(near, "vec_id")
+        near.join(found.copies, "vec_id", "left")
+        .select(F.coalesce("row_id", "vec_id").alias("row_id"), "other_id", "cosine")
         .where("row_id <> other_id")
         .withColumn("place", F.row_number().over(last))
         .where(F.col("place") <= k)
@@ -200,7 +306,7 @@ def nearest_rows(rows: DataFrame, column: str = "embedding", k: int = 5) -> Data
     )
 
 
-def nearest_pairs(rows: DataFrame, column: str = "embedding", k: int = 5) -> DataFrame:
+def nearest_pairs(rows: DataFrame, column: str = "embedding", k: int = 5, target: int = TARGET) -> DataFrame:
     """row_id_a < row_id_b: pairs of which one row is among the nearest of the other."""
-    near = nearest_rows(rows, column, k)
+    near = nearest_rows(rows, column, k, target)
     return near.select(F.least("row_id", "other_id").alias("row_id_a"), F.greatest("row_id", "other_id").alias("row_id_b")).distinct()
