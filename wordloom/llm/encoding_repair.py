@@ -1,44 +1,41 @@
 """Words garbled by a wrong character encoding, found and restored (problem 4).
 
-1. Garbled words are joined with clean near-twins: equal text once the non-ASCII characters
-   are stripped, and gaps at the same places.  The characters in the gaps are aligned.
-2. Each aligned pair votes for the transformations (encoding it was written in, encoding it
-   was read in) that turn the clean side into the garbled one; words with no ASCII to anchor
-   them vote if undoing a transformation gives a word that occurs.  A greedy cover keeps the
-   transformations that explain the votes.
-3. The learned transformations are applied to all remaining words.  A result counts if the
-   bigrams of the whole corpus make it far more likely than the word as it stands, or, where
-   the word itself looks sound, only if the result occurs as a word.
+1. Garbled words are joined with clean near-twins: words with equal ASCII characters, and gaps
+   between them that agree as bytes if one is taken in an encoding of writing and the other in
+   one of reading.  Each such pair aligns the characters of the gaps and votes, a vote a
+   character, for the transformations (encoding it was written in, encoding it was read in)
+   that turn the clean ones into the garbled ones.  A greedy cover keeps the transformations
+   that explain the votes.
+2. Words in which characters were lost are joined with near-twins by their ASCII characters and
+   the places of the gaps; their gaps tell readings that lose characters.
+3. The learned transformations are undone in all remaining words, by tables over whole batches.
+   A result counts if the bigrams of the whole corpus make it far more likely than the word as
+   it stands, or, where the word itself looks sound, only if the result occurs as a word.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.encodings import GRID, LOST, READ, WIDE, WRITTEN, as_points, as_texts, read_bytes, sound_words, undone, written_bytes
 from wordloom.llm.points import code_points, pieces
 from wordloom.llm.visual_form import consistent_form
 from wordloom.runtime import materialize
 
-#: Encodings that text may have been written in, and in which it may have been read.
-WRITTEN = ["utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "iso8859_5", "iso8859_7", "iso8859_2", "cp1254", "cp932", "euc_jp", "euc_kr", "cp949", "gb18030", "big5"]
-READ = ["cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7"]
-#: A transformation needs so many votes that no better one has.
-VOTES = 3
+#: A transformation needs so many aligned characters that no better one explains: one proves nothing.
+VOTES = 2
 #: Gain in log-likelihood, in nats, from which on a result counts by itself.
 GAIN = 6.0
 #: Steps among which other encodings than UTF-8 are undone; UTF-8 is undone any number of times.
 DEPTH = 3
 
-LOST = "�"
 SYMBOLS = 1024
 
 
@@ -70,11 +67,6 @@ def symbol_tables() -> tuple[np.ndarray, np.ndarray]:
 EDGE = SYMBOLS - 1
 
 
-def symbols(word: str) -> np.ndarray:
-    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.concatenate([[EDGE], symbol_tables()[0][np.minimum(points, 0xFFFF)], [EDGE]])
-
-
 def bigram_counts(words: DataFrame) -> np.ndarray:
     """Counts of neighbouring symbols over all rows; SYMBOLS squared at most, by construction."""
 
@@ -105,203 +97,110 @@ def log_chances(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + weight * back) / (counts.sum(1, keepdims=True) + weight)).astype(np.float32) - symbol_tables()[1]
 
 
-def likelihood(word: str, chances: np.ndarray) -> float:
-    s = symbols(word)
-    return float(chances[s[:-1], s[1:]].sum())
-
-
-@lru_cache(maxsize=None)
-def _to_byte(codec: str) -> dict[str, int]:
-    """The single byte of each character that the reading gives."""
-    found = {}
-    for value in range(255, -1, -1):
-        try:
-            found[bytes([value]).decode(codec)] = value
-        except UnicodeDecodeError:
-            found[chr(value)] = value
-    return found
-
-
-@lru_cache(maxsize=None)
-def _has_sequence(read: str) -> re.Pattern:
-    """A first and a following byte of UTF-8, as the reading shows them."""
-    places: dict[int, str] = {v: k for k, v in _to_byte(read).items()}
-    shown = lambda low, high: "".join(re.escape(places[b]) for b in range(low, high) if b in places)
-    return re.compile(f"[{shown(0xC2, 0xF5)}][{shown(0x80, 0xC0)}]")
-
-
-def undo(word: str, written: str, read: str) -> str | None:
-    """The text of which ``word`` is the reading, wholly or in its parts; None where nothing is.
-
-    Runs of characters that the reading can have given are taken as bytes again.  Parts that
-    are not what was written stay; if UTF-8 was written, sequences of which bytes are lost
-    become replacement characters.
-    """
-    table = _to_byte(read)
-    if written == "utf-8" and not _has_sequence(read).search(word):
-        return None
-    out, changed = [], False
-    at, n = 0, len(word)
-    while at < n:
-        if word[at] not in table:
-            out.append(word[at])
-            at += 1
-            continue
-        end = at
-        while end < n and word[end] in table:
-            end += 1
-        run = word[at:end]
-        at = end
-        if run.isascii():
-            out.append(run)
-            continue
-        data = bytes(table[c] for c in run)
-        try:
-            made = data.decode(written)
-        except UnicodeDecodeError:
-            if written == "utf-8":
-                made = _partly_utf8(data, read)
-            else:
-                made = None
-        if made is None:
-            out.append(run)
-        else:
-            out.append(made)
-            changed |= made != run
-    result = "".join(out)
-    return result if changed and not any(unicodedata.category(c) in ("Cn", "Co", "Cs") for c in result) else None
-
-
-_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\xc2-\xf4][\x80-\xbf]{0,2}|[\x80-\xff]")
-
-
-def _partly_utf8(data: bytes, read: str) -> str | None:
-    """Valid sequences decoded, torn ones lost, the rest as it was read."""
-    out, whole, at = [], 0, 0
-    for match in _SEQUENCE.finditer(data):
-        out.append(data[at : match.start()].decode("ascii"))
-        part = match.group()
-        at = match.end()
-        try:
-            out.append(part.decode("utf-8"))
-            whole += 1
-        except UnicodeDecodeError:
-            out.append(LOST if len(part) > 1 else part.decode(read, "replace"))
-    out.append(data[at:].decode("ascii"))
-    return "".join(out) if whole else None
-
-
-def sound(word: str) -> bool:
-    """Whether a word looks like one: letters of one script (marks, digits and the usual
-    joints besides), no signs within, capitals only in front or throughout."""
-    if LOST in word:
-        return False
-    scripts, letters = set(), []
-    core = word.strip("\xa0　 ")
-    for k, c in enumerate(core):
-        kind = unicodedata.category(c)
-        if c.isascii():
-            if c.isalpha():
-                scripts.add("LATIN")
-                letters.append(c)
-        elif kind[0] == "L" and kind != "Lm" and c not in "ªº":
-            scripts.add(unicodedata.name(c, "?").split(" ")[0])
-            letters.append(c)
-        elif kind in ("Cf", "Zs") or 0x300 <= ord(c) < 0x370 or c in "\u3099\u309a":
-            continue
-        elif kind[0] == "M":
-            scripts.add(unicodedata.name(c, "?").split(" ")[0])
-        elif kind != "Cc" and (kind[0] == "N" or k == len(core) - 1):
-            continue
-        elif kind == "Lm" and c == "ー":
-            continue
-        else:
-            return False
-    if len(scripts) > 1:
-        return False
-    case = [c for c in letters if c.upper() != c or c.lower() != c]
-    if len(case) > 2 and any(c.isupper() for c in case[1:]) and not all(c.isupper() for c in case if c != "\xdf"):
-        # A capital after a joint is no sign of damage.
-        if any(b.isupper() and a.islower() for a, b in zip(core, core[1:])):
-            return False
-    return True
-
-
-def undoings(word: str, learned: list[tuple[str, str]]) -> dict[str, tuple[int, bool]]:
-    """Texts that undoing learned transformations gives, with the number of steps and whether only
-    UTF-8 was undone.  Undoing UTF-8 shortens a word, so it is repeated until nothing changes;
-    other encodings are undone among the first DEPTH steps."""
-    found: dict[str, tuple[int, bool]] = {}
-    front = {word: True}
+def likelihoods(points: np.ndarray, bounds: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each text by its bigrams."""
+    s = symbol_tables()[0][np.minimum(points, 0xFFFF)].astype(np.int64)
+    s = np.insert(np.insert(s, bounds[1:], EDGE), bounds[:-1] + np.arange(len(bounds) - 1), EDGE)
+    starts = bounds[:-1] + 2 * np.arange(len(bounds) - 1)
+    pair = chances[s[:-1], s[1:]].astype(np.float64)
+    pair[starts[1:] - 1] = 0  # from one text to the next
+    return np.add.reduceat(pair, starts) if len(starts) else np.zeros(0)
+
+
+def undoings(words: list[str], learned: list[tuple[str, str]], chances: np.ndarray, fine: np.ndarray) -> list[tuple[int, str, bool]]:
+    """Number of the word, text and whether only UTF-8 was undone, of all texts that undoing learned
+    transformations gives and that may be an original.
+
+    A result that is unsound may be garbled still.  Undoing UTF-8 shortens a word, so it is repeated
+    as long as that is so; other encodings are undone among the first DEPTH steps.  Almost any
+    bytes are text in a single-byte encoding, so such a result counts only if it is sound and
+    likelier than the word, and is followed only if it is no less likely than what it comes from
+    and the word is not ``fine``."""
+    points, bounds = as_points(words)
+    base = before = likelihoods(points, bounds, chances)
+    met: list[set[str]] = [{w} for w in words]
+    found: list[tuple[int, str, bool]] = []
+    number, strict = np.arange(len(words)), np.ones(len(words), bool)
     depth = 0
-    while front:
+    while len(number):
         depth += 1
-        following: dict[str, bool] = {}
-        for text, strict in front.items():
-            for written, read in learned:
-                if written != "utf-8" and depth > DEPTH:
-                    continue
-                made = undo(text, written, read)
-                if made and made != word and made not in found:
-                    utf8 = strict and written == "utf-8"
-                    found[made] = depth, utf8
-                    # Almost any bytes are text in a single-byte encoding, so of what was not UTF-8
-                    # only a result that still looks unsound may be garbled under it.
-                    if written == "utf-8" or not sound(made):
-                        following[made] = utf8
-        front = following
+        following: list[tuple[int, str, bool]] = []
+        torn: list[tuple[int, str, bool]] = []
+        for written, read in learned:
+            if written != "utf-8" and depth > DEPTH:
+                continue
+            for which, made, cuts, full in undone(points, bounds, written, read):
+                of = number[which]
+                sound = sound_words(made, cuts)
+                if written == "utf-8":
+                    keep, utf8 = np.ones(len(which), bool), strict[which]
+                else:
+                    now = likelihoods(made, cuts, chances)
+                    keep = np.where(sound, now > base[of], ~fine[of] & (now >= before[which]))
+                    utf8 = np.zeros(len(which), bool)
+                at = np.flatnonzero(keep)
+                for k, text, own, whole in zip(of[at].tolist(), as_texts(made, cuts, at), utf8[at].tolist(), sound[at].tolist()):
+                    if text in met[k]:
+                        continue
+                    met[k].add(text)
+                    if whole or written == "utf-8":
+                        found.append((k, text, own))
+                    if not whole:
+                        (following if full and LOST not in text else torn).append((k, text, own))
+        # What was undone in parts or has lost characters is followed only where nothing whole is.
+        followed = {k for k, _, _ in following}
+        following += [x for x in torn if x[0] not in followed]
+        number = np.array([k for k, _, _ in following], np.int64)
+        strict = np.array([own for _, _, own in following], bool)
+        points, bounds = as_points([text for _, text, _ in following])
+        before = likelihoods(points, bounds, chances)
     return found
 
 
-def judge(word: str, form: str, learned: list[tuple[str, str]], chances: np.ndarray) -> list[tuple[str, float, bool]]:
-    """Possible originals of a word with their gains in log-likelihood; True with those that
-    count by themselves, the others count only if they occur as a word.
-
-    ``form`` is the word with look-alike characters evened out: what is only disguised is not
-    garbled.
-    """
-    fine = sound(form)
-    base = likelihood(word, chances)
-    out = []
-    for text, (_, utf8) in undoings(word, learned).items():
-        if len(text.strip()) < 2:
-            continue
-        gain = likelihood(text, chances) - base
-        if utf8 and not fine and (sound(text.upper()) or (LOST in text and gain > 0)):
-            out.append((text, gain, True))
-        elif gain > 0 and sound(text):
-            out.append((text, gain, utf8 or not fine and gain >= GAIN))
-    return sorted(out, key=lambda x: -x[1])
-
-
-def damaged(word: str) -> bool:
-    """Whether a word holds replacement or control characters, which no sound text does."""
-    return LOST in word or any("\x80" <= c < "\xa0" for c in word)
+def judge(words: list[str], fine: np.ndarray, learned: list[tuple[str, str]], chances: np.ndarray) -> list[tuple[int, str, float, bool, bool]]:
+    """Possible originals of words: number of the word, text, gain in log-likelihood, whether it counts
+    by itself (else only if it occurs as a word), and whether only UTF-8 was undone.  ``fine``:
+    whether the word looks sound."""
+    found = undoings(words, learned, chances, fine)
+    if not found:
+        return []
+    texts = [text for _, text, _ in found]
+    number, utf8 = np.array([k for k, _, _ in found]), np.array([own for _, _, own in found])
+    points, bounds = as_points(texts)
+    gain = likelihoods(points, bounds, chances) - likelihoods(*as_points(words), chances)[number]
+    whole = sound_words(points, bounds)
+    raised = sound_words(*as_points([t.upper() for t in texts]))
+    lost = np.array([LOST in t for t in texts])
+    short = np.array([len(t.strip()) < 2 for t in texts])
+    unfit = ~fine[number]
+    alone = utf8 & unfit & (raised | lost & (gain > 0))
+    other = ~alone & (gain > 0) & whole
+    alone |= other & (utf8 | unfit & (gain >= GAIN))
+    take = np.flatnonzero((alone | other) & ~(short & ~utf8))
+    return [(int(number[k]), texts[k], float(gain[k]), bool(alone[k] and not short[k]), bool(utf8[k])) for k in take]
 
 
 _GAP = re.compile("[^\x00-\x7f]+")
-#: Transformations that are tried, by number.
-GRID = [(w, r) for r in READ for w in WRITTEN if w != r]
 
 
-def anchors(word: str) -> str | None:
-    """Key of near-twins: the ASCII characters, with the places of the gaps between them."""
-    key = _GAP.sub("\x00", word)
-    return key if sum(c.isalpha() for c in key) >= 3 else None
+def anchors(word: Column) -> Column:
+    """Key of near-twins: the ASCII characters, with the places of the gaps between them; null where
+    there are fewer than three letters."""
+    key = F.regexp_replace(word, "[^\\x00-\\x7f]+", "\x00")
+    return F.when(F.length(F.regexp_replace(key, "[^A-Za-z]", "")) >= 3, key)
 
 
-def aligned_votes(garbled: str, clean: str) -> list[int]:
-    """Numbers of the transformations that give every garbled gap from the clean one."""
+def losses(garbled: str, clean: str) -> bool:
+    """Whether some reading loses the characters of the clean word's gaps as the garbled one shows."""
     pairs = list(zip(_GAP.findall(garbled), _GAP.findall(clean)))
-    votes = []
-    for k, (written, read) in enumerate(GRID):
-        table = _to_byte(read)
-        try:
-            if all(set(g) <= table.keys() and bytes(table[x] for x in g).decode(written) == c for g, c in pairs):
-                votes.append(k)
-        except UnicodeDecodeError:
-            pass
-    return votes
+    for written in WRITTEN:
+        for read in ("utf-8", *READ):
+            try:
+                if all(c.encode(written).decode(read, "replace") == g for g, c in pairs):
+                    return True
+            except UnicodeEncodeError:
+                break
+    return False
 
 
 def cover(masks: Iterable[tuple[tuple[int, ...], int]], votes: int = VOTES) -> list[tuple[str, str]]:
@@ -322,46 +221,72 @@ def cover(masks: Iterable[tuple[tuple[int, ...], int]], votes: int = VOTES) -> l
     return learned
 
 
-def learn_transformations(distinct: DataFrame) -> tuple[list[tuple[str, str]], DataFrame]:
-    """Learned transformations, and the clean twin of each key of anchors.
+def _numbers(agreed: Iterable[tuple[int, int]]) -> tuple[int, ...]:
+    """Numbers in GRID of all pairs of an encoding of writing and one of reading, given as flags."""
+    pairs = {(w, r) for written, read in agreed for w in range(len(WRITTEN)) if written >> w & 1 for r in range(len(READ)) if read >> r & 1}
+    place = {pair: k for k, pair in enumerate(GRID)}
+    return tuple(sorted(place[WRITTEN[w], READ[r]] for w, r in pairs if (WRITTEN[w], READ[r]) in place))
 
-    ``distinct``: word, n; all of it is read.  Only sets of transformation numbers come to the
-    driver, of which there are a few hundred, whatever the number of words.
-    """
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fine = [sound(w) for w in frame.word]
-            yield pd.DataFrame({"word": frame.word, "n": frame.n, "fine": fine, "key": [anchors(w) for w in frame.word]})
+def _mapped(words: DataFrame, make, schema: str) -> DataFrame:
+    """``words`` (word and other columns) through ``make``, which gives for code points and bounds row
+    numbers and further columns; ``schema``: these columns."""
+    names = [*words.columns, *(c.split(" ")[0] for c in schema.split(", "))]
+    place = words.columns.index("word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for text in pieces(batch.column(place)):
+                part = batch.slice(at, len(text))
+                at += len(text)
+                points, _, _, bounds = code_points(text)
+                rows, *columns = make(points, bounds)
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(rows)).columns, *(pa.array(c) for c in columns)], names)
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in words.dtypes)
+    return words.mapInArrow(run, f"{fields}, {schema}")
 
-    marked = distinct.where("word rlike '[^\\x00-\\x7f]' and length(word) > 1").mapInPandas(
-        split, "word string, n long, fine boolean, key string"
-    )
-    twins = marked.where("fine and key is not null").groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("twin"))
-    odd = marked.where("not fine")
 
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"votes": [aligned_votes(a, b) for a, b in zip(frame.word, frame.twin)]})
+def learn_transformations(distinct: DataFrame) -> tuple[list[tuple[str, str]], bool, DataFrame]:
+    """Learned transformations, whether readings lose characters, and the clean twins of each key of
+    anchors by length: key, size, twin.
 
-    by_twin = odd.where("key is not null").join(twins, "key").select("word", "twin").mapInPandas(align, "votes array<int>")
+    ``distinct``: word, n; all of it is read.  Of the pairs only sets of transformation numbers
+    come to the driver, of which there are a few hundred, whatever the number of words.
+    """
+    marked = materialize(
+        _mapped(
+            distinct.where("word rlike '[^\\x00-\\x7f]' and length(word) > 1"),
+            lambda points, bounds: (np.arange(len(bounds) - 1), sound_words(points, bounds)),
+            "fine boolean",
+        ).withColumn("key", anchors(F.col("word")))
+    )
+    # Words of one script other than Latin have no anchors, and garbled may even look sound.
+    bare = "key is null and word rlike '^[^\\x00-\\x7f]*[\\u00c0-\\u024f][^\\x00-\\x7f]*$'"
+    odd = marked.where(f"not fine or ({bare})").where(~F.col("word").contains(LOST)).select("word", "n")
+    clean = marked.where("fine and length(word) > 2").select("word", "n")
+    garbled = _mapped(odd, read_bytes, "digest long, readings long").withColumnsRenamed({"word": "garbled", "n": "m"})
+    written = _mapped(clean, written_bytes, "digest long, writings long")
+    pairs = garbled.join(written, "digest").where("n >= m and garbled <> word")
+    gaps = F.length(F.regexp_replace("word", "[\\x00-\\x7f]", ""))
+    agreed = pairs.groupBy("garbled", "word").agg(
+        F.array_sort(F.collect_set(F.struct("writings", "readings"))).alias("agreed"), F.first(gaps).alias("votes")
+    )
+    counted = agreed.groupBy("agreed").agg(F.sum("votes").alias("votes")).collect()
+    votes = [(_numbers([tuple(a) for a in r.agreed]), r.votes) for r in counted]
+    twins = materialize(
+        marked.where("fine and key is not null").groupBy("key", F.length("word").alias("size")).agg(F.max_by("word", F.struct("n", "word")).alias("twin"))
+    )
 
-    def attempt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [
-                (w, n, t, [k for k, x in made if x == t])
-                for w, n in zip(frame.word, frame.n)
-                for made in [[(k, undo(w, *g)) for k, g in enumerate(GRID)]]
-                for t in {x for _, x in made if x and len(x) > 2 and sound(x)}
-            ]
-            yield pd.DataFrame(rows, columns=["garbled", "m", "word", "votes"])
+    def lossy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [losses(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.bool_())], ["told"])
 
-    # Words of one script other than Latin have no anchors and may even look sound.
-    bare = marked.where("key is null and (not fine or word rlike '^[^\\x00-\\x7f]*[\\u00c0-\\u024f][^\\x00-\\x7f]*$')")
-    tried = bare.select("word", "n").mapInPandas(attempt, "garbled string, m long, word string, votes array<int>")
-    by_word = tried.join(distinct, "word").where("n >= m").select("votes")
-    counted = by_twin.unionByName(by_word).where("size(votes) > 0").groupBy("votes").count()
-    return cover([(tuple(r["votes"]), r["count"]) for r in counted.collect()]), twins
+    torn = marked.where("key is not null").where(F.col("word").contains(LOST)).join(twins, "key").select("word", "twin")
+    told = torn.mapInArrow(lossy, "told boolean").where("told")
+    return cover(votes), not told.isEmpty(), twins
 
 
 def repair_words(words: DataFrame) -> DataFrame:
@@ -376,34 +301,39 @@ def repair_words(words: DataFrame) -> DataFrame:
     rows = words.select("word_id", "word").where("word is not null")
     distinct = materialize(rows.groupBy("word").agg(F.count("*").alias("n")))
     chances = spark.sparkContext.broadcast(log_chances(bigram_counts(rows)))  # 4 MB, always
-    learned, twins = learn_transformations(distinct)
+    learned, lossy, twins = learn_transformations(distinct)
+    # Control characters that a learned reading gives for bytes.
+    controls = any(read == "latin_1" or written == "utf-8" for written, read in learned)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chances.value
         for batch in batches:
-            rows = []
-            forms = consistent_form(batch.column(0)).to_pylist()
-            for word, form in zip(batch.column(0).to_pylist(), forms):
-                if damaged(word):
-                    rows.append((word, "damaged", anchors(word), 0.0, True))
-                if LOST in word:
-                    continue
-                judged = judge(word, form, learned, table)
-                rows += [(word, "text", text, gain, alone) for text, gain, alone in judged]
-                if judged and sound(form):
-                    rows.append((word, "stem", word[:-1], 0.0, False))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("garbled", "kind", "text", "gain", "alone"), r)) for r in rows], schema=schema
-            )
-
-    schema = pa.schema([("garbled", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("gain", pa.float64()), ("alone", pa.bool_())])
+            at = 0
+            for text in pieces(batch.column(0)):
+                own = batch.column(0).slice(at, len(text)).to_pylist()
+                at += len(text)
+                forms, _, _, bounds = code_points(consistent_form(text))
+                fine = sound_words(forms, bounds)
+                out = [
+                    (w, "damaged", None, 0.0, True, False)
+                    for w in own
+                    if lossy and LOST in w or controls and any("\x80" <= c < "\xa0" for c in w)
+                ]
+                whole = [k for k, w in enumerate(own) if LOST not in w]
+                judged = judge([own[k] for k in whole], fine[whole], learned, table)
+                out += [(own[whole[k]], "text", t, gain, alone, utf8) for k, t, gain, alone, utf8 in judged]
+                stems = {whole[k] for k, *_ in judged}
+                out += [(own[k], "stem", own[k][:-1], 0.0, False, False) for k in sorted(stems) if fine[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, schema.types)], schema=schema)
+
+    schema = pa.schema([("garbled", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("gain", pa.float64()), ("alone", pa.bool_()), ("utf8", pa.bool_())])
     candidates = materialize(
         distinct.where("word rlike '[^\\x00-\\x7f]' and length(word) > 1")
         .select("word")
-        .mapInArrow(apply, "garbled string, kind string, text string, gain double, alone boolean")
+        .mapInArrow(apply, "garbled string, kind string, text string, gain double, alone boolean, utf8 boolean")
     )
     known = candidates.join(distinct.select(F.col("word").alias("text"), F.lit(True).alias("occurs")), "text", "left")
-    twin = (F.col("kind") == "text") & F.col("occurs") & (F.length("text") > 2)
+    twin = (F.col("kind") == "text") & F.col("occurs") & (F.col("utf8") | (F.length("text") > 2))
     own = (F.col("kind") == "text") & F.col("alone") & ~F.col("text").contains(LOST)
     decided = (
         known.groupBy("garbled")
@@ -413,18 +343,14 @@ def repair_words(words: DataFrame) -> DataFrame:
             F.max_by("text", F.when(own, F.col("gain"))).alias("own"),
             F.max("alone").alias("alone"),
             F.max(F.when(F.col("kind") == "stem", F.coalesce("occurs", F.lit(False)))).alias("stem"),
-            F.max(F.when(F.col("kind") == "damaged", F.col("text"))).alias("key"),
         )
         # A word that looks sound has to be unlike its twin; one that is another with a sign
         # at its end is that.
         .where("alone or (twin is not null and (stem is null or (twin_gain > 1.5 and not stem)))")
+        .withColumn("key", F.when(F.col("garbled").contains(LOST), anchors(F.col("garbled"))))
+        .withColumn("size", F.length("garbled"))
     )
-    fits = F.length(F.col("garbled")) == F.length(F.col("twin_by_key"))
-    found = (
-        decided.join(twins.select("key", F.col("twin").alias("twin_by_key")), "key", "left")
-        .select(
-            F.col("garbled").alias("word"),
-            F.coalesce("twin", "own", F.when(F.col("garbled").contains(LOST) & fits, F.col("twin_by_key"))).alias("restored"),
-        )
+    found = decided.join(twins.withColumnRenamed("twin", "by_key"), ["key", "size"], "left").select(
+        F.col("garbled").alias("word"), F.coalesce("twin", "own", "by_key").alias("restored")
     )
     return rows.join(found, "word").select("word_id", "word", "restored")
