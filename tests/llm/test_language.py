@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from wordloom.llm.language import fit, language_of_label, mislabelled_or_mixed, passages
@@ -40,6 +41,30 @@ def test_passages(documents):
     assert whole[rows[1].begin : rows[1].end].startswith("Der motor") and rows[0].confidence > 0.8
 
 
+def test_every_text_has_a_row(spark, documents):
+    few = [
+        (1, "Der Motor ist hier.", None), (2, "ABSTRACT", None), (3, "1 | 2 | 3", None), (4, " \n", None), (5, None, None), (6, "图如下。", None),
+        (7, "Das Geräusch ist klein.\nDer Sensor liegt an.", "und"), (8, "„Der Motor ist verbunden“", "de"),
+    ]
+    frame = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    classifier = fit(documents)
+    rows = {r.doc_id: r for r in passages(frame, classifier).collect()}
+    assert set(rows) == {1, 2, 3, 6, 7, 8} and all(0 <= r.confidence <= 1 for r in rows.values())
+    assert rows[3].lang is None and rows[3].confidence == 0 and rows[2].sentences == 0
+    assert (rows[1].lang, rows[6].lang, rows[7].lang, rows[7].sentences, rows[8].lang) == ("de", "zh", "de", 2, "de")
+    assert (rows[7].begin, rows[7].end) == (0, len(few[6][1]))
+    assert {tuple(r) for r in mislabelled_or_mixed(frame, classifier).collect()} == {(1, "de"), (6, "zh"), (7, "de")}
+
+
+def test_confidence_grows_with_the_lead():
+    from wordloom.llm.language import _line
+
+    lead = np.linspace(0, 1, 2000)
+    right = np.random.default_rng(0).random(2000) < 1 / (1 + np.exp(-(8 * lead - 1)))
+    slope, level = _line(lead, right)
+    assert abs(slope - 8) < 1.5 and abs(level + 1) < 0.5
+
+
 def test_very_long_texts(documents, monkeypatch):
     import pyarrow as pa
 
@@ -50,7 +75,7 @@ def test_very_long_texts(documents, monkeypatch):
     whole = " ".join([text("en", 1)] * 9) + "\n" + " ".join([text("de", 2)] * 9)
 
     def found():
-        parts = [find_passages(score_sentences(classifier, t, s)) for _, t, s in points.chunks(pa.array([whole, None]), BORDER)]
+        parts = [find_passages(score_sentences(classifier, t, s), classifier) for _, t, s in points.chunks(pa.array([whole, None]), BORDER)]
         return [(classifier.languages[x], b, e, n) for p in parts for x, b, e, n in zip(p.language, p.begin, p.end, p.sentences)]
 
     once = found()

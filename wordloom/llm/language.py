@@ -4,7 +4,10 @@ Sentences are compared by a blended-spectrum kernel: the share of letter n-grams
 three letters) that two sentences both have.  One-versus-rest kernel ridge regression on
 Nyström landmarks is fitted to a bounded sample of labelled documents.  The score of a
 sentence is (presence of n-grams x n-grams of landmarks) x coefficients; the second product
-is taken once, and batches of sentences are multiplied with it.
+is taken once, and batches of sentences are multiplied with it.  Confidences are fitted to how
+often a sentence left out of the fit was right at its lead of the first over the second score.
+A text without a whole sentence is judged as one, with what confidence that gives; one without
+a letter has no language.
 """
 
 from __future__ import annotations
@@ -65,27 +68,34 @@ def _symbols() -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Sentences:
-    """Sentences of a batch: document number, bounds in code points of the batch, and for each
-    letter of theirs its symbol, with the sentence it is in."""
+    """Sentences of a batch: document number, bounds in code points of the batch, how many sentences
+    each stands for, and for each letter of theirs its symbol, with the sentence it is in."""
 
     document: np.ndarray
     begin: np.ndarray
     end: np.ndarray
+    number: np.ndarray
     symbol: np.ndarray
     owner: np.ndarray
 
 
-def cut_sentences(points: np.ndarray, bounds: np.ndarray) -> Sentences:
-    """The sentences that count: no headings, formulas, table rows; quoted phrases are blanked."""
+def cut_sentences(points: np.ndarray, bounds: np.ndarray, whole: bool = True) -> Sentences:
+    """The sentences that count: no headings, formulas, table rows; quoted phrases are blanked.  With
+    ``whole`` a text of which none counts is one piece, which stands for as many sentences as have a
+    stop and two words, maybe none."""
     table, capital = _symbols()
     n = len(points)
-    symbol = table[points]
+    plain = table[points]
+    symbol = plain.copy()
     space = (points == 0x20) | (points == 0x0A) | (points == 0x0D) | (points == 0x09) | (points == 0xA0)
     following = np.append(points[1:], 0x0A)
     before = np.insert(points[:-1], 0, 0x0A)
     broken = (points == 0x0A) & (before == 0x2D)  # a word broken at the end of a line
-    ends = np.isin(points, [0x2E, 0x21, 0x3F]) & np.append(space[1:], True)
-    ends |= np.isin(points, [0x3002, 0xFF01, 0xFF1F, 0xFF1B]) | (points == 0x0A) & ~broken
+    after = np.append(space[1:], True)[:n]
+    after[bounds[1:][bounds[1:] > 0] - 1] = True
+    stops = np.isin(points, [0x2E, 0x21, 0x3F]) & after
+    stops |= np.isin(points, [0x3002, 0xFF01, 0xFF1F, 0xFF1B])
+    ends = stops | (points == 0x0A) & ~broken
     # Marks of structure: a tag is blanked and ends what stands before it.
     opened = np.flatnonzero(points == 0x3C)
     closed = np.flatnonzero(points == 0x3E)
@@ -110,14 +120,31 @@ def cut_sentences(points: np.ndarray, bounds: np.ndarray) -> Sentences:
     # Foreign names and phrases within Chinese: a character counts as about three letters.
     inside = (chinese >= HAN) & (3 * chinese >= latin)
     letter &= ~(inside[segment] & ~han) if n else letter
+    begin = np.flatnonzero(starts[:n])
+    end = np.append(begin[1:], n) if count else begin
+    document = np.searchsorted(bounds, begin, side="right") - 1
+    stands = np.ones(count, np.int64)
+    if whole and count:
+        seen = np.zeros(len(bounds) - 1, bool)
+        seen[document[good]] = True
+        spoken = np.bincount(segment[stops], minlength=count) > 0
+        spoken &= ((words >= 2) & (capitals < 0.5 * latin)) | (chinese >= 2)
+        # All segments of such a text become its first.
+        lone = ~seen[document]
+        first_of = np.searchsorted(document, document)
+        stands = np.where(lone, np.bincount(document, weights=spoken, minlength=len(bounds) - 1).astype(np.int64)[document], 1)
+        end = np.where(lone, bounds[1:][document], end)
+        lone_at = lone[segment]
+        symbol[lone_at], letter[lone_at] = plain[lone_at], plain[lone_at] > 0
+        segment = np.where(lone_at, first_of[segment], segment)
+        lettered = np.bincount(segment[letter], minlength=count) > 0
+        good |= lone & lettered & (first_of == np.arange(count))
     number = np.cumsum(good) - 1
-    begin = np.flatnonzero(starts[:n])[good]
-    end = np.append(np.flatnonzero(starts[:n])[1:], n)[good] if count else begin
+    begin, end, document, stands = begin[good], end[good], document[good], stands[good]
     # Runs of what is no letter become one blank; a word broken at a line's end is joined.
     drop = broken | (points == 0x2D) & (following == 0x0A)
     keep = good[segment] & (letter | np.insert(letter[:-1], 0, True)) & ~drop if n else letter
-    document = np.searchsorted(bounds, begin, side="right") - 1
-    return Sentences(document, begin, end, symbol[keep], number[segment[keep]])
+    return Sentences(document, begin, end, stands, symbol[keep], number[segment[keep]])
 
 
 def _blank(symbol: np.ndarray, opened: np.ndarray, closed: np.ndarray, most: int) -> None:
@@ -154,19 +181,46 @@ def gram_presence(symbol: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int,
 @dataclass
 class Classifier:
     languages: list[str]
-    weights: np.ndarray  # a row for each language, a column for each n-gram
+    weights: np.ndarray  # a row for each n-gram, a column for each language
     bias: np.ndarray
+    #: The logit of the confidence, as a line over the lead.
+    slope: float = 6.0
+    level: float = 0.0
 
     def scores(self, symbol: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
-        """Scores of the sentences by language."""
+        """Scores of the sentences by language: the sparse matrix of presence times the weights."""
         out = np.zeros((count, len(self.languages)), np.float32)
         for low, row, gram in gram_presence(symbol, owner):
-            rows = int(row[-1]) + 1 if len(row) else 0
-            norm = np.sqrt(np.maximum(np.bincount(row, minlength=rows), 1))
-            for k, weight in enumerate(self.weights):
-                out[low : low + rows, k] = np.bincount(row, weights=weight[gram], minlength=rows) / norm
+            if len(row):
+                head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                norm = np.sqrt(np.diff(np.append(head, len(row)))).astype(np.float32)
+                out[low + row[head]] = np.add.reduceat(self.weights[gram], head, axis=0) / norm[:, None]
         return out + self.bias
 
+    def confidence(self, lead: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * lead + self.level, -50, 50)))
+
+
+def leads(scores: np.ndarray) -> np.ndarray:
+    """Lead of the first over the second score."""
+    if scores.shape[1] < 2:
+        return np.ones(len(scores))
+    ordered = np.sort(scores, axis=1)
+    return (ordered[:, -1] - ordered[:, -2]).astype(np.float64)
+
+
+def _line(lead: np.ndarray, right: np.ndarray) -> tuple[float, float]:
+    """Slope and level of the logit of being right, by logistic regression with a weak prior on what
+    a lead of one gives."""
+    x, beta = np.stack([lead, np.ones(len(lead))], 1), np.array([6.0, 0.0])
+    prior = np.array([6.0, 0.0])
+    for _ in range(25):
+        chance = 1 / (1 + np.exp(-np.clip(x @ beta, -50, 50)))
+        slope = x.T @ (chance - right) + 0.1 * (beta - prior)
+        bend = (x * (chance * (1 - chance))[:, None]).T @ x + 0.1 * np.eye(2)
+        beta = beta - np.linalg.solve(bend, slope)
+    return float(max(beta[0], 0.0)), float(beta[1])
+
 
 def language_of_label(label: Column) -> Column:
     """The language that a label names, in any of its spellings; null for every other label."""
@@ -208,7 +262,9 @@ def _sample(documents: DataFrame) -> DataFrame:
 def fit(documents: DataFrame) -> Classifier | None:
     """The classifier of a corpus, fitted to a bounded sample of its labelled documents, whose
     labels may be wrong here and there: what the first fit contradicts is left out of a second.
-    None where no document has a label that names a language."""
+    Confidences come from two fits to one half each, tried on the other half; a sentence that
+    contradicts its label with a clear lead is taken for a wrong label.  None where no document
+    has a label that names a language."""
     rows = sorted((r.label, bytes(r.symbols)) for r in _sample(documents).collect())
     languages = sorted({label for label, _ in rows})
     if not languages:
@@ -217,10 +273,26 @@ def fit(documents: DataFrame) -> Classifier | None:
     classifier = _fit([s for _, s in rows], target, languages)
     symbols = np.frombuffer(b"".join(s for _, s in rows), np.uint8)
     owner = np.repeat(np.arange(len(rows)), [len(s) for _, s in rows])
-    agree = classifier.scores(symbols, owner, len(rows)).argmax(1) == target
+    scores = classifier.scores(symbols, owner, len(rows))
+    agree = scores.argmax(1) == target
     if len(set(target[agree])) < len(languages):
         return classifier
-    return _fit([s for (_, s), good in zip(rows, agree) if good], target[agree], languages)
+    second = _fit([s for (_, s), good in zip(rows, agree) if good], target[agree], languages)
+    half = np.random.default_rng(1).permutation(len(rows)) % 2 == 0
+    lead, right = [], []
+    for side in (half, ~half):
+        learn, tried = np.flatnonzero(agree & side), np.flatnonzero(~side)
+        if len(set(target[learn])) < len(languages) or not len(tried):
+            return second
+        own = _fit([rows[k][1] for k in learn], target[learn], languages)
+        parts = [rows[k][1] for k in tried]
+        found = own.scores(np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), len(parts))
+        lead.append(leads(found))
+        right.append(found.argmax(1) == target[tried])
+    ahead, good = np.concatenate(lead), np.concatenate(right)
+    kept = good | (ahead < LEAD)
+    second.slope, second.level = _line(ahead[kept], good[kept])
+    return second
 
 
 def _fit(sentences: list[bytes], target: np.ndarray, languages: list[str]) -> Classifier:
@@ -261,8 +333,8 @@ def _fit(sentences: list[bytes], target: np.ndarray, languages: list[str]) -> Cl
     centred = mapped - mean
     ridge = centred.T @ centred + RIDGE * len(sentences) / len(landmarks) * np.eye(len(landmarks))
     solution = np.linalg.solve(ridge, centred.T @ (wanted - level))
-    weights = np.zeros((len(languages), GRAMS), np.float32)
-    weights[:, grams] = (known[:-1] @ (root @ solution)).T
+    weights = np.zeros((GRAMS, len(languages)), np.float32)
+    weights[grams] = known[:-1] @ (root @ solution)
     return Classifier(languages, weights, (level - mean @ solution).astype(np.float32))
 
 
@@ -282,36 +354,41 @@ BORDER = regex.compile(r"\n|[.!?]\s|[。！？]")
 
 @dataclass
 class Scored:
-    """Sentences of texts, with bounds in code points of their text and scores by language."""
+    """Sentences of texts, with bounds in code points of their text, the number of sentences each
+    stands for, and scores by language."""
 
     document: np.ndarray
     begin: np.ndarray
     end: np.ndarray
+    number: np.ndarray
     scores: np.ndarray
 
 
 def score_sentences(classifier: Classifier, text: pa.Array, starts: list[int]) -> Scored:
     """The sentences of a slice of texts, or of the parts of one very long text."""
     apart = len(starts) > 1 and starts[1] > 0
-    found = []
-    for k in range(len(text) if apart else 1):
-        points, _, _, bounds = code_points(text.slice(k, 1) if apart else text)
-        cut = cut_sentences(points, bounds)
-        scores = classifier.scores(cut.symbol, cut.owner, len(cut.begin))
-        offset = starts[k] if apart else -bounds[cut.document]
-        found.append((cut.document, cut.begin + offset, cut.end + offset, scores))
+    # A very long text of which no part has a sentence is judged part by part.
+    for whole in (False, True) if apart else (True,):
+        found = []
+        for k in range(len(text) if apart else 1):
+            points, _, _, bounds = code_points(text.slice(k, 1) if apart else text)
+            cut = cut_sentences(points, bounds, whole)
+            scores = classifier.scores(cut.symbol, cut.owner, len(cut.begin))
+            offset = starts[k] if apart else -bounds[cut.document]
+            found.append((cut.document, cut.begin + offset, cut.end + offset, cut.number, scores))
+        if any(len(x[0]) for x in found):
+            break
     return Scored(*(np.concatenate(x) for x in zip(*found)))
 
 
-def find_passages(cut: Scored) -> Passages:
+def find_passages(cut: Scored, classifier: Classifier) -> Passages:
     """Consecutive sentences of one language.  A sentence whose lead is small goes with the one
     before it, or with the document's first that is sure."""
     count, scores = len(cut.begin), cut.scores
     language = scores.argmax(1) if count else np.zeros(0, np.int64)
-    ordered = np.sort(scores, axis=1)
-    lead = ordered[:, -1] - ordered[:, -2] if scores.shape[1] > 1 else np.ones(count)
+    lead = leads(scores)
     sure = lead >= LEAD
-    confidence = 1 / (1 + np.exp(-6 * lead))
+    confidence = classifier.confidence(lead)
     # The last sure sentence at or before each, within its document; else the first after it.
     index = np.arange(count)
     last = np.maximum.accumulate(np.where(sure, index, -1)) if count else index
@@ -325,15 +402,42 @@ def find_passages(cut: Scored) -> Passages:
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, count))
     mean = np.add.reduceat(confidence, head) / size if count else confidence
-    return Passages(cut.document[head], cut.begin[head], cut.end[head + size - 1] if count else head, language[head], mean, size)
+    number = np.add.reduceat(cut.number, head) if count else size
+    return Passages(cut.document[head], cut.begin[head], cut.end[head + size - 1] if count else head, language[head], mean, number)
+
+
+_BLANK = regex.compile(r"\s*")
+
+
+def with_letterless(found: Passages, text: list[str | None]) -> Passages:
+    """``found`` with a passage of no language for each text that has none but is not blank."""
+    seen = set(found.document.tolist())
+    rest = [k for k, t in enumerate(text) if k not in seen and t and not _BLANK.fullmatch(t)]
+    if not rest:
+        return found
+    more = np.array(rest)
+    order = np.argsort(np.concatenate([found.document, more]), kind="stable")
+    none = np.zeros(len(rest), np.int64)
+    columns = [
+        (found.document, more), (found.begin, none), (found.end, np.array([len(text[k]) for k in rest])),
+        (found.language, none - 1), (found.confidence, none.astype(float)), (found.sentences, none),
+    ]
+    return Passages(*(np.concatenate(c)[order] for c in columns))
+
+
+def _names(languages: list[str], number: np.ndarray) -> pa.Array:
+    """Names of languages by number; null for -1."""
+    return pa.array(languages, pa.string()).take(pa.array(np.maximum(number, 0), mask=number < 0))
 
 
 def passages(documents: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """doc_id, passage (from 1), begin and end (code points), lang, confidence, sentences.
 
     ``documents``: doc_id, text, lang; other columns are ignored.  Every text is read as a
-    whole; null, empty and blank texts and those without a sentence give no row.  A repeated
-    row gives its passages again.
+    whole and gives a row at least; one without a letter a row of null language and confidence
+    0.  Null, empty and blank texts give none.  ``sentences`` is 0 for a text of headings and
+    signs only.  A repeated row gives its passages again.  Where no label names a language,
+    there is no row.
     """
     columns = "passage int, begin int, end int, lang string, confidence double, sentences int"
     return _apply(documents, classifier, columns, _passage_rows)
@@ -346,7 +450,7 @@ def _passage_rows(own: Classifier, found: Passages, ids: pa.Array, labels: pa.Ar
         pa.array(np.arange(len(first)) - first + 1, pa.int32()),
         pa.array(found.begin, pa.int32()),
         pa.array(found.end, pa.int32()),
-        pa.array(np.array(own.languages, object)[found.language], pa.string()),
+        _names(own.languages, found.language),
         pa.array(found.confidence, pa.float64()),
         pa.array(found.sentences, pa.int32()),
     ]
@@ -355,27 +459,27 @@ def _passage_rows(own: Classifier, found: Passages, ids: pa.Array, labels: pa.Ar
 def document_languages(documents: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """doc_id, lang, confidence, sentences and labelled of every language of every document.
 
-    ``labelled`` tells whether the document's label names one of its languages.  Texts without
-    a sentence give no row; see passages().
+    ``labelled`` tells whether the document's label names one of its languages.  See passages().
     """
     columns = "lang string, confidence double, sentences int, labelled boolean, languages int"
     return _apply(documents, classifier, columns, _language_rows)
 
 
 def _language_rows(own: Classifier, found: Passages, ids: pa.Array, labels: pa.Array) -> list:
-    many = len(own.languages)
-    key, back = np.unique(found.document * many + found.language, return_inverse=True)
-    document, language = key // many, key % many
+    many = len(own.languages) + 1
+    key, back = np.unique(found.document * many + found.language + 1, return_inverse=True)
+    document, language = key // many, key % many - 1
     sentences = np.bincount(back, weights=found.sentences, minlength=len(key))
-    confidence = np.bincount(back, weights=found.sentences * found.confidence, minlength=len(key)) / np.maximum(sentences, 1)
-    names = np.array(own.languages, object)[language]
-    label = np.array(labels.to_pylist(), object)[document] if len(key) else names
+    share = np.maximum(found.sentences, 1e-6)
+    confidence = np.bincount(back, weights=share * found.confidence, minlength=len(key)) / np.maximum(np.bincount(back, weights=share, minlength=len(key)), 1e-9)
+    names = _names(own.languages, language)
+    told = np.array([own.languages.index(x) if x in own.languages else -2 for x in labels.to_pylist()], np.int64)
     fits = np.zeros(len(ids), bool)
-    np.logical_or.at(fits, document, label == names)
+    np.logical_or.at(fits, document, told[document] == language)
     number = np.bincount(document, minlength=len(ids))
     return [
         ids.take(pa.array(document)),
-        pa.array(names, pa.string()),
+        names,
         pa.array(confidence, pa.float64()),
         pa.array(sentences.astype(np.int32)),
         pa.array(fits[document]),
@@ -398,7 +502,8 @@ def _apply(documents: DataFrame, classifier: Classifier | None, columns: str, ro
             for first, text, starts in chunks(batch.column(1), BORDER):
                 count = 1 if len(starts) > 1 and starts[1] > 0 else len(text)
                 ids, labels = batch.column(0).slice(first, count), batch.column(2).slice(first, count)
-                found = find_passages(score_sentences(own, text, starts))
+                found = find_passages(score_sentences(own, text, starts), own)
+                found = with_letterless(found, text.to_pylist() if count == len(text) else ["".join(text.to_pylist())])
                 yield pa.RecordBatch.from_arrays(rows(own, found, ids, labels), names)
 
     taken = documents.select("doc_id", "text", language_of_label(F.col("lang")).alias("label"))
@@ -406,7 +511,7 @@ def _apply(documents: DataFrame, classifier: Classifier | None, columns: str, ro
 
 
 def mislabelled_or_mixed(documents: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """doc_id, lang: the languages of the documents whose label is missing or names none of
-    their languages, or that have sentences in several."""
+    """doc_id, lang: the languages of the documents with sentences whose label is missing or names
+    none of their languages, or that have sentences in several."""
     found = document_languages(documents, classifier)
-    return found.where("not labelled or languages > 1").select("doc_id", "lang")
+    return found.where("sentences > 0 and (not labelled or languages > 1)").select("doc_id", "lang")
