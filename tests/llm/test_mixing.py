@@ -39,3 +39,19 @@ def test_empty(spark):
     assert not docs and shares["a"].tokens == 0
     docs, shares = run(spark, [(1, "a", "word", "")], [])
     assert not docs and not shares
+
+
+def test_large_documents_are_certain(spark):
+    # One document of a third of the tokens: its inclusion probability would be above 1.
+    rows = [(i, "a ", "x") for i in range(200)] + [(1000, "word " * 150, "x"), (1001, "word " * 60, "x")]
+    rows += [(2000 + i, "a b c ", "y") for i in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("x", 0.4, 1), ("y", 0.6, 1)], "source string, weight double, max_repeats int")
+    taken = 0
+    for seed in range(6):
+        mix = mix_sources(documents, targets, total_tokens=900, size_power=1.0, seed=seed)
+        found = {r.doc_id: r.copies for r in mix.documents.collect()}
+        share = {r.source: r.actual_share for r in mix.shares.collect()}
+        assert found[1000] == 1 and max(found.values()) == 1 and abs(share["x"] - 0.4) < 0.06
+        taken += found.get(1001, 0)
+    assert taken > 0

@@ -73,6 +73,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the mix keeps what it promises of each target: its share, within a hundredth of the
+    whole, among the sources that have documents, and the cap on repeats."""
+    shares = _mix(spark, sf_dir).shares.join(table(spark, sf_dir, "mix_targets").select("source", "max_repeats"), "source")
+    return shares.select(
+        "source",
+        F.round("weight", 6).alias("weight"),
+        (F.col("documents") > 0).alias("used"),
+        (F.abs(F.col("actual_share") - F.coalesce("reachable_weight", F.lit(0.0))) < 0.01).alias("share_kept"),
+        (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mislabelled_or_mixed(table(spark, sf_dir, "documents"))
 
@@ -82,7 +95,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_bounds": p7_bounds, "p8_found": p8_found, "p8_passages": p8_passages}
 
 
 _CODED = """
@@ -108,6 +121,8 @@ SELECT s[1] AS head_id, unnest(s[2:]) AS row_id FROM whole""",
 s AS (SELECT a.row_id AS a, b.row_id AS b, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 6) AS cosine FROM u a JOIN u b ON a.model_id = b.model_id AND a.row_id <> b.row_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM s)
 SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM r WHERE place <= 5""",
+    "p7_bounds": """SELECT source, round(weight, 6) AS weight, EXISTS (FROM documents d WHERE d.source = t.source AND d.text <> '') AS used,
+true AS share_kept, true AS repeats_kept FROM mix_targets t""",
 }
 
 
