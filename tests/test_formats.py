@@ -47,9 +47,98 @@ def test_native_round_trip(spark, tmp_path, kind, norms):
     assert content(back) == content(model)
     assert back.checked() is back and back.subwords == model.subwords
     assert native.read_metadata(path) == model.metadata
-    for offset in (0, *range(1, 5)):
-        moved = native.serialized_length(model, offset)
-        assert offset or moved == (tmp_path / "model").stat().st_size
+    assert native.serialized_length(model) == (tmp_path / "model").stat().st_size
+
+
+def walked(model, offset):
+    """Length of what is written from a place on, each part laid behind the one before it."""
+    dense = isinstance(model, EmbeddingModel)
+    words = model.words.collect()
+    rows = len(words) + (model.buckets.count() if model.buckets is not None else 0)
+    normed = any(r.norm is not None for r in words)
+    at = offset + 4 + 4 + 4 + 4 * (2 + normed + (model.metadata is not None))
+    if model.metadata is not None:
+        at += 4 + 8 + len(toml.dump(model.metadata).encode())
+    items = sum(4 + len(r.word.encode()) for r in words)
+    if model.subwords is None:
+        at += 12 + 8 + items
+    elif isinstance(model.subwords.indexer, ExplicitIndexer):
+        grams = model.subwords.indexer.table.collect()
+        at += 12 + 8 + 8 + 4 + 4 + items + sum(4 + len(r.ngram.encode()) + 8 for r in grams)
+    else:
+        at += 12 + 8 + 4 + 4 + 4 + items
+    if dense:
+        at += 12 + 8 + 4 + 4
+        at += 4 - at % 4
+        at += 4 * rows * model.dims
+    else:
+        book = model.quantizer
+        at += 12 + 5 * 4 + 8 + 4 + 4
+        at += 4 - at % 4
+        at += 4 * (0 if book.projection is None else model.dims**2) + 4 * book.centroids.size
+        at += 4 * rows * any(r.code_norm is not None for r in words) + rows * book.quantized_len
+    if normed:
+        at += 12 + 8 + 4
+        at += 4 - at % 4
+        at += 4 * len(words)
+    return at - offset
+
+
+def test_length_at_every_place(spark):
+    models = [make(spark), make(spark, KINDS["bucket"], metadata=META), to_explicit(make(spark, KINDS["bucket"], norms=False))]
+    models.append(native.quantize_model(make(spark, KINDS["fasttext"], dims=8), 4, 2, 2, normalize=True, rotate=True))
+    for model in models:
+        for offset in range(16):
+            assert native.serialized_length(model, offset) == walked(model, offset)
+
+
+def test_loading_refuses(spark, tmp_path):
+    path = str(tmp_path / "model")
+    model = make(spark, dims=8)
+    native.write_embeddings(model, path)
+    data = bytearray((tmp_path / "model").read_bytes())
+    at = data.index(struct.pack("<QI", 4, 8)) # rows and components of the matrix
+    data[at : at + 8] = struct.pack("<Q", 3)
+    (tmp_path / "short").write_bytes(data)
+    with pytest.raises(MatrixShapeError):
+        native.read_embeddings(spark, str(tmp_path / "short"))
+    twice = EmbeddingModel(model.words.replace("is", "this", "word"), 8)
+    native.write_embeddings(twice, path)
+    with pytest.raises(ValueError):
+        native.read_embeddings(spark, path)
+    assert len(native.read_embeddings(spark, path, check=False)) == 4
+    for write, read in ((text.write_text, text.read_text), (text.write_text_dims, text.read_text_dims), (word2vec.write_word2vec_binary, word2vec.read_word2vec_binary)):
+        write(twice, path)
+        with pytest.raises(ValueError):
+            read(spark, path)
+        assert len(read(spark, path, check=False)) == 4
+
+
+def test_only_vectors_can_be_viewed(spark, tmp_path):
+    path = str(tmp_path / "model")
+    native.write_embeddings(make(spark), path)
+    assert content(native.read_viewable(spark, path)) == content(native.mmap_viewable(spark, path)) == content(make(spark))
+    native.write_embeddings(native.quantize_model(make(spark, dims=8), 4, 2, 2), path)
+    with pytest.raises(FormatError):
+        native.read_viewable(spark, path)
+
+
+def test_stretches(spark, tmp_path, monkeypatch):
+    """Rows of a file are found in stretches as well."""
+    from wordloom.sources import files
+
+    model = EmbeddingModel(spark.createDataFrame([(f"w{i}é" * (1 + i % 5), i, [float(i)], None) for i in range(500)], SCHEMA), 1)
+    path = str(tmp_path / "model")
+    for module in (files, native):
+        monkeypatch.setattr(module, "SLICE", 300)
+    native.write_embeddings(model, path)
+    with native._Reader(path) as reader:
+        reader.header()
+        assert len(native._stretches(spark, path, 12 + 8 + 12 + 8, 500, 0)) > 10
+    assert content(native.read_embeddings(spark, path)) == content(model)
+    word2vec.write_word2vec_binary(model, path)
+    assert len(files.row_slices(spark, path, 6, 500, b" ", 4)) > 10
+    assert content(word2vec.read_word2vec_binary(spark, path, normalize=False)) == content(model)
 
 
 def test_native_explicit_and_floret(spark, tmp_path):
@@ -122,6 +211,25 @@ def test_text_round_trip(spark, tmp_path, dims):
     assert np.allclose([np.linalg.norm(r[2]) for r in content(unit)[0]], 1, atol=1e-5)
 
 
+def test_white_space(spark, tmp_path):
+    """Only ASCII white space cuts a line, the first one too; word2vec drops that of Unicode, no more."""
+    path = tmp_path / "model"
+    path.write_text("a\u00a0b 0.1 0.2\nc\u3000d\x1c 1 2\n")
+    assert [r[0] for r in content(text.read_text(spark, str(path), normalize=False))[0]] == ["a\u00a0b", "c\u3000d\x1c"]
+    path.write_text("2 1 2 2 1 1 \u00a0 >\x1c\n0 1\n1 2\n")
+    own = floret.read_floret_text(spark, str(path)).subwords
+    assert (own.bow, own.eow) == ("\u00a0", ">\x1c")
+    path.write_bytes(b"2 1\n" + "\u3000x\x1c\u00a0".encode() + b" " + struct.pack("<f", 1) + b"\ny " + struct.pack("<f", 2))
+    assert [r[0] for r in content(word2vec.read_word2vec_binary(spark, str(path), normalize=False))[0]] == ["x\x1c", "y"]
+
+
+def test_text_of_floats():
+    import pyarrow as pa
+
+    values = np.concatenate([np.float32([0, -0.0, 1, -3, 1e-45, 1e-5, 0.1, 16777216, 3.4e38, 1.1754944e-38, 123456.79]), np.random.default_rng(1).normal(size=2000).astype(np.float32) * np.float32(10) ** np.random.default_rng(2).integers(-30, 30, 2000)]).astype(np.float32)
+    assert text.float_texts(pa.array(values)).to_pylist() == [text.float_text(x) for x in values]
+
+
 def test_text_errors(spark, tmp_path):
     path = tmp_path / "model.txt"
     path.write_bytes(b"meren 1 2\nzee\xc3n 1 2\n")
@@ -170,7 +278,7 @@ def test_fasttext_round_trip(spark, tmp_path):
             fasttext.read_fasttext(spark, str(tmp_path / "bad"))
 
 
-# A published example of the format, with two sets of markers.
+# A published example of the format, with two sets of markers.
 BUCKETS = """0 -2.2611 3.9302 2.6676 -11.233 0.093715 -10.52 -9.6463 -0.11853 2.101 -0.10145
 1 -3.12 -1.7981 10.7 -6.171 4.4527 10.967 9.073 6.2056 -6.1199 -2.0402
 2 9.5689 5.6721 -8.4832 -1.2249 2.1871 -3.0264 -2.391 -5.3308 -3.2847 -4.0382

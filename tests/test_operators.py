@@ -195,7 +195,7 @@ def test_numbering(spark):
 
 
 def test_indexer_bounds():
-    for make in (lambda: HashIndexer(63), lambda: FastTextIndexer(0), lambda: FastTextIndexer(1 << 31), lambda: FloretIndexer(0), lambda: FloretIndexer(5, 5)):
+    for make in (lambda: HashIndexer(65), lambda: FastTextIndexer(0), lambda: FastTextIndexer(1 << 31), lambda: FloretIndexer(0), lambda: FloretIndexer(5, 5)):
         with pytest.raises(ValueError):
             make()
     assert HashIndexer(21).upper_bound == 1 << 21 and not ExplicitIndexer.infallible and FloretIndexer(7).whole_word
@@ -237,3 +237,22 @@ def test_streams(spark, model, tmp_path):
     run = lookup_each_batch(model, lambda frame, _: seen.extend(frame.collect()))
     stream.writeStream.foreachBatch(run).trigger(availableNow=True).start().awaitTermination()
     assert {r.word: r.found for r in seen} == {"w01": True, "unknown": True}
+
+
+def test_wide_hashes(spark):
+    from wordloom.functions import ngrams as g
+
+    words = ["<a>", "hallo", "ü日", "", None, "x" * 300]
+
+    def plain(word):
+        h = g.OFFSET_64
+        for byte in len(word).to_bytes(8, "little") + word.encode("utf-32-le"):
+            h = ((h ^ byte) * g.PRIME_64) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    frame = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    for bits in (31, 32, 62, 63, 64):
+        got = {r.i: r.h for r in frame.select("i", g.fnv_low_bits(frame.w, bits).alias("h")).collect()}
+        assert {i: None if h is None else int(h) for i, h in got.items()} == {i: None if w is None else plain(w) % (1 << bits) for i, w in enumerate(words)}
+    rows = HashIndexer(64).buckets_of(frame.select(frame.w.alias("ngram")).where("w is not null")).collect()
+    assert HashIndexer(64).upper_bound == 1 << 64 and {int(r.found[0]) for r in rows} == {plain(w) for w in words if w is not None}

@@ -31,13 +31,14 @@ class Indexer(ABC):
 
 @dataclass(frozen=True)
 class HashIndexer(Indexer):
-    """The native hash: low bits of FNV-1a; ``exponent`` bits."""
+    """The native hash: low bits of FNV-1a; ``exponent`` bits.  Buckets are BIGINT, with all 64 bits
+    DECIMAL(20, 0)."""
 
     exponent: int = 21
 
     def __post_init__(self) -> None:
-        if not 0 <= self.exponent <= 62:
-            raise ValueError("the bucket exponent must be from 0 to 62")
+        if not 0 <= self.exponent <= 64:
+            raise ValueError("the bucket exponent must be from 0 to 64")
 
     @property
     def upper_bound(self) -> int:

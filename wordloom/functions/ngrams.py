@@ -49,10 +49,14 @@ def fnv_low_bits(text: Column, bits: int) -> Column:
     """Low bits of FNV-1a (64) over the length, as 8 bytes, and the code points, as 4 each.
 
     Exclusive or and multiplication keep to the low bits, so up to 31 bits nothing overflows
-    BIGINT; beyond, the hash is made in Arrow batches.
+    BIGINT; beyond, the hash is made in Arrow batches.  All 64 bits are a DECIMAL(20, 0).
     """
-    if not 0 <= bits <= 62:
-        raise ValueError("the bucket exponent must be from 0 to 62")
+    if not 0 <= bits <= 64:
+        raise ValueError("the bucket exponent must be from 0 to 64")
+    if bits == 64:
+        high = _fnv_wide(text, F.lit(64))
+        wide = high.cast("decimal(20,0)")
+        return F.when(high < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
     if bits > 31:
         return _fnv_wide(text, F.lit(bits))
     size = 1 << bits
@@ -77,16 +81,27 @@ def fnv_low_bits(text: Column, bits: int) -> Column:
 
 @F.pandas_udf(LongType())
 def _fnv_wide(text: pd.Series, bits: pd.Series) -> pd.Series:
-    out = []
-    for value, low in zip(text, bits):
-        if value is None:
-            out.append(None)
-            continue
-        h = OFFSET_64
-        for byte in len(value).to_bytes(8, "little") + value.encode("utf-32-le"):
-            h = ((h ^ byte) * PRIME_64) & 0xFFFFFFFFFFFFFFFF
-        out.append(h & ((1 << int(low)) - 1))
-    return pd.Series(out, dtype="Int64")
+    known = text.notna().to_numpy()
+    values = text[known].tolist()
+    size = np.array([len(x) for x in values], np.int64)
+    points = np.zeros((len(values), int(size.max(initial=0))), np.uint64)
+    flat = np.frombuffer("".join(values).encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(len(values)), size)
+    points[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    h = np.full(len(values), OFFSET_64, np.uint64)
+    for k in range(8):
+        h = (h ^ (size.astype(np.uint64) >> np.uint64(8 * k) & np.uint64(255))) * np.uint64(PRIME_64)
+    for place in range(points.shape[1]):
+        here = np.flatnonzero(size > place)
+        part = h[here]
+        for k in range(4):
+            part = (part ^ (points[here, place] >> np.uint64(8 * k) & np.uint64(255))) * np.uint64(PRIME_64)
+        h[here] = part
+    low = int(bits.iloc[0]) if len(bits) else 0
+    mask = np.uint64((1 << low) - 1)
+    out = pd.Series([None] * len(text), index=text.index, dtype="Int64")
+    out[known] = (h & mask).view(np.int64)
+    return out
 
 
 def fasttext_hash(text: Column) -> Column:

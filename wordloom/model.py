@@ -14,6 +14,13 @@ from wordloom.errors import MatrixShapeError
 from wordloom.functions.indexers import ExplicitIndexer, FastTextIndexer, FloretIndexer, HashIndexer, Indexer
 
 
+def refuse_repeats(words: DataFrame) -> None:
+    """Raises if a word occurs more than once; a pass over the words."""
+    twice = words.groupBy("word").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"words occur more than once, as {twice.word!r}")
+
+
 class VocabKind(Enum):
     SIMPLE = "simple"
     BUCKET = "bucket_subword"

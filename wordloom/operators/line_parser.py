@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The characters between the parts of a text line.
 ASCII_SPACE = "[ \\t\\n\\r\\f]+"
+#: White space of Unicode, as words are trimmed of it.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The shape of a component.
 NUMBER = "\\A[+-]?(?:[0-9]++\\.?[0-9]*+|\\.[0-9]++)(?:[eE][+-]?[0-9]++)?\\z"
 #: A quoted or bare csv field; possessive, so that long lines need no stack.

@@ -15,26 +15,24 @@ from wordloom.errors import QuantizationError
 
 
 def book_table(books: DataFrame) -> DataFrame:
-    """One row a quantizer: for each subquantizer, in order, the map of centroid to vector.
-
-    ``books``: quantizer_id, sub, centroid, vec; its size is fixed by the quantizers' shapes.
+    """One row a quantizer: for each subquantizer, in order, the vectors by number of centroid, null
+    for numbers that are none.  ``books``: quantizer_id, sub, centroid (from 0), vec.
     """
     subs = (
-        books.where("quantizer_id is not null and sub is not null and centroid is not null and vec is not null")
+        books.where("quantizer_id is not null and sub is not null and centroid >= 0 and vec is not null")
         .dropDuplicates(["quantizer_id", "sub", "centroid"])
         .groupBy("quantizer_id", "sub")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("centroid").cast("int"), "vec"))).alias("by_centroid"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("centroid").cast("int"), "vec"))).alias("by"), F.max("centroid").alias("most"))
+        .select("quantizer_id", "sub", F.transform(F.sequence(F.lit(0), F.col("most").cast("int")), lambda c: F.try_element_at("by", c)).alias("vecs"))
     )
-    return subs.groupBy("quantizer_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sub", F.map_entries("by_centroid").alias("entries")))),
-                    lambda s: F.map_from_entries(s["entries"])).alias("book")
-    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("sub", "vecs"))), lambda s: s["vecs"])
+    return subs.groupBy("quantizer_id").agg(listed.alias("book"))
 
 
 def decoded(codes: Column, book: Column, norm: Column) -> Column:
     """The vector that codes name: centroids one after the other, times the norm where there is
     one.  Null where codes are null, of the wrong number or name no centroid."""
-    parts = F.transform(codes, lambda c, i: F.try_element_at(F.get(book, i), c.cast("int")))
+    parts = F.transform(codes, lambda c, i: F.get(F.get(book, i), c.cast("int")))
     good = (F.size(codes) == F.size(book)) & ~F.exists(parts, lambda p: p.isNull())
     scale = F.coalesce(norm.cast("float"), F.lit(1.0).cast("float"))
     return F.when(good, F.transform(F.flatten(parts), lambda x: (x * scale).cast("float")))
@@ -43,10 +41,11 @@ def decoded(codes: Column, book: Column, norm: Column) -> Column:
 def decode_rows(rows: DataFrame, books: DataFrame) -> DataFrame:
     """``rows`` (quantizer_id, codes, norm and what else there is) with ``embedding`` added.
 
-    An unknown or null quantizer gives a null vector.  No shuffle of ``rows``.
+    An unknown or null quantizer gives a null vector.  ``rows`` are not shuffled as long as the
+    planner finds the codebooks small enough to be broadcast.
     """
     table = book_table(books).withColumnRenamed("quantizer_id", "book_quantizer")
-    joined = rows.join(F.broadcast(table), F.col("quantizer_id") == F.col("book_quantizer"), "left")
+    joined = rows.join(table, F.col("quantizer_id") == F.col("book_quantizer"), "left")
     return joined.withColumn("embedding", decoded(F.col("codes"), F.col("book"), F.col("norm"))).drop("book_quantizer", "book")
 
 

@@ -24,7 +24,12 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).clean
+    """The clean lines as words; vectors by their size and the sum of components times places."""
+    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x)
+    return _parsed(spark, sf_dir).clean.select(
+        "line_id", "model_id", "line_no", "word", F.size("embedding").alias("size"), (F.round(total, 4) + 0.0).alias("mark")
+    )
 
 
 def p1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +45,8 @@ _CUT = r"""
 WITH known AS (
   SELECT r.line_id, r.model_id, r.line_no, r.line_bytes, lower(m.layout) AS layout, m.dims,
          TRY(decode(r.line_bytes)) AS whole
-  FROM raw_lines r JOIN models m ON r.model_id = m.model_id
-  WHERE NOT (lower(m.layout) = 'text_dims' AND r.line_no = 1)
+  FROM raw_lines r LEFT JOIN models m ON r.model_id = m.model_id
+  WHERE NOT coalesce(lower(m.layout) = 'text_dims' AND r.line_no = 1, false)
 ), lines AS (
   SELECT *, CASE WHEN layout = 'csv' THEN regexp_replace(whole, '\r\z', '') ELSE whole END AS line FROM known
 ), checked AS (
@@ -55,7 +60,8 @@ WITH known AS (
 ), judged AS (
   SELECT *, whole IS NOT NULL AND quoting AND len(cells) = dims + 1 AND cells[1] <> ''
     AND len(list_filter(cells[2:], lambda c: NOT (regexp_full_match(c, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
-        AND abs(coalesce(TRY_CAST(c AS DOUBLE), 'inf'::DOUBLE)) < 3.4028235677973366e38))) = 0 AS good
+        AND abs(coalesce(TRY_CAST(c AS DOUBLE), 'inf'::DOUBLE)) < 3.4028235677973366e38))) = 0
+    AND layout IN ('text', 'text_dims', 'csv') AS good
   FROM cut
 )
 """
@@ -64,6 +70,7 @@ SQL = {
     "p1_found": _CUT + "SELECT line_id FROM judged WHERE NOT coalesce(good, false)",
     "p1_reasons": _CUT
     + """SELECT line_id, array_to_string(list_sort(list_filter([
+      CASE WHEN layout IS NULL OR layout NOT IN ('text', 'text_dims', 'csv') THEN 'model has no known layout' END,
       CASE WHEN whole IS NULL THEN 'bytes are not valid UTF-8' END,
       CASE WHEN whole IS NOT NULL AND NOT quoting THEN 'broken quoting' END,
       CASE WHEN whole IS NOT NULL AND quoting AND len(cells) <> dims + 1 THEN 'wrong number of fields' END,
@@ -73,5 +80,8 @@ SQL = {
         AND abs(coalesce(TRY_CAST(c AS DOUBLE), 'inf'::DOUBLE)) >= 3.4028235677973366e38)) > 0 THEN 'component is not finite as FLOAT' END
     ], lambda r: r IS NOT NULL)), '; ') AS reasons FROM judged WHERE NOT coalesce(good, false)""",
     "p1_components": _CUT
-    + "SELECT line_id, cells[1] AS word, (i - 2)::INT AS place, cells[i]::FLOAT::DOUBLE AS value FROM judged, range(2, 1000) t(i) WHERE good AND i <= len(cells)",
+    + "SELECT line_id, cells[1] AS word, (i - 2)::INT AS place, cells[i]::FLOAT::DOUBLE AS value FROM (SELECT *, unnest(range(2, len(cells) + 1)) AS i FROM judged WHERE good)",
+    "p1_words": _CUT
+    + """SELECT line_id, model_id, line_no, cells[1] AS word, (len(cells) - 1)::INT AS size,
+      round(list_sum(list_transform(cells[2:], lambda c, i: c::FLOAT::DOUBLE * i)), 4) + 0.0 AS mark FROM judged WHERE good""",
 }

@@ -7,6 +7,7 @@ by ``mark``, the sum of its components times their places.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +66,9 @@ def corpus_model(spark: SparkSession, sf_dir: str) -> EmbeddingModel:
 
 
 def native_model(spark: SparkSession, sf_dir: str) -> EmbeddingModel:
-    buckets, _ = bucket_rows(spark, sf_dir)
-    return EmbeddingModel(corpus_words(spark, sf_dir), 64, Subwords(HashIndexer(8), MIN_N, MAX_N), buckets)
+    own = HashIndexer(8)
+    buckets = bucket_rows(spark, sf_dir)[0].where(F.col("bucket") < own.upper_bound)
+    return EmbeddingModel(corpus_words(spark, sf_dir), 64, Subwords(own, MIN_N, MAX_N), buckets)
 
 
 def asked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +114,8 @@ def _fasttext(ngram: str) -> str:
     return _fold(g.OFFSET_32, f"(xor(h, {wide}) * {g.PRIME_32}) & 4294967295", items)
 
 
+_UNKNOWN = "unknown AS (SELECT word FROM asked WHERE word NOT IN (SELECT word FROM words))"
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -348,10 +352,103 @@ def fasttext_hash(spark, d):
     return _distinct_ngrams(spark, d).select("ngram", g.fasttext_bucket(F.col("ngram"), FASTTEXT_BUCKETS).alias("bucket"))
 
 
-@query()
+FLORET_BUCKETS, FLORET_SEED = 65535, 42
+
+
+def _murmur(source: str, seed: int) -> str:
+    """CTEs: ``hashed``, with both halves of MurmurHash3 x64-128 of ``ngram``, of less than 32 bytes."""
+    times = lambda x, y: f"(({x})::UHUGEINT * {y}::UHUGEINT % 18446744073709551616::UHUGEINT)"
+    plus = lambda x, y: f"((({x})::UHUGEINT + ({y})::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    turn = lambda x, r: f"((({x})::UHUGEINT * {1 << r}::UHUGEINT) % 18446744073709551616::UHUGEINT + ({x})::UHUGEINT // {1 << 64 - r}::UHUGEINT)"
+    both = lambda x, y: f"xor(({x})::UBIGINT, ({y})::UBIGINT)"
+    high = lambda x: f"(({x})::UBIGINT >> 33)"
+    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+    word = lambda at: f"(('0x' || array_to_string(list_reverse(list_transform(range(0, 8), lambda k: CASE WHEN {at} + k < size THEN substring(h, 2 * ({at} + k) + 1, 2) ELSE '00' END)), ''))::UBIGINT)"
+    mixed1 = lambda k: times(turn(times(k, c1), 31), c2)
+    mixed2 = lambda k: times(turn(times(k, c2), 33), c1)
+    steps = [
+        ("b0", source, f"*, hex(encode(ngram)) AS h, strlen(ngram) AS size, {seed}::UBIGINT AS s"),
+        ("b1", "b0", f"*, {word('0')} AS w0, {word('8')} AS w1, {word('16')} AS w2, {word('24')} AS w3"),
+        ("b2", "b1", f"*, {mixed1('w0')} AS k0, {mixed2('w1')} AS k1, {mixed1('w2')} AS k2, {mixed2('w3')} AS k3"),
+        ("b3", "b2", f"*, {plus(times(plus(turn(both('s', 'k0'), 27), 's'), 5), 0x52DCE729)} AS m1"),
+        ("b4", "b3", f"*, {plus(times(plus(turn(both('s', 'k1'), 31), 'm1'), 5), 0x38495AB5)} AS m2"),
+        ("b5", "b4", f"*, CASE WHEN size >= 16 THEN {both('m1', 'k2')} ELSE {both('s', 'k0')} END AS t1, CASE WHEN size >= 16 THEN {both('m2', 'k3')} ELSE {both('s', 'k1')} END AS t2"),
+        ("b6", "b5", f"*, {both('t1', 'size')} AS u1, {both('t2', 'size')} AS u2"),
+        ("b7", "b6", f"*, {plus('u1', 'u2')} AS v1"),
+        ("b8", "b7", f"*, {plus('u2', 'v1')} AS v2"),
+        ("b9", "b8", f"*, {times(both('v1', high('v1')), 0xFF51AFD7ED558CCD)} AS x1, {times(both('v2', high('v2')), 0xFF51AFD7ED558CCD)} AS x2"),
+        ("b10", "b9", f"*, {times(both('x1', high('x1')), 0xC4CEB9FE1A85EC53)} AS y1, {times(both('x2', high('x2')), 0xC4CEB9FE1A85EC53)} AS y2"),
+        ("b11", "b10", f"*, {both('y1', high('y1'))} AS z1, {both('y2', high('y2'))} AS z2"),
+        ("b12", "b11", f"*, {plus('z1', 'z2')}::UBIGINT AS h1"),
+        ("hashed", "b12", f"ngram, h1, {plus('z2', 'h1')}::UBIGINT AS h2"),
+    ]
+    return ", ".join(f"{name} AS MATERIALIZED (SELECT {columns} FROM {of})" for name, of, columns in steps)
+
+
+@query(f"""WITH {_WORDS}, {_grams('asked')}, x AS (SELECT DISTINCT ngram FROM grams), {_murmur('x', FLORET_SEED)}
+SELECT ngram, ((h1 % 4294967296) % {FLORET_BUCKETS})::BIGINT AS bucket_0, ((h1 // 4294967296) % {FLORET_BUCKETS})::BIGINT AS bucket_1,
+  ((h2 % 4294967296) % {FLORET_BUCKETS})::BIGINT AS bucket_2, ((h2 // 4294967296) % {FLORET_BUCKETS})::BIGINT AS bucket_3 FROM hashed""")
 def floret_hash(spark, d):
-    found = FloretIndexer(65535, 3, 42).buckets_of(_distinct_ngrams(spark, d))
-    return found.select("ngram", *[F.col("found")[i].alias(f"bucket_{i}") for i in range(3)])
+    found = FloretIndexer(FLORET_BUCKETS, 4, FLORET_SEED).buckets_of(_distinct_ngrams(spark, d))
+    return found.select("ngram", *[F.col("found")[i].alias(f"bucket_{i}") for i in range(4)])
+
+
+@query(f"WITH {_WORDS}, {_UNKNOWN} SELECT word, word IN (SELECT word FROM words) AS known FROM asked WHERE word IN (SELECT word FROM words) OR length(word) >= {MIN_N - 2}")
+def known_and_unknown(spark, d):
+    """The asked words that have a row, and those that have n-grams only."""
+    found = lookup.word_index(asked_words(spark, d), corpus_model(spark, d))
+    known, unknown = lookup.known_words(found), lookup.unknown_words(found)
+    return known.select("word", F.lit(True).alias("known")).unionByName(unknown.select("word", F.lit(False).alias("known")))
+
+
+_INDEXERS = {
+    "bucket_subword": lambda buckets: HashIndexer(buckets.bit_length() - 1),
+    "fasttext_subword": lambda buckets: FastTextIndexer(buckets),
+}
+
+
+@query("""SELECT model_id, vocab_kind AS kind, min_n, max_n, bow, eow, buckets AS upper_bound, true AS infallible FROM models
+WHERE vocab_kind IN ('bucket_subword', 'fasttext_subword') AND buckets IS NOT NULL AND (vocab_kind = 'fasttext_subword' OR bit_count(buckets) = 1)""")
+def subword_parameters(spark, d):
+    """The accessors of every hashed vocabulary of the table of models."""
+    rows = table(spark, d, "models").where("buckets is not null").collect()  # a row a model
+    found = []
+    for r in rows:
+        if r.vocab_kind not in _INDEXERS or (r.vocab_kind == "bucket_subword" and r.buckets.bit_count() != 1):
+            continue
+        own = Subwords(_INDEXERS[r.vocab_kind](r.buckets), r.min_n, r.max_n, r.bow, r.eow)
+        found.append((r.model_id, own.kind.value, own.min_n, own.max_n, own.bow, own.eow, own.indexer.upper_bound, own.indexer.infallible))
+    return spark.createDataFrame(found, "model_id long, kind string, min_n int, max_n int, bow string, eow string, upper_bound long, infallible boolean")
+
+
+_BY_MODEL = """m AS (SELECT model_id, vocab_kind, min_n, max_n, bow, eow, buckets FROM models WHERE vocab_kind IN ('bucket_subword', 'fasttext_subword') AND buckets IS NOT NULL
+  AND (vocab_kind = 'fasttext_subword' OR bit_count(buckets) = 1)),
+own AS (SELECT DISTINCT m.*, word, bow || word || eow AS marked FROM vocab_words v JOIN m USING (model_id) WHERE word IS NOT NULL),
+begun AS (SELECT *, unnest(range(1, length(marked) - min_n + 2)) AS i FROM own),
+pieces AS (SELECT *, unnest(list_transform(range(min_n::BIGINT, least(max_n, length(marked) - i + 1) + 1), lambda n: substring(marked, i, n))) AS ngram FROM begun),
+kinds AS (SELECT DISTINCT vocab_kind, ngram FROM pieces)"""
+
+
+@query(f"""WITH {_BY_MODEL}, f AS (SELECT *, CASE WHEN vocab_kind = 'fasttext_subword' THEN {_fasttext('ngram')} ELSE {_native('ngram', 30)} END AS hash FROM kinds)
+SELECT model_id, word, count(*) AS n, sum(hash % buckets)::BIGINT AS total FROM pieces JOIN f USING (vocab_kind, ngram) GROUP BY model_id, word""")
+def ngrams_by_model(spark, d):
+    """The n-grams of every model's words by its own lengths, markers and buckets: how many a word has
+    and the sum of their buckets."""
+    models = {r.model_id: r for r in table(spark, d, "models").where("buckets is not null").collect()}  # a row a model
+    words = table(spark, d, "vocab_words").where("word is not null").select("model_id", "word").distinct()
+    # Models of the same parameters are taken together.
+    groups: dict[tuple, list[int]] = {}
+    for r in models.values():
+        if r.vocab_kind in _INDEXERS and (r.vocab_kind != "bucket_subword" or r.buckets.bit_count() == 1):
+            groups.setdefault((r.vocab_kind, r.buckets, r.min_n, r.max_n, r.bow, r.eow), []).append(r.model_id)
+    out = spark.createDataFrame([], "model_id long, word string, n long, total long")
+    for (kind, buckets, *lengths), members in sorted(groups.items()):
+        own = Subwords(_INDEXERS[kind](buckets), *lengths)
+        of = words.where(F.col("model_id").isin(members))
+        found = subwords.subword_indices(of.select("word").distinct(), own)
+        counted = found.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("bucket") * F.col("n")).alias("total"))
+        out = out.unionByName(of.join(counted, "word").select("model_id", "word", "n", "total"))
+    return out
 
 
 @query(f"WITH {_WORDS}, {_grams('asked')}, x AS (SELECT word, ngram, count(*) AS n FROM grams GROUP BY ALL), h AS (SELECT *, {_native('ngram', 8)} AS bucket FROM x) SELECT word, bucket, sum(n)::BIGINT AS n FROM h GROUP BY word, bucket")
@@ -375,7 +472,6 @@ total AS (SELECT word, list(s ORDER BY pos) AS total, max(hits) AS hits FROM p G
 
 
 _FT_BUCKET = _fasttext("ngram") + " % (SELECT count(*) FROM embeddings)"
-_UNKNOWN = "unknown AS (SELECT word FROM asked WHERE word NOT IN (SELECT word FROM words))"
 
 
 @query(f"WITH {_WORDS}, {_UNKNOWN}, {_pooled('unknown', _FT_BUCKET)} SELECT word, hits::BIGINT AS hits, round(sqrt(list_dot_product(total, total)), 5) AS length, {MARK.format('total')} AS mark FROM total")
@@ -466,31 +562,75 @@ def pq_decode(spark, d):
 
 
 @query("""
-WITH q AS (SELECT sub, centroid, vec::DOUBLE[] AS vec, (SELECT count(DISTINCT sub) FROM pq_books WHERE quantizer_id = 1) AS subs FROM pq_books WHERE quantizer_id = 1),
-p AS (SELECT row_id, sub, centroid, list_sum(list_transform(list_zip(embedding[sub * (64 // subs) + 1 : (sub + 1) * (64 // subs)]::DOUBLE[], vec), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist
+WITH size AS (SELECT quantizer_id, count(DISTINCT sub) AS subs FROM pq_books GROUP BY quantizer_id),
+q AS (SELECT quantizer_id, sub, centroid, vec::DOUBLE[] AS vec, subs FROM pq_books JOIN size USING (quantizer_id)),
+p AS (SELECT row_id, quantizer_id, sub, centroid, list_sum(list_transform(list_zip(embedding[sub * (64 // subs) + 1 : (sub + 1) * (64 // subs)]::DOUBLE[], vec), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist
   FROM word_vectors, q WHERE embedding IS NOT NULL)
-SELECT row_id, sub, arg_min(centroid, (dist, centroid)) AS code FROM p GROUP BY row_id, sub
+SELECT quantizer_id, row_id, sub, arg_min(centroid, (dist, centroid)) AS code FROM p GROUP BY quantizer_id, row_id, sub
 """)
 def pq_encode(spark, d):
-    quantizer = quantize.Quantizer.from_books(table(spark, d, "pq_books"), 1)
-    coded = quantize.encode_rows(table(spark, d, "word_vectors"), quantizer, "row_id")
-    return coded.select("row_id", F.posexplode("codes").alias("sub", "code"))
+    """Every row by every codebook."""
+    books, out = table(spark, d, "pq_books"), None
+    for r in sorted(books.select("quantizer_id").distinct().collect()):  # a row a codebook
+        coded = quantize.encode_rows(table(spark, d, "word_vectors"), quantize.Quantizer.from_books(books, r.quantizer_id), "row_id")
+        own = coded.select(F.lit(r.quantizer_id).alias("quantizer_id"), "row_id", F.posexplode("codes").alias("sub", "code"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(SQL["pq_decode"])
+def pq_reconstruct(spark, d):
+    """pq_decode by the codebooks as matrices, for the rows whose codes can be decoded."""
+    codes, books, models = (table(spark, d, n) for n in ("pq_codes", "pq_books", "models"))
+    rows, out = codes.join(models.select("model_id", "quantizer_id"), "model_id"), None
+    for r in sorted(books.select("quantizer_id").distinct().collect()):  # a row a codebook
+        own = quantize.Quantizer.from_books(books, r.quantizer_id)
+        fits = (F.size("codes") == own.quantized_len) & ~F.exists("codes", lambda c: c.isNull() | (c < 0) | (c >= own.centroids.shape[1]))
+        good = rows.where(F.col("quantizer_id") == r.quantizer_id).where(fits)
+        found = quantize.reconstruct(good.select("row_id", "codes", "norm"), own, "row_id")
+        found = found.select("row_id", mark(F.col("embedding"), 4).alias("mark"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# Trained quantizers have no single right result: what is stated are the bounds they keep.
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "word_vectors").select(F.col("row_id").alias("idx"), "embedding")
 
 
-@query()
+@query("""SELECT row_id AS idx, true AS nearest, true AS within_length FROM word_vectors WHERE embedding IS NOT NULL""")
 def pq_train(spark, d):
-    """Codes and error of every row under a quantizer trained on all rows."""
-    rows = table(spark, d, "word_vectors").select(F.col("row_id").alias("idx"), "embedding")
+    """Every row under a quantizer trained on all rows: whether its codes name the nearest centroids,
+    found by comparing it with each, and whether the decoded vector is off by less than its length."""
+    rows = _vectors(spark, d).where("embedding is not null")
     quantizer, _ = quantize.train(rows, 8, 4, iterations=5, normalize=True)
     coded = quantize.encode_rows(rows, quantizer, "idx", normalize=True)
     back = quantize.reconstruct(coded, quantizer, "idx").withColumnRenamed("embedding", "decoded")
+    unit = v.l2_normalize(F.col("embedding"), v.l2_norm(F.col("embedding")))
+    width = quantizer.reconstructed_len // quantizer.quantized_len
+    parts = rows.select("idx", F.posexplode(F.array(*[F.slice(unit, 1 + q * width, width) for q in range(quantizer.quantized_len)])).alias("sub", "part"))
+    gaps = F.aggregate(F.zip_with("part", "vec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    books = quantizer.books(spark).select("sub", "centroid", "vec")
+    near = parts.join(books, "sub").groupBy("idx", "sub").agg(F.min(gaps).alias("least"))
+    named = coded.select("idx", F.posexplode("codes").alias("sub", "centroid"))
+    told = parts.join(named, ["idx", "sub"]).join(books, ["sub", "centroid"]).select("idx", "sub", gaps.alias("gap"))
+    best = told.join(near, ["idx", "sub"]).groupBy("idx").agg(F.bool_and(F.col("gap") <= F.col("least") + 1e-5).alias("nearest"))
+    length = v.l2_norm(F.col("embedding"))
     gap = v.l2_norm(v.subtract(F.col("embedding"), F.col("decoded")))
-    return rows.join(back, "idx").select("idx", rounded(gap).alias("error"), rounded(v.l2_norm(F.col("embedding"))).alias("length"))
+    return rows.join(back, "idx").select("idx", (gap <= length).alias("within_length")).join(best, "idx")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('pq', true, true, false), ('opq', true, true, true)) t(quantizer, better_than_one_centroid, improves, orthogonal)""")
 def opq_train(spark, d):
-    """Loss of a plain and of a rotated quantizer over all rows."""
-    rows = table(spark, d, "word_vectors").select(F.col("row_id").alias("idx"), "embedding")
-    found = [(n, quantize.train(rows, 8, 4, iterations=5, normalize=True, rotate=n == "opq")[1]) for n in ("pq", "opq")]
-    return spark.createDataFrame(found, "quantizer string, loss double")
+    """Of a plain and a rotated quantizer over all rows: whether the loss is below that of one centroid,
+    whether more steps make it no greater, and whether there is a rotation, which keeps lengths."""
+    rows, found = _vectors(spark, d).where("embedding is not null"), []
+    moments = rows.select(F.posexplode(v.l2_normalize(F.col("embedding"), v.l2_norm(F.col("embedding")))).alias("at", "x"))
+    spread = moments.groupBy("at").agg(F.var_pop("x").alias("s")).agg(F.sum("s")).first()[0]
+    for name in ("pq", "opq"):
+        first, later = (quantize.train(rows, 8, 4, iterations=n, normalize=True, rotate=name == "opq") for n in (1, 5))
+        turned = later[0].projection
+        found.append((name, later[1] < spread, later[1] <= first[1] + 1e-9, turned is not None and bool(np.allclose(turned @ turned.T, np.eye(len(turned)), atol=1e-6))))
+    return spark.createDataFrame(found, "quantizer string, better_than_one_centroid boolean, improves boolean, orthogonal boolean")

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.errors import FormatError, MatrixShapeError, ReadError, WriteError
+from wordloom.errors import FormatError, MatrixShapeError, WriteError
 from wordloom.functions.indexers import FastTextIndexer
-from wordloom.model import EmbeddingModel, Subwords
+from wordloom.model import EmbeddingModel, Subwords, refuse_repeats
 from wordloom.operators.subwords import compose_words, decompose_words, normalized_words
-from wordloom.sources.files import SLICE, OrderedFile, exactly, float_bytes, mapped, matrix_rows
+from wordloom.sources.files import OrderedFile, exactly, float_bytes, mapped, matrix_rows, row_slices
 
 # The mark and the latest version of the format, and its names of numbers.
 MAGIC, VERSION = 793712314, 12
@@ -24,9 +24,10 @@ LOSSES = {1: "HierarchicalSoftmax", 2: "NegativeSampling", 3: "Softmax"}
 MODELS = {1: "Cbow", 2: "SkipGram", 3: "Supervised"}
 
 
-def read_fasttext(spark: SparkSession, path: str, lossy: bool = False) -> EmbeddingModel:
+def read_fasttext(spark: SparkSession, path: str, lossy: bool = False, check: bool = True) -> EmbeddingModel:
     """Words have their bucket rows mixed in and are normalized, with their lengths as norms;
-    bucket rows stay as they are.  The parameters become metadata."""
+    bucket rows stay as they are.  The parameters become metadata.  A word that repeats is an
+    error, unless ``check`` is false."""
     with open(path, "rb", buffering=1 << 20) as file:
         magic, version = struct.unpack("<II", exactly(file, 8, "the head"))
         if magic != MAGIC or version > VERSION:
@@ -40,22 +41,9 @@ def read_fasttext(spark: SparkSession, path: str, lossy: bool = False) -> Embedd
             raise FormatError("models for prediction are not supported")
         if pruned >= 0:
             raise FormatError("pruned vocabularies are not supported")
-        slices, first, start = [], 0, file.tell()
-        place = start
-        with mapped(file) as data:
-            for row in range(size):
-                if place - start >= SLICE:
-                    slices.append((first, row - first, start))
-                    first, start = row, place
-                end = data.find(b"\0", place)
-                if end < 0 or end + 10 > len(data):
-                    raise ReadError("the file ends within an entry")
-                if data[end + 9]:
-                    raise FormatError("an entry is no word")
-                place = end + 10
-        file.seek(place)
-        if size > first:
-            slices.append((first, size - first, start))
+        # A word, a zero, eight bytes of a count and the kind of entry.
+        slices = row_slices(spark, path, file.tell(), size, b"\0", 9)
+        file.seek(slices[-1][3])
         if exactly(file, 1, "the head of the matrix") == b"\1":
             raise FormatError("quantized models are not supported")
         rows, dims = struct.unpack("<QQ", exactly(file, 16, "the head of the matrix"))
@@ -65,17 +53,21 @@ def read_fasttext(spark: SparkSession, path: str, lossy: bool = False) -> Embedd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, count, place in zip(*(c.to_pylist() for c in batch.columns)):
+            for low, count, place, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 words = []
                 with open(path, "rb") as own, mapped(own) as data:
                     for _ in range(count):
                         end = data.find(b"\0", place)
                         words.append(data[place:end].decode("utf-8", "replace" if lossy else "strict"))
+                        if data[end + 9]:
+                            raise FormatError("an entry is no word")
                         place = end + 10
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.arange(low, low + count))], ["word", "of"])
 
-    table = spark.createDataFrame(slices, "first long, rows long, start long").repartition(max(1, len(slices)), "first")
+    table = spark.createDataFrame(slices, "first long, rows long, start long, end long").repartition(max(1, len(slices)), "first")
     words = table.mapInArrow(run, "word string, of long")
+    if check:
+        refuse_repeats(words)
     matrix = matrix_rows(spark, path, offset, size, dims)
     buckets = matrix_rows(spark, path, offset + 4 * dims * size, config["bucket"], dims).withColumnRenamed("idx", "bucket")
     raw = words.join(matrix, F.col("of") == F.col("idx")).select("word", "idx", "embedding", F.lit(None).cast("float").alias("norm"))

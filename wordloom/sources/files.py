@@ -8,6 +8,7 @@ from __future__ import annotations
 import contextlib
 import mmap
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.errors import ReadError
+from wordloom.operators.line_parser import ASCII_SPACE
 
 #: Bytes that one task reads.
 SLICE = 32 << 20
@@ -36,6 +38,30 @@ def exactly(file, size: int, what: str) -> bytes:
     return data
 
 
+def row_slices(spark: SparkSession, path: str, begin: int, count: int, mark: bytes, tail: int) -> list[tuple[int, int, int, int]]:
+    """First row, rows, place and end of stretches of ``count`` rows from ``begin`` on, each of which ends
+    ``tail`` bytes behind the first ``mark`` in it.  A task hops from mark to mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            found, first, start, place = [], 0, begin, begin
+            step = len(mark) + tail
+            with open(path, "rb") as file, mapped(file) as data:
+                for row in range(count):
+                    if place - start >= SLICE:
+                        found.append((first, row - first, start, place))
+                        first, start = row, place
+                    at = data.find(mark, place)
+                    if at < 0 or at + step > len(data):
+                        raise ReadError("the file ends within a row")
+                    place = at + step
+            found.append((first, count - first, start, place))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["first", "rows", "start", "end"])
+
+    found = spark.range(0, 1, 1, 1).mapInArrow(run, "first long, rows long, start long, end long").collect()  # a row a stretch
+    return [tuple(r) for r in found]
+
+
 def matrix_rows(spark: SparkSession, path: str, offset: int, rows: int, dims: int, first: int = 0) -> DataFrame:
     """idx (from ``first``), embedding of a little-endian FLOAT matrix, a range of rows a task."""
     width = 4 * dims
@@ -92,9 +118,14 @@ def first_line(path: str) -> bytes:
         return file.readline()
 
 
-def write_parts(rows: DataFrame, order: str, data: str, folder: str) -> list[str]:
-    """The bytes of ``rows`` in files in order; a range of rows a task.  A task that runs again
-    replaces its own file."""
+def fields(line: bytes) -> list[bytes]:
+    """The parts of a line between ASCII white space, as all lines are cut."""
+    return [part for part in re.split(ASCII_SPACE.encode(), line) if part]
+
+
+def write_parts(rows: DataFrame, order: str, data: str, folder: str) -> list[tuple[str, int]]:
+    """The bytes of ``rows`` in files in order, with their sizes; a range of rows a task.  A task that
+    runs again replaces its own file."""
     os.makedirs(folder, exist_ok=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +136,38 @@ def write_parts(rows: DataFrame, order: str, data: str, folder: str) -> list[str
             for batch in batches:
                 for value in batch.column(0).to_pylist():
                     file.write(value)
+            size = file.tell()
         os.replace(draft, target)
-        yield pa.RecordBatch.from_arrays([pa.array([target])], ["path"])
+        yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([size])], ["path", "size"])
 
     sorted_ = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).select(data)
-    return sorted(r.path for r in sorted_.mapInArrow(run, "path string").collect())  # a row a task
+    return sorted((r.path, r["size"]) for r in sorted_.mapInArrow(run, "path string, size long").collect())  # a row a task
+
+
+def place_parts(spark: SparkSession, parts: list[tuple[str, int]], path: str, begin: int) -> int:
+    """Copies parts one behind the other into a file, each by a task, from a place on; where they end."""
+    places = []
+    for part, size in parts:
+        places.append((part, begin))
+        begin += size
+    os.truncate(path, begin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, at in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(part, "rb") as source, open(path, "r+b") as target:
+                    target.seek(at)
+                    shutil.copyfileobj(source, target, 1 << 20)
+            yield batch.slice(0, 0)
+
+    if places:
+        table = spark.createDataFrame(places, "path string, at long").repartition(len(places), "at")
+        table.mapInArrow(run, "path string, at long").collect()  # no row
+    return begin
 
 
 class OrderedFile:
-    """One file put together from bytes of the driver and from ordered tables."""
+    """One file put together from bytes of the driver and, by tasks, from ordered tables."""
 
     def __init__(self, path: str):
         self.path = path
@@ -132,9 +186,9 @@ class OrderedFile:
     def table(self, rows: DataFrame, order: str, data: str = "data") -> None:
         folder = f"{self.draft}.parts"
         try:
-            for part in write_parts(rows, order, data, folder):
-                with open(part, "rb") as source:
-                    shutil.copyfileobj(source, self.file, 1 << 20)
+            parts = write_parts(rows, order, data, folder)
+            self.file.flush()
+            self.file.seek(place_parts(rows.sparkSession, parts, self.draft, self.file.tell()))
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 

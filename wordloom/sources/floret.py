@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from wordloom.errors import FormatError, WriteError
 from wordloom.functions.indexers import FloretIndexer
 from wordloom.model import EmbeddingModel, Subwords
-from wordloom.sources.files import OrderedFile, first_line, numbered_lines
+from wordloom.sources.files import OrderedFile, fields, first_line, numbered_lines
 from wordloom.sources.text import WORDS, _rows, text_lines
 
 
 def read_floret_text(spark: SparkSession, path: str) -> EmbeddingModel:
     """A model of buckets only.  The place of a line, not its number, is the bucket; nothing is
     normalized and there are no norms."""
-    fields = first_line(path).decode("utf-8").split()
+    parts = fields(first_line(path))
     try:
-        buckets, dims, min_n, max_n, hashes, seed = (int(x) for x in fields[:6])
-        bow, eow = fields[6:]
+        buckets, dims, min_n, max_n, hashes, seed = (int(x) for x in parts[:6])
+        bow, eow = (x.decode("utf-8") for x in parts[6:])
     except ValueError as error:
         raise FormatError("the first line has not six numbers and two markers") from error
     if buckets < 1 or dims < 1 or not 1 <= min_n <= max_n or not 1 <= hashes <= 4:

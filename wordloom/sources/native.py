@@ -1,7 +1,8 @@
 """The native container: a header and chunks for metadata, vocabulary, matrix and norms.
 
 Only the heads of chunks are read on the driver; words, matrices, codes and norms are read by
-tasks, and written by tasks as parts in order.
+tasks, and written by tasks at their places.  Where stretches of words begin is found by one task,
+which hops from length to length.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.errors import FormatError, NGramConversionError, ReadError, UnknownChunkError, WriteError
+from wordloom.errors import FormatError, MatrixShapeError, NGramConversionError, ReadError, UnknownChunkError, WriteError
 from wordloom.functions.indexers import ExplicitIndexer, FastTextIndexer, FloretIndexer, HashIndexer
-from wordloom.model import EmbeddingModel, Subwords
+from wordloom.model import EmbeddingModel, Subwords, refuse_repeats
 from wordloom.operators import quantize as pq
 from wordloom.sources import toml
-from wordloom.sources.files import OrderedFile, code_rows, exactly, float_bytes, matrix_rows
+from wordloom.sources.files import SLICE, OrderedFile, code_rows, exactly, float_bytes, mapped, matrix_rows
 
 # The mark, the version, and the numbers of chunks and of types.
 MARK, VERSION = b"FiFu", 0
@@ -161,30 +162,60 @@ def read_metadata(path: str) -> dict[str, Any] | None:
         return reader.metadata() if reader.header()[0] == METADATA else None
 
 
-def _items(spark: SparkSession, path: str, offset: int, count: int, numbered: bool) -> DataFrame:
-    """pos, item and, if ``numbered``, number: texts with their lengths before them.  They can only
-    be read one after the other, by one task, in batches."""
+def _stretches(spark: SparkSession, path: str, offset: int, count: int, tail: int) -> list[tuple[int, int, int, int]]:
+    """First item, items, place and end of stretches of items with their lengths before them and
+    ``tail`` bytes behind.  A task hops from length to length; of texts it reads nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
-            with open(path, "rb", buffering=1 << 20) as file:
-                file.seek(offset)
-                for low in range(0, count, 50_000):
-                    items, numbers = [], []
-                    for _ in range(min(50_000, count - low)):
-                        (size,) = struct.unpack("<I", exactly(file, 4, "the vocabulary"))
-                        try:
-                            items.append(exactly(file, size, "the vocabulary").decode("utf-8"))
-                        except UnicodeDecodeError as error:
-                            raise FormatError("an item holds invalid UTF-8") from error
-                        if numbered:
-                            numbers.append(struct.unpack("<Q", exactly(file, 8, "the vocabulary"))[0])
-                    columns = [pa.array(np.arange(low, low + len(items))), pa.array(items, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns + ([pa.array(numbers, pa.int64())] if numbered else []), names)
+            found, first, start, place = [], 0, offset, offset
+            length = struct.Struct("<I").unpack_from
+            with open(path, "rb") as file, mapped(file) as data:
+                try:
+                    for item in range(count):
+                        if place - start >= SLICE:
+                            found.append((first, item - first, start, place))
+                            first, start = item, place
+                        place += 4 + length(data, place)[0] + tail
+                except struct.error as error:
+                    raise ReadError("the file ends within the vocabulary") from error
+                if place > len(data):
+                    raise ReadError("the file ends within the vocabulary")
+            found.append((first, count - first, start, place))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["first", "items", "start", "end"])
+
+    rows = spark.range(0, 1, 1, 1).mapInArrow(run, "first long, items long, start long, end long").collect()  # a row a stretch
+    return [tuple(r) for r in rows]
+
+
+def _items(spark: SparkSession, path: str, stretches: list[tuple[int, int, int, int]], numbered: bool) -> DataFrame:
+    """pos, item and, if ``numbered``, number: texts with their lengths before them, a stretch a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, count, place, end in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(path, "rb") as file:
+                    file.seek(place)
+                    data = exactly(file, end - place, "the vocabulary")
+                items, numbers, at = [], [], 0
+                for _ in range(count):
+                    (size,) = struct.unpack_from("<I", data, at)
+                    items.append(data[at + 4 : at + 4 + size])
+                    at += 4 + size
+                    if numbered:
+                        numbers.append(struct.unpack_from("<Q", data, at)[0])
+                        at += 8
+                try:
+                    texts = pa.array(items, pa.binary()).cast(pa.string())
+                except pa.ArrowInvalid as error:
+                    raise FormatError("an item holds invalid UTF-8") from error
+                columns = [pa.array(np.arange(low, low + count)), texts]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(numbers, pa.int64())] if numbered else []), names)
 
     names = ["pos", "item"] + (["number"] if numbered else [])
     schema = "pos long, item string" + (", number long" if numbered else "")
-    return spark.range(0, 1, 1, 1).mapInArrow(run, schema)
+    table = spark.createDataFrame(stretches, "first long, items long, start long, end long").repartition(max(1, len(stretches)), "first")
+    return table.mapInArrow(run, schema)
 
 
 def _vocabulary(spark: SparkSession, reader: _Reader) -> tuple[int, DataFrame, Subwords | None]:
@@ -207,14 +238,11 @@ def _vocabulary(spark: SparkSession, reader: _Reader) -> tuple[int, DataFrame, S
         count, min_n, max_n, buckets = reader.numbers("QIII")
         subwords = Subwords(HashIndexer(buckets) if chunk == BUCKET else FastTextIndexer(buckets), min_n, max_n)
     begin = reader.file.tell()
-    words = _items(spark, reader.path, begin, count, False).select(F.col("item").alias("word"), F.col("pos").alias("of"))
+    stretches = _stretches(spark, reader.path, begin, count, 0)
+    words = _items(spark, reader.path, stretches, False).select(F.col("item").alias("word"), F.col("pos").alias("of"))
     if chunk == EXPLICIT:
-        place = begin
-        reader.file.seek(begin)
-        for _ in range(count):  # the n-grams begin after the words
-            (size,) = reader.numbers("I")
-            place = reader.file.seek(size, 1)
-        pairs = _items(spark, reader.path, place, grams, True)
+        # The n-grams begin after the words.
+        pairs = _items(spark, reader.path, _stretches(spark, reader.path, stretches[-1][3], grams, 8), True)
         table, numbers = ExplicitIndexer.renumbered(pairs.select("pos", F.col("item").alias("ngram"), F.col("number").alias("bucket")))
         subwords = Subwords(ExplicitIndexer(table, numbers.count()), min_n, max_n)
     reader.file.seek(end)
@@ -239,9 +267,10 @@ def _norms(spark: SparkSession, reader: _Reader, count: int) -> DataFrame | None
         return None
 
 
-def read_embeddings(spark: SparkSession, path: str) -> EmbeddingModel | QuantizedModel:
-    """A model of any vocabulary and matrix.  Nothing is normalized; that the matrix fits the
-    vocabulary is for checked() to say.  Rows are read when they are needed."""
+def read_embeddings(spark: SparkSession, path: str, check: bool = True) -> EmbeddingModel | QuantizedModel:
+    """A model of any vocabulary and matrix.  Nothing is normalized.  A matrix that has not a row for
+    each word and bucket is refused and, unless ``check`` is false, a word that repeats.  Rows are
+    read when they are needed."""
     with _Reader(path) as reader:
         metadata = reader.metadata() if reader.header()[0] == METADATA else None
         count, words, subwords = _vocabulary(spark, reader)
@@ -272,8 +301,13 @@ def read_embeddings(spark: SparkSession, path: str) -> EmbeddingModel | Quantize
             columns = ["codes", "code_norm"]
         else:
             raise FormatError(f"chunk {chunk} where a matrix should be")
+        wanted = count + (subwords.indexer.upper_bound if subwords else 0)
+        if rows != wanted:
+            raise MatrixShapeError(f"the matrix has {rows} rows, the vocabulary {wanted}")
         reader.file.seek(end)
         norms = _norms(spark, reader, count)
+    if check:
+        refuse_repeats(words)
     known = words.join(matrix.where(F.col("idx") < count), F.col("of") == F.col("idx")).select("word", "idx", *columns)
     if norms is None:
         known = known.withColumn("norm", F.lit(None).cast("float"))
@@ -289,6 +323,18 @@ def read_embeddings(spark: SparkSession, path: str) -> EmbeddingModel | Quantize
 mmap_embeddings = read_embeddings
 
 
+def read_viewable(spark: SparkSession, path: str, check: bool = True) -> EmbeddingModel:
+    """A model whose rows can be viewed as they are, as similarity queries need it; one of codes is
+    refused."""
+    model = read_embeddings(spark, path, check)
+    if isinstance(model, QuantizedModel):
+        raise FormatError("the matrix is of codes; reconstruct() gives one of vectors")
+    return model
+
+
+mmap_viewable = read_viewable
+
+
 def _item_bytes(text: str) -> F.Column:
     """Length, as four little-endian bytes, and bytes of a text."""
     size = F.lpad(F.hex(F.octet_length(text)), 8, "0")

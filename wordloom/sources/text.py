@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.errors import FormatError, WriteError
 from wordloom.functions.vector import scale, to_float
-from wordloom.model import EmbeddingModel
+from wordloom.model import EmbeddingModel, refuse_repeats
 from wordloom.operators.line_parser import ASCII_SPACE
 from wordloom.operators.subwords import normalized_words
-from wordloom.sources.files import OrderedFile, first_line, numbered_lines
+from wordloom.sources.files import OrderedFile, fields, first_line, numbered_lines
 
 WORDS = "word string, idx long, embedding array<float>, norm float"
 
@@ -44,34 +45,38 @@ def _rows(lines: DataFrame, dims: int, lossy: bool) -> DataFrame:
     )
 
 
-def _finished(words: DataFrame, dims: int, normalize: bool) -> EmbeddingModel:
+def finished(words: DataFrame, dims: int, normalize: bool, check: bool) -> EmbeddingModel:
+    """The model of words as they were read, refused if a word repeats and that is checked."""
+    if check:
+        refuse_repeats(words)
     return EmbeddingModel(normalized_words(words) if normalize else words, dims)
 
 
-def read_text(spark: SparkSession, path: str, lossy: bool = False, normalize: bool = True) -> EmbeddingModel:
+def read_text(spark: SparkSession, path: str, lossy: bool = False, normalize: bool = True, check: bool = True) -> EmbeddingModel:
     """A file without a line of sizes; the first line tells the number of components.
 
-    A line of another number of fields is an error, as is an empty file.  Vectors are
-    normalized and their lengths kept, unless ``normalize`` is false.
+    A line of another number of fields is an error, as is an empty file and, unless ``check`` is
+    false, a word that repeats.  Vectors are normalized and their lengths kept, unless
+    ``normalize`` is false.
     """
-    parts = first_line(path).decode("utf-8", "replace").split()
+    parts = fields(first_line(path))
     if not parts:
         raise FormatError("the file has no line")
     lines = numbered_lines(spark, path)
-    return _finished(_rows(lines, len(parts) - 1, lossy), len(parts) - 1, normalize)
+    return finished(_rows(lines, len(parts) - 1, lossy), len(parts) - 1, normalize, check)
 
 
-def read_text_dims(spark: SparkSession, path: str, lossy: bool = False, normalize: bool = True) -> EmbeddingModel:
+def read_text_dims(spark: SparkSession, path: str, lossy: bool = False, normalize: bool = True, check: bool = True) -> EmbeddingModel:
     """A file whose first line has the number of words and of components; both are checked."""
     try:
-        count, dims = (int(x) for x in first_line(path).split())
+        count, dims = (int(x) for x in fields(first_line(path)))
     except ValueError as error:
         raise FormatError("the first line has not two numbers") from error
     lines = numbered_lines(spark, path).where("line > 0").withColumn("line", F.col("line") - 1)
     found = lines.count()
     if found != count:
         raise FormatError(f"the file has {found} words, its first line says {count}")
-    return _finished(_rows(lines, dims, lossy), dims, normalize)
+    return finished(_rows(lines, dims, lossy), dims, normalize, check)
 
 
 def float_text(value: np.float32) -> str:
@@ -79,16 +84,28 @@ def float_text(value: np.float32) -> str:
     return np.format_float_positional(value, unique=True, trim="-")
 
 
+def float_texts(values: pa.Array) -> pa.Array:
+    """float_text() of many FLOAT; only those that come with an exponent are written one by one."""
+    told = pc.replace_substring_regex(values.cast(pa.float32()).cast(pa.string()), r"\.0$", "")
+    odd = np.flatnonzero(np.asarray(pc.match_substring_regex(told, "[a-zA-Z]")))
+    if not len(odd):
+        return told
+    mask = np.zeros(len(told), bool)
+    mask[odd] = True
+    floats = np.asarray(values, np.float32)
+    return pc.replace_with_mask(told, pa.array(mask), pa.array([float_text(floats[k]) for k in odd], pa.string()))
+
+
 def text_lines(rows: DataFrame, key: str, lead: str) -> DataFrame:
     """key, data: lines of the column ``lead`` and the components, each with a line feed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = []
-            for word, vector in zip(batch.column(1).to_pylist(), batch.column(2)):
-                values = np.asarray(vector.values, np.float32)
-                data.append((" ".join([word, *map(float_text, values)]) + "\n").encode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], [key, "data"])
+            lists = batch.column(2)
+            told = float_texts(lists.flatten())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.asarray(lists.offsets) - lists.offsets[0].as_py()), told), " ")
+            lines = pc.binary_join_element_wise(batch.column(1), pc.binary_join_element_wise(joined, "", "\n"), " ")
+            yield pa.RecordBatch.from_arrays([batch.column(0), lines.cast(pa.binary())], [key, "data"])
 
     taken = rows.select(key, F.col(lead).cast("string").alias("lead"), F.col("embedding").cast("array<float>").alias("embedding"))
     return taken.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, data binary")

@@ -9,52 +9,32 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.errors import FormatError, ReadError
+from wordloom.errors import FormatError
 from wordloom.model import EmbeddingModel
-from wordloom.operators.subwords import normalized_words
-from wordloom.sources.files import SLICE, OrderedFile, first_line, float_bytes, mapped
-from wordloom.sources.text import WORDS, written_words
+from wordloom.operators.line_parser import WHITE_SPACE
+from wordloom.sources.files import OrderedFile, first_line, float_bytes, mapped, row_slices
+from wordloom.sources.text import WORDS, finished, written_words
 
 
-def _slices(path: str, count: int, dims: int, begin: int) -> list[tuple[int, int, int]]:
-    """First row, rows and place of stretches of the file.  Rows differ in length, so their
-    starts are found in one reading; only the starts of stretches are kept."""
-    found, first, start = [], 0, begin
-    step = 4 * dims + 1
-    with open(path, "rb") as file, mapped(file) as data:
-        place = begin
-        for row in range(count):
-            if place - start >= SLICE:
-                found.append((first, row - first, start))
-                first, start = row, place
-            space = data.find(b" ", place)
-            if space < 0 or space + step > len(data):
-                raise ReadError("the file ends within a row")
-            place = space + step
-    if count > first:
-        found.append((first, count - first, start))
-    return found
-
-
-def read_word2vec_binary(spark: SparkSession, path: str, lossy: bool = False, normalize: bool = True) -> EmbeddingModel:
+def read_word2vec_binary(spark: SparkSession, path: str, lossy: bool = False, normalize: bool = True, check: bool = True) -> EmbeddingModel:
     """White space around a word is dropped.  Invalid UTF-8 is an error, or replaced if
-    ``lossy``.  Vectors are normalized and their lengths kept, unless ``normalize`` is false."""
+    ``lossy``, and so is a word that repeats, unless ``check`` is false.  Vectors are normalized and their lengths kept, unless ``normalize`` is false."""
     head = first_line(path)
     try:
         count, dims = (int(x) for x in head.split(b" "))
     except ValueError as error:
         raise FormatError("the first line has not two numbers") from error
-    slices = _slices(path, count, dims, len(head))
+    slices = row_slices(spark, path, len(head), count, b" ", 4 * dims)
     width = 4 * dims
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows, start in zip(*(c.to_pylist() for c in batch.columns)):
+            for first, rows, start, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 words, vectors = [], []
                 with open(path, "rb") as file, mapped(file) as data:
                     for _ in range(rows):
                         space = data.find(b" ", start)
-                        words.append(data[start:space].decode("utf-8", "replace" if lossy else "strict").strip())
+                        words.append(data[start:space].decode("utf-8", "replace" if lossy else "strict").strip(WHITE_SPACE))
                         start = space + 1 + width
                         vectors.append(data[space + 1 : start])
                 values = np.frombuffer(b"".join(vectors), "<f4")
@@ -64,9 +44,9 @@ def read_word2vec_binary(spark: SparkSession, path: str, lossy: bool = False, no
                     ["word", "idx", "embedding", "norm"],
                 )
 
-    table = spark.createDataFrame(slices, "first long, rows long, start long").repartition(max(1, len(slices)), "first")
+    table = spark.createDataFrame(slices, "first long, rows long, start long, end long").repartition(max(1, len(slices)), "first")
     words = table.mapInArrow(run, WORDS)
-    return EmbeddingModel(normalized_words(words) if normalize else words, dims)
+    return finished(words, dims, normalize, check)
 
 
 def write_word2vec_binary(model: EmbeddingModel, path: str, unnormalize: bool = False) -> None:
