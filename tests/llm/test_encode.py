@@ -86,3 +86,12 @@ def test_round_trip_of_points():
     texts = pa.array(["a", "", None, "é日👍", "\x00"])
     points, _, _, bounds = code_points(texts)
     assert to_text(points, bounds, texts.is_valid().to_numpy(zero_copy_only=False)).equals(texts)
+
+
+def test_decode(spark):
+    from wordloom.llm.encode import decode_corpus
+
+    frame = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decode_corpus(encode_corpus(frame)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(CASES)}
+    assert decode_corpus(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().text == ""

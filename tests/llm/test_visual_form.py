@@ -44,3 +44,13 @@ def test_pairs(spark):
     got = {tuple(r) for r in same_looking_pairs(frame).collect()}
     assert got == {(1, 2), (2, 3), (1, 10), (3, 10), (2, 10)}
     assert same_looking_pairs(frame.limit(0)).count() == 0
+
+
+def test_classes(spark):
+    from wordloom.llm.visual_form import look_alike_classes
+
+    rows = [(1, 1, "cafe\u0301"), (2, 1, "café"), (3, 1, "café"), (4, 1, "cafe"), (5, 2, "café"), (6, 1, None), (7, None, "café"), (8, 3, "аbc"), (9, 3, "abc")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "word_id long, model_id long, word string, form string")
+    got = {(r.model_id, r.spellings, r.rows, r.representative, r.word) for r in look_alike_classes(frame).collect()}
+    assert got == {(1, 2, 3, 2, "café"), (3, 2, 2, 8, "аbc")}
+    assert look_alike_classes(frame.limit(0)).count() == 0

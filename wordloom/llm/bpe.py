@@ -138,6 +138,9 @@ class BytePairEncoder:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         spelled = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items() if all(c in byte_of for c in token)}
         self.size = max(vocab.values()) + 1
+        lengths = np.array([len(spelled.get(i, b"")) for i in range(self.size)])
+        self.spelling = np.frombuffer(b"".join(spelled.get(i, b"") for i in range(self.size)), np.uint8)
+        self.spelling_at = np.concatenate([[0], np.cumsum(lengths)])
         self.byte_id = np.zeros(256, np.int64)
         for i, spelling in spelled.items():
             if len(spelling) == 1:
@@ -427,6 +430,15 @@ class BytePairEncoder:
         return self._ids[place], np.concatenate([[0], ends])[words_before]
 
 
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all texts, one after the other, and the texts' bounds among them."""
+        begin = self.spelling_at[ids]
+        size = self.spelling_at[ids + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1] - begin, size)
+        return self.spelling[place], ends[bounds]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> BytePairEncoder:
     """The encoder of a file, kept by each Python worker."""

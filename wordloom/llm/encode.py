@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -50,6 +51,22 @@ def encode_corpus(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {_type(documents)}, ids array<int>")
 
 
+def decode_corpus(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """doc_id and text of every row of ids, the inverse of encode_corpus(); null and empty ids give an
+    empty text.  Ids that spell no UTF-8 are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer)
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            data, bounds = own.decode(np.asarray(lists.flatten()).astype(np.int64), np.concatenate([[0], np.cumsum(size)]))
+            texts = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts.cast(pa.large_string()).cast(pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {_type(encoded)}, text string")
+
+
 def count_tokens(documents: DataFrame, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
     """The columns ``keep`` of each document and ``tokens``, its number of tokens."""
 

@@ -233,23 +233,42 @@ def with_form(words: DataFrame, column: str = "word", form: str = "form") -> Dat
     return words.mapInArrow(run, f"{fields}, `{form}` string")
 
 
+def _formed(words: DataFrame) -> DataFrame:
+    rows = words.select("word_id", "model_id", "word").where("word is not null and model_id is not null")
+    return with_form(rows).where("form <> ''")
+
+
+def _classes(formed: DataFrame) -> DataFrame:
+    spelled = formed.groupBy("model_id", "form", "word").agg(F.count("*").alias("n"), F.min("word_id").alias("least"))
+    classes = spelled.groupBy("model_id", "form").agg(
+        F.count("*").alias("spellings"),
+        F.sum("n").alias("rows"),
+        F.max_by("least", F.struct(F.col("n"), -F.col("least"))).alias("representative"),
+        F.max_by("word", F.struct(F.col("n"), -F.col("least"))).alias("word"),
+    )
+    return classes.where("spellings > 1")
+
+
+def look_alike_classes(words: DataFrame) -> DataFrame:
+    """model_id, form, spellings, rows, representative, word: the forms that a model has in several
+    spellings, with the first word_id of the most frequent spelling (of equally frequent ones the
+    least) and that spelling.  One row a class, however many rows it has; rows as in
+    same_looking_pairs(), which are joined to it by with_form() where they are wanted.
+    """
+    return _classes(_formed(words))
+
+
 def same_looking_pairs(words: DataFrame) -> DataFrame:
     """word_id_a < word_id_b: rows of a model whose words differ but look the same.
 
     ``words``: word_id (key), model_id, word; other columns are ignored.  A null word, one of
     blanks and invisible characters only, and a null model_id are in no pair; rows with equal
-    words are no pair, repeated rows are rows of their own.  Only rows of forms with more than
-    one spelling are joined; a form that many rows share is split by Spark's skew handling.
+    words are no pair, repeated rows are rows of their own.  Only rows of look_alike_classes()
+    are joined; a form that many rows share is split by Spark's skew handling.  All pairs of a
+    class come out, so where the classes do, ask for those.
     """
-    rows = words.select("word_id", "model_id", "word").where("word is not null and model_id is not null")
-    formed = materialize(with_form(rows).where("form <> ''"))
-    several = (
-        formed.groupBy("model_id", "form")
-        .agg(F.min("word").alias("least"), F.max("word").alias("most"))
-        .where("least <> most")
-        .select("model_id", "form")
-    )
-    some = formed.join(several, ["model_id", "form"], "left_semi")
+    formed = materialize(_formed(words))
+    some = formed.join(_classes(formed).select("model_id", "form"), ["model_id", "form"], "left_semi")
     a = some.select("model_id", "form", F.col("word_id").alias("word_id_a"), F.col("word").alias("word_a"))
     b = some.select("model_id", "form", F.col("word_id").alias("word_id_b"), F.col("word").alias("word_b"))
     pairs = a.join(b, ["model_id", "form"]).where("word_id_a < word_id_b and word_a <> word_b")
