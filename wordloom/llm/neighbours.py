@@ -145,13 +145,26 @@ def _slices(cell: str, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray) ->
     }
 
 
-def partitions(blocks: DataFrame, target: int) -> DataFrame:
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows CELLS the vectors in their own cells."""
+    schema = pa.schema([("cell", pa.string()), ("total", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary())])
+    for batch in batches:
+        for cell, total, ids, vecs, own in zip(*(c.to_pylist() for c in batch.columns)):
+            keep = np.frombuffer(own, bool)
+            numbers = np.frombuffer(ids, np.int64)
+            vectors = np.frombuffer(vecs, np.float32).reshape(len(numbers), -1)
+            yield pa.RecordBatch.from_pydict(
+                {"cell": [cell], "total": [total], "ids": [numbers[keep].tobytes()], "vecs": [vectors[keep].tobytes()]}, schema=schema
+            )
+
+
+def partitions(blocks: DataFrame, target: int) -> tuple[DataFrame, DataFrame]:
     """Rows CELLS: every vector in its own cell and, with ``own`` false, in the others in which its
-    neighbours may be; ``size`` counts the first, ``n`` all.  Cells of more than ``target`` own
-    vectors are divided, until none is left that can be.
+    neighbours may be (``size`` counts the first, ``n`` all); and cell, total (own vectors) and n of
+    each cell.  Cells of more than ``target`` own vectors are divided, until none is left that can be.
 
-    A router is joined to blocks, by broadcast while the planner finds the routers small.  Each
-    level is one pass without a shuffle of vectors, over the cells that are still large."""
+    A router is joined to blocks, by broadcast while the planner finds the routers small.  A level is
+    a pass without a shuffle over the cells that are still large, and written only if another follows."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,29 +173,18 @@ def partitions(blocks: DataFrame, target: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(_slices(cell, numbers, vectors, np.ones(len(numbers), bool)), schema=_CELLS)
 
     rows = blocks.select("cell", "ids", "vecs").mapInArrow(first, CELLS)
-    done: DataFrame | None = None
+    sizes = blocks.select("cell", "total", F.col("total").alias("n")).distinct()
+    done: list[tuple[DataFrame, DataFrame]] = []
     level = 0
     while True:
-        # Of the first level the sizes are known.
-        sizes = (
-            blocks.select("cell", "total").distinct() if not level else rows.groupBy("cell").agg(F.sum("size").alias("total"))
-        ).where(F.col("total") > target)
-        sizes = materialize(sizes)
-        if sizes.isEmpty():
-            return rows if done is None else done.unionByName(rows)
+        large = materialize(sizes.where(F.col("total") > target).select("cell", "total"))
+        if large.isEmpty():
+            done.append((rows, sizes))
+            break
+        if level:
+            rows = materialize(rows)
         seed = level
 
-        def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for cell, total, ids, vecs, own in zip(*(c.to_pylist() for c in batch.columns)):
-                    keep = np.frombuffer(own, bool)
-                    numbers = np.frombuffer(ids, np.int64)
-                    vectors = np.frombuffer(vecs, np.float32).reshape(len(numbers), -1)
-                    yield pa.RecordBatch.from_pydict(
-                        {"cell": [cell], "total": [total], "ids": [numbers[keep].tobytes()], "vecs": [vectors[keep].tobytes()]},
-                        schema=pa.schema([("cell", pa.string()), ("total", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary())]),
-                    )
-
         def learn(table: pa.Table) -> pa.Table:
             model = fit_router(joined_blocks(table)[1], table.column("total")[0].as_py(), target)
             return pa.table({"cell": table.column("cell").slice(0, 1), "model": pa.array([model], pa.binary())})
@@ -199,15 +201,18 @@ def partitions(blocks: DataFrame, target: int) -> DataFrame:
                         made = _slices(f"{cell}/{p}", numbers[r], vectors[r], mine[r] & likeliest[here])
                         yield pa.RecordBatch.from_pydict(made, schema=_CELLS)
 
-        large = rows.join(sizes, "cell").select("cell", "total", "ids", "vecs", "own")
-        owned_rows = large.mapInArrow(owned, "cell string, total long, ids binary, vecs binary")
-        draw = drawn(owned_rows, SAMPLE, seed).join(sizes, "cell")
+        held = rows.join(large, "cell").select("cell", "total", "ids", "vecs", "own")
+        draw = drawn(held.mapInArrow(_owned, "cell string, total long, ids binary, vecs binary"), SAMPLE, seed).join(large, "cell")
         models = materialize(draw.groupBy("cell").applyInArrow(learn, "cell string, model binary")).where("length(model) > 0")
-        whole = rows.join(models.select("cell"), "cell", "left_anti")
-        done = whole if done is None else done.unionByName(whole)
-        routed = rows.join(models, "cell").select("cell", "ids", "vecs", "own", "model").mapInArrow(send, CELLS)
-        rows = materialize(routed)
+        divided = models.select("cell")
+        done.append((rows.join(divided, "cell", "left_anti"), sizes.join(divided, "cell", "left_anti")))
+        rows = rows.join(models, "cell").select("cell", "ids", "vecs", "own", "model").mapInArrow(send, CELLS)
+        sizes = materialize(rows.groupBy("cell").agg(F.sum("size").alias("total"), F.sum("n").alias("n")))
         level += 1
+    whole, counted = done[0]
+    for more, number in done[1:]:
+        whole, counted = whole.unionByName(more), counted.unionByName(number)
+    return whole, counted
 
 
 HITS = "vec_id long, other long, cosine long"
@@ -247,16 +252,23 @@ def search(asked: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndar
 def nearest_vectors(blocks: DataFrame, k: int, target: int, block: int = BLOCK) -> DataFrame:
     """vec_id, other, cosine (in millionths): the ``k`` best of those found for each vector, as far
     as the vectors it was compared with hold so many.  ``blocks``: PACKED."""
-    rows = partitions(blocks, target)
-    shares = rows.groupBy("cell").agg(F.ceil(F.sum("n") / F.lit(2.0 * block)).cast("long").alias("shares"))
-    salt = F.pmod(F.xxhash64("ids"), F.col("shares"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
-    salted = rows.join(shares, "cell").select("cell", "ids", "vecs", "own", "size", "shares", salt.alias("salt"))
-    both = salted.select("cell", "ids", "vecs", "own", "size", "salt", other.alias("other"))
-    fields = ["cell", "ids", "vecs", "own"]
-    # Task (asked, held): a block asks all blocks of its cell.
-    asks = both.select(*fields, F.col("salt").alias("asking"), F.col("other").alias("holding"), F.lit(True).alias("asks"), (F.col("salt") == F.col("other")).alias("holds"))
-    holds = both.where("salt <> other and size > 0").select(*fields, F.col("other").alias("asking"), F.col("salt").alias("holding"), F.lit(False).alias("asks"), F.lit(True).alias("holds"))
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vecs in zip(*(c.to_pylist() for c in batch.columns)):
+                block_ = read_block(ids, vecs)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in search(block_, block_, k)], schema=_HITS)
+
+    small = (F.col("blocks") == 1) & (F.col("total") <= target)
+    rows, sizes = partitions(blocks.where(~small), target)
+    shares = sizes.select("cell", F.ceil(F.col("n") / F.lit(2.0 * block)).cast("long").alias("shares"))
+    salted = rows.join(shares, "cell").withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("shares")))
+    # Task (asking, holding): a block asks all blocks of its cell, and is asked by all others.
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)
+    task = lambda asking, holding, asks, holds: F.struct(asking.alias("asking"), holding.alias("holding"), asks.alias("asks"), holds.alias("holds"))
+    salt, yes, no = F.col("salt"), F.lit(True), F.lit(False)
+    asks = F.transform(numbers, lambda x: task(salt, x, yes, salt == x))
+    holds = F.transform(F.filter(numbers, lambda x: (x != salt) & (F.col("size") > 0)), lambda x: task(x, salt, no, yes))
+    tasks = salted.select("cell", "ids", "vecs", "own", F.explode(F.concat(asks, holds)).alias("t")).select("cell", "ids", "vecs", "own", "t.*")
 
     def find(table: pa.Table) -> pa.Table:
         sides = []
@@ -268,7 +280,8 @@ def nearest_vectors(blocks: DataFrame, k: int, target: int, block: int = BLOCK)
             sides.append((ids, vectors) if side == "asks" else (ids[own], vectors[own]))
         return pa.table([pa.array(x) for x in search(*sides, k)], schema=_HITS)
 
-    hits = asks.unionByName(holds).groupBy("cell", "asking", "holding").applyInArrow(find, HITS)
+    hits = tasks.groupBy("cell", "asking", "holding").applyInArrow(find, HITS)
+    hits = blocks.where(small).select("ids", "vecs").mapInArrow(alone, HITS).unionByName(hits)
     best = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")
     return hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
 
