@@ -32,8 +32,9 @@ SIMILAR = 0.70
 DIRECTIONS, COMPONENTS = 16, (1, 2, 4, 8, 16, 32)
 #: Share of a covariance that is shrunk to a sphere.
 SHRINK = 0.1
-#: Most steps of a fit, and the gain in log-likelihood a vector at which it ends.
-STEPS, ENOUGH = 25, 1e-3
+#: Most steps of a fit in one task and most passes over a larger cell, and the gain in log-likelihood
+#: a vector at which either ends.
+STEPS, PASSES, ENOUGH = 25, 8, 1e-3
 #: Typical rows given of a group.
 TYPICAL = 3
 
@@ -267,7 +268,7 @@ def large_densities(blocks: DataFrame) -> DataFrame:
         return out.append_column("going", pa.array([going]))
 
     done = []
-    for _ in range(STEPS):
+    for _ in range(PASSES):
         parts = points.join(states.select("cell", "state"), "cell").select("cell", "x", "state").mapInArrow(sums, STATE)
         states = materialize(parts.groupBy("cell").cogroup(states.select("cell", "state").groupBy("cell")).applyInArrow(advance, STATE + ", going boolean"))
         done.append(states.where("not going").select("cell", "state"))

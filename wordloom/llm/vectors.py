@@ -23,7 +23,7 @@ from wordloom.runtime import materialize
 #: Rows of a cell that a model is fitted to, where it is fitted to a draw.
 SAMPLE = 4096
 #: Vectors of a block, about.
-BLOCK = 4096
+BLOCK = 8192
 
 PACKED = "cell string, salt long, blocks long, total long, ids binary, vecs binary"
 
