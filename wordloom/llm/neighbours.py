@@ -173,7 +173,7 @@ def partitions(blocks: DataFrame, target: int) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_pydict(_slices(cell, numbers, vectors, np.ones(len(numbers), bool)), schema=_CELLS)
 
     rows = blocks.select("cell", "ids", "vecs").mapInArrow(first, CELLS)
-    sizes = blocks.select("cell", "total", F.col("total").alias("n")).distinct()
+    sizes = materialize(blocks.select("cell", "total", F.col("total").alias("n")).distinct())
     done: list[tuple[DataFrame, DataFrame]] = []
     level = 0
     while True:
