@@ -348,8 +348,9 @@ def similar_counts(blocks: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other")
     # Numbers of blocks, without gaps where a share of the hash was empty, are not needed: an
     # absent partner leaves a task with one block.
-    shares = blocks.groupBy("cell").agg((F.max("salt") + 1).alias("shares")).where("shares > 1")
-    spread = blocks.join(shares, "cell").select("cell", "salt", "ids", "vecs", other).where("other <> salt")
+    several = blocks.where("blocks > 1")
+    shares = materialize(several.groupBy("cell").agg((F.max("salt") + 1).alias("shares")))
+    spread = several.join(shares, "cell").select("cell", "salt", "ids", "vecs", other).where("other <> salt")
     tasks = spread.select("cell", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "ids", "vecs")
 
     def pair(table: pa.Table) -> pa.Table:

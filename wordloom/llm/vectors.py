@@ -124,7 +124,8 @@ def distinct_vectors(found: DataFrame, block: int = BLOCK) -> Distinct:
 
 def packed(vectors: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """``vectors`` (cell, vec_id, vec) as a table PACKED.  ``sizes``: rows of each cell."""
-    shares = sizes.select("cell", F.ceil(F.col("rows") / F.lit(float(block))).cast("long").alias("shares"))
+    # A row a cell: written, so that the planner knows how small it is.
+    shares = materialize(sizes.select("cell", F.ceil(F.col("rows") / F.lit(float(block))).cast("long").alias("shares")))
     salted = vectors.join(shares, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("shares")))
 
     def run(table: pa.Table) -> pa.Table:
@@ -141,7 +142,7 @@ def packed(vectors: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
 
     grouped = salted.select("cell", "salt", F.col("vec_id").cast("long").alias("vec_id"), "vec").groupBy("cell", "salt")
     made = materialize(grouped.applyInArrow(run, "cell string, salt long, n long, ids binary, vecs binary"))
-    known = made.groupBy("cell").agg(F.count("*").alias("blocks"), F.sum("n").alias("total"))
+    known = materialize(made.groupBy("cell").agg(F.count("*").alias("blocks"), F.sum("n").alias("total")))
     return made.join(known, "cell").select("cell", "salt", "blocks", "total", "ids", "vecs")
 
 
