@@ -28,6 +28,10 @@ class Indexer(ABC):
     def buckets_of(self, rows: DataFrame, ngram: str = "ngram") -> DataFrame:
         """``rows`` with the array ``found`` of the buckets of each n-gram."""
 
+    def bucket_rows(self, rows: DataFrame, ngram: str = "ngram") -> DataFrame:
+        """``rows`` with ``bucket``, a row for each bucket of each n-gram."""
+        return self.buckets_of(rows, ngram).withColumn("bucket", F.explode("found")).drop("found")
+
 
 @dataclass(frozen=True)
 class HashIndexer(Indexer):
@@ -47,6 +51,10 @@ class HashIndexer(Indexer):
     def buckets_of(self, rows: DataFrame, ngram: str = "ngram") -> DataFrame:
         return rows.withColumn("found", F.array(g.fnv_low_bits(F.col(ngram), self.exponent)))
 
+    def bucket_rows(self, rows: DataFrame, ngram: str = "ngram") -> DataFrame:
+        # An array to explode would be made twice, once to see that it is not empty.
+        return rows.withColumn("bucket", g.fnv_low_bits(F.col(ngram), self.exponent))
+
 
 @dataclass(frozen=True)
 class FastTextIndexer(Indexer):
@@ -63,6 +71,9 @@ class FastTextIndexer(Indexer):
     def buckets_of(self, rows: DataFrame, ngram: str = "ngram") -> DataFrame:
         return rows.withColumn("found", F.array(g.fasttext_bucket(F.col(ngram), self.buckets)))
 
+    def bucket_rows(self, rows: DataFrame, ngram: str = "ngram") -> DataFrame:
+        return rows.withColumn("bucket", g.fasttext_bucket(F.col(ngram), self.buckets))
+
 
 @dataclass(frozen=True)
 class FloretIndexer(Indexer):

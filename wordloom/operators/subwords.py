@@ -28,8 +28,7 @@ def subword_indices(words: DataFrame, subwords: Subwords) -> DataFrame:
     """word, bucket, n: how often each bucket occurs among a word's n-grams.  Equal n-grams are
     looked up once a word; words without an index give no row."""
     counted = ngram_rows(words, subwords).groupBy("word", "ngram").agg(F.count("*").alias("times"))
-    found = subwords.indexer.buckets_of(counted)
-    return found.select("word", "times", F.explode("found").alias("bucket")).groupBy("word", "bucket").agg(F.sum("times").alias("n"))
+    return subwords.indexer.bucket_rows(counted).groupBy("word", "bucket").agg(F.sum("times").alias("n"))
 
 
 def ngram_indices(words: DataFrame, subwords: Subwords, words_len: int) -> DataFrame:
