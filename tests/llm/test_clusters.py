@@ -114,3 +114,17 @@ def test_codes(spark):
     dense = spark.createDataFrame([(9, 7, [1.0])], "row_id long, model_id long, embedding array<float>")
     got = {r.row_id: r.embedding for r in all_vectors(dense, coded, books, models).collect()}
     assert got == {1: [0, 4, 2, 2], 2: [0, 0, 1, 0], **dict.fromkeys(range(3, 9)), 9: [1.0]}
+
+
+def test_dense_and_sparse_counts(monkeypatch):
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(6, 10))
+    x = (centres[np.arange(400) % 6] + 0.5 * rng.normal(size=(400, 10))).astype(np.float32)
+    one, two = (np.arange(0, 400, 2), x[::2]), (np.arange(1, 400, 2), x[1::2])
+    for pair in ((one,), (one, two)):
+        got = []
+        for share in (0, 2):
+            monkeypatch.setattr(clusters, "DENSE", share)
+            monkeypatch.setattr(clusters, "SCORES", 3000)
+            got.append([c.tolist() for c in clusters.count_pairs(*pair)])
+        assert got[0] == got[1] and len(got[0][0]) > 100

@@ -83,3 +83,19 @@ def test_parts_are_balanced(parts):
     unit = vectors.unit_rows(np.random.default_rng(2).normal(size=(800, 8))).astype(np.float32)
     size = np.bincount(balanced_parts(unit, neighbours._knn(unit, 10), parts), minlength=parts)
     assert size.max() <= 1.15 * 800 / parts + 1 and size.min() > 0
+
+
+@pytest.mark.parametrize("spread", [0, 1e-8, 1e-4, 1e-2, 1])
+def test_search(spread):
+    rng = np.random.default_rng(12)
+    held = np.arange(0, 600, 2), (rng.normal(size=6) + spread * rng.normal(size=(300, 6))).astype(np.float32)
+    some = rng.permutation(300)[:80]
+    found = neighbours.search((held[0][some], held[1][some]), held, 5)
+    got = {}
+    for i, j, c in zip(*(x.tolist() for x in found)):
+        got.setdefault(i, []).append((-c, j))
+    unit = vectors.unit_rows(held[1])
+    for k in some:
+        cosine = np.rint(unit @ unit[k] * 1e6).astype(int)
+        want = sorted((-c, j) for c, j in zip(cosine.tolist(), held[0].tolist()) if j != held[0][k])[:5]
+        assert got[held[0][k]] == want

@@ -292,48 +292,77 @@ COUNTS = "vec_id long, similar long, root long, mark long"
 _COUNTS = [("vec_id", pa.int64()), ("similar", pa.int64()), ("root", pa.int64()), ("mark", pa.int64())]
 
 
+class _Counts:
+    """For each vector of a block, in order of the numbers, how many similar ones were met, the least
+    number of them and itself, and the mark of their set."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.similar, self.root, self.mark = ids, np.zeros(len(ids), np.int64), ids.copy(), np.zeros(len(ids), np.uint64)
+
+    def dense(self, rows: np.ndarray, alike: np.ndarray, other: np.ndarray, marks: np.ndarray) -> None:
+        """``alike``: whether each of ``rows`` is similar to each of ``other``."""
+        number = alike.sum(1)
+        some = number > 0
+        self.similar[rows] += number
+        self.root[rows[some]] = np.minimum(self.root[rows[some]], other[alike[some].argmax(1)])
+        self.mark[rows] ^= np.bitwise_xor.reduce(np.where(alike, marks, np.uint64(0)), axis=1)
+
+    def sparse(self, row: np.ndarray, other: np.ndarray, marks: np.ndarray) -> None:
+        """``row``, in order, is similar to ``other``."""
+        if not len(row):
+            return
+        head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        rows = row[head]
+        self.similar[rows] += np.diff(np.append(head, len(row)))
+        self.root[rows] = np.minimum(self.root[rows], np.minimum.reduceat(other, head))
+        self.mark[rows] ^= np.bitwise_xor.reduceat(marks, head)
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        some = self.similar > 0
+        return self.ids[some], self.similar[some], self.root[some], self.mark[some].view(np.int64)
+
+
+#: Scores that are held at once, and the share of similar pairs among them from which on pairs are not listed.
+SCORES, DENSE = 1 << 22, 0.02
+
+
 def count_pairs(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
-    """vec_id, similar, root and mark of the vectors of a block (ids and vectors) that have similar
-    ones in it, or in another block: how many they are, the least vec_id of them and itself, and
-    a mark that tells sets of them apart (the parity of well-mixed 64 bits of each)."""
+    """vec_id, similar, root and mark of the vectors of a block (ids in order, and vectors) that have
+    similar ones in it, or in another block: how many they are, the least vec_id of them and
+    itself, and a mark that tells sets of them apart (the parity of well-mixed 64 bits of each).
+    What is held at once is bounded, even if all are similar."""
     ids, unit = one[0], unit_rows(one[1])
     other, base = (ids, unit) if two is None else (two[0], unit_rows(two[1]))
     if not len(ids) or not len(other):
         return [np.zeros(0, np.int64)] * 4
     quick, quick_base = unit.astype(np.float32), base.astype(np.float32).T
     marks, other_marks = mixed(ids), mixed(other)
-    rows, columns = [], []
-    for low in range(0, len(ids), 1024):
-        score = quick[low : low + 1024] @ quick_base
-        row, column = np.divmod(np.flatnonzero(score >= np.float32(SIMILAR - 1e-4)), len(other))
+    mine = _Counts(ids)
+    theirs = _Counts(other) if two is not None else None
+    step = max(1, SCORES // len(other))
+    for low in range(0, len(ids), step):
+        score = quick[low : low + step] @ quick_base
+        rows = np.arange(low, low + len(score))
         # Single precision decides what is far from the border, double precision the rest.
-        close = np.flatnonzero(score[row, column] < np.float32(SIMILAR + 1e-4))
-        good = np.ones(len(row), bool)
+        alike = score >= np.float32(SIMILAR + 1e-4)
+        close = np.flatnonzero((score >= np.float32(SIMILAR - 1e-4)) & ~alike)
         for k in range(0, len(close), 1 << 16):
             part = close[k : k + (1 << 16)]
-            good[part] = np.einsum("ij,ij->i", unit[low + row[part]], base[column[part]]) >= SIMILAR
-        row = row + low
-        if two is None:
-            good &= row != column
-        rows.append(row[good])
-        columns.append(column[good])
-    row, column = np.concatenate(rows), np.concatenate(columns)
-    found = [_summed(ids, row, other, other_marks, column)]
-    if two is not None:
-        order = np.argsort(column, kind="stable")
-        found.append(_summed(other, column[order], ids, marks, row[order]))
-    return [np.concatenate(x) for x in zip(*found)]
-
-
-def _summed(ids: np.ndarray, row: np.ndarray, other: np.ndarray, marks: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The counts of the vectors that occur in ``row``, which is in order."""
-    if not len(row):
-        return (np.zeros(0, np.int64),) * 4
-    head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    size = np.diff(np.append(head, len(row)))
-    own = ids[row[head]]
-    root = np.minimum(own, np.minimum.reduceat(other[column], head))
-    return own, size, root, np.bitwise_xor.reduceat(marks[column], head).view(np.int64)
+            row, column = np.divmod(part, len(other))
+            alike.ravel()[part] = np.einsum("ij,ij->i", unit[low + row], base[column]) >= SIMILAR
+        if theirs is None:
+            alike[np.arange(len(rows)), rows] = False
+        if np.count_nonzero(alike) > DENSE * alike.size:
+            mine.dense(rows, alike, other, other_marks)
+            if theirs is not None:
+                theirs.dense(np.arange(len(other)), alike.T, ids[rows], marks[rows])
+            continue
+        row, column = np.divmod(np.flatnonzero(alike), len(other))
+        mine.sparse(row + low, other[column], other_marks[column])
+        if theirs is not None:
+            order = np.argsort(column, kind="stable")
+            theirs.sparse(column[order], ids[low + row[order]], marks[low + row[order]])
+    return [np.concatenate(x) for x in zip(*(c.found() for c in (mine, theirs) if c is not None))]
 
 
 def similar_counts(blocks: DataFrame) -> DataFrame:

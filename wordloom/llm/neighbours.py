@@ -219,9 +219,13 @@ HITS = "vec_id long, other long, cosine long"
 _HITS = pa.schema([("vec_id", pa.int64()), ("other", pa.int64()), ("cosine", pa.int64())])
 
 
+#: Scores that are held at once, and the score of a vector with itself.
+SCORES, _SELF = 1 << 21, -(1 << 40)
+
+
 def search(asked: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray], k: int) -> list[np.ndarray]:
     """The ``k`` best other vectors for each one asked: vec_id, other and the cosine in millionths, by
-    the rounded cosine, then the number.  Single precision finds who may be among them, double
+    the rounded cosine, then the number, in order of which ``held`` is.  Single precision finds who may be among them, double
     precision decides."""
     ids, unit = asked[0], unit_rows(asked[1])
     others, base = held[0], unit_rows(held[1])
@@ -230,17 +234,28 @@ def search(asked: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndar
     quick, quick_base = unit.astype(np.float32), base.astype(np.float32).T
     out = []
     top = min(k + 1, len(others))  # one may be the vector itself
-    step = max(1, (1 << 22) // len(others))
+    step = max(1, SCORES // len(others))
     for low in range(0, len(ids), step):
         score = quick[low : low + step] @ quick_base
         least = np.partition(score, len(others) - top, axis=1)[:, len(others) - top]
-        row, column = np.divmod(np.flatnonzero(score >= (least - np.float32(4e-6))[:, None]), len(others))
-        good = ids[low + row] != others[column]
-        row, column = row[good] + low, column[good]
-        cosine = np.empty(len(row), np.int64)
-        for a in range(0, len(row), 1 << 16):
-            b = a + (1 << 16)
-            cosine[a:b] = np.rint(np.einsum("ij,ij->i", unit[row[a:b]], base[column[a:b]]) * 1e6)
+        close = score >= (least - np.float32(4e-6))[:, None]
+        if np.count_nonzero(close) > 8 * top * len(close):  # vectors that are nearly equal
+            cosine = np.rint(unit[low : low + step] @ base.T * 1e6).astype(np.int64)
+            cosine[ids[low : low + step, None] == others] = _SELF
+            # The least of the kept ones; equal ones are settled below.
+            least = np.partition(cosine, len(others) - top, axis=1)[:, [len(others) - top]]
+            above = cosine > least
+            # Of those that are as near as the least, in order of the numbers, so many as are missing.
+            level = (cosine == least) & (cosine > _SELF)
+            level &= np.cumsum(level, axis=1) <= top - above.sum(1, keepdims=True)
+            row, column = np.nonzero(above | level)
+            cosine = cosine[row, column]
+            row = row + low
+        else:
+            row, column = np.divmod(np.flatnonzero(close), len(others))
+            good = ids[low + row] != others[column]
+            row, column = row[good] + low, column[good]
+            cosine = np.rint(np.einsum("ij,ij->i", unit[row], base[column]) * 1e6).astype(np.int64)
         order = np.lexsort((others[column], -cosine, row))
         row, column, cosine = row[order], column[order], cosine[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -277,7 +292,10 @@ def nearest_vectors(blocks: DataFrame, k: int, target: int, block: int = BLOCK)
             ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), np.int64)
             vectors = np.frombuffer(b"".join(part.column("vecs").to_pylist()), np.float32).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.float32)
             own = np.frombuffer(b"".join(part.column("own").to_pylist()), bool)
-            sides.append((ids, vectors) if side == "asks" else (ids[own], vectors[own]))
+            if side == "holds":
+                order = np.flatnonzero(own)[np.argsort(ids[own], kind="stable")]
+                ids, vectors = ids[order], vectors[order]
+            sides.append((ids, vectors))
         return pa.table([pa.array(x) for x in search(*sides, k)], schema=_HITS)
 
     hits = tasks.groupBy("cell", "asking", "holding").applyInArrow(find, HITS)
