@@ -35,6 +35,8 @@ LOOK_ALIKES = {
 INVISIBLE = [0x034F, 0x180B, 0x180C, 0x180D, 0x180F, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 HANGUL, L_BASE, V_BASE, T_BASE = 0xAC00, 0x1100, 0x1161, 0x11A7
 LATIN, CYRILLIC, GREEK = 1, 2, 4
+#: Code points outside of these stand for themselves: unified Han, private ones and what is unassigned.
+TOLD = [(0, 0x3400), (0xA000, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200)]
 
 
 def _compatible(char: str) -> str | None:
@@ -58,8 +60,8 @@ def _tables() -> dict[str, np.ndarray]:
     script = np.zeros(0x110000, np.uint8)
     pairs = []
     letters = {b for b in alike.values()}
-    for point in range(0x110000):
-        if 0xD800 <= point < 0xE000 or HANGUL <= point < HANGUL + 11172:
+    for point in (p for low, high in TOLD for p in range(low, high)):
+        if HANGUL <= point < HANGUL + 11172:
             continue
         char = chr(point)
         kind = unicodedata.category(char)
