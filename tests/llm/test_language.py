@@ -88,3 +88,10 @@ def test_labels_and_empty(spark, documents):
     assert [r[0] for r in frame.select(language_of_label(frame.l)).collect()] == ["en"] * 4 + ["de", "zh"] + [None] * 5
     assert mislabelled_or_mixed(documents.limit(0)).count() == 0
     assert fit(documents.where("lang is null")) is None
+
+
+def test_other_languages(spark, documents):
+    made = documents.where("lang in ('de', 'fr')").replace("fr", "lb", "lang")
+    classifier = fit(made, {"de": "de", "lb": "lb ltz"})
+    assert classifier.languages == ["de", "lb"]
+    assert mislabelled_or_mixed(made.replace("lb", "ltz", "lang"), classifier).count() == 0

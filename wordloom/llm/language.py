@@ -186,6 +186,8 @@ class Classifier:
     #: The logit of the confidence, as a line over the lead.
     slope: float = 6.0
     level: float = 0.0
+    #: Names of the languages in labels, where they are not NAMES.
+    names: dict[str, str] | None = None
 
     def scores(self, symbol: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
         """Scores of the sentences by language: the sparse matrix of presence times the weights."""
@@ -222,17 +224,18 @@ def _line(lead: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
-def language_of_label(label: Column) -> Column:
-    """The language that a label names, in any of its spellings; null for every other label."""
+def language_of_label(label: Column, languages: dict[str, str] | None = None) -> Column:
+    """The language that a label names, in any of its spellings; null for every other label.
+    ``languages``: names of each language, NAMES by default."""
     plain = F.regexp_extract(F.lower(F.trim(label)), "^([a-z]+)(?:[-_][a-z0-9]+)*$", 1)
-    names = [(n, language) for language, all_ in NAMES.items() for n in all_.split(" ")]
+    names = [(n, language) for language, all_ in (languages or NAMES).items() for n in all_.split(" ")]
     found = F.create_map(*[F.lit(x) for pair in names for x in pair])
     return F.try_element_at(found, plain)
 
 
-def _sample(documents: DataFrame) -> DataFrame:
+def _sample(documents: DataFrame, languages: dict[str, str] | None) -> DataFrame:
     """At most SENTENCES sentences a language, of at most DOCUMENTS labelled documents."""
-    labelled = documents.select("doc_id", language_of_label(F.col("lang")).alias("label"), "text").where(
+    labelled = documents.select("doc_id", language_of_label(F.col("lang"), languages).alias("label"), "text").where(
         "label is not null and text is not null"
     )
     # A bounded draw by hash first, so that no language is sorted as a whole.
@@ -259,32 +262,35 @@ def _sample(documents: DataFrame) -> DataFrame:
     return chosen.select("label", "text").mapInArrow(run, "label string, symbols binary")
 
 
-def fit(documents: DataFrame) -> Classifier | None:
+def fit(documents: DataFrame, languages: dict[str, str] | None = None) -> Classifier | None:
     """The classifier of a corpus, fitted to a bounded sample of its labelled documents, whose
     labels may be wrong here and there: what the first fit contradicts is left out of a second.
     Confidences come from two fits to one half each, tried on the other half; a sentence that
-    contradicts its label with a clear lead is taken for a wrong label.  None where no document
-    has a label that names a language."""
-    rows = sorted((r.label, bytes(r.symbols)) for r in _sample(documents).collect())
-    languages = sorted({label for label, _ in rows})
-    if not languages:
+    contradicts its label with a clear lead is taken for a wrong label.  ``languages``: names of
+    each language that labels may mean, NAMES by default.  None where no document has a label
+    that names one."""
+    rows = sorted((r.label, bytes(r.symbols)) for r in _sample(documents, languages).collect())
+    told = sorted({label for label, _ in rows})
+    if not told:
         return None
-    target = np.array([languages.index(label) for label, _ in rows])
-    classifier = _fit([s for _, s in rows], target, languages)
+    target = np.array([told.index(label) for label, _ in rows])
+    classifier = _fit([s for _, s in rows], target, told)
+    classifier.names = languages
     symbols = np.frombuffer(b"".join(s for _, s in rows), np.uint8)
     owner = np.repeat(np.arange(len(rows)), [len(s) for _, s in rows])
     scores = classifier.scores(symbols, owner, len(rows))
     agree = scores.argmax(1) == target
-    if len(set(target[agree])) < len(languages):
+    if len(set(target[agree])) < len(told):
         return classifier
-    second = _fit([s for (_, s), good in zip(rows, agree) if good], target[agree], languages)
+    second = _fit([s for (_, s), good in zip(rows, agree) if good], target[agree], told)
+    second.names = languages
     half = np.random.default_rng(1).permutation(len(rows)) % 2 == 0
     lead, right = [], []
     for side in (half, ~half):
         learn, tried = np.flatnonzero(agree & side), np.flatnonzero(~side)
-        if len(set(target[learn])) < len(languages) or not len(tried):
+        if len(set(target[learn])) < len(told) or not len(tried):
             return second
-        own = _fit([rows[k][1] for k in learn], target[learn], languages)
+        own = _fit([rows[k][1] for k in learn], target[learn], told)
         parts = [rows[k][1] for k in tried]
         found = own.scores(np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), len(parts))
         lead.append(leads(found))
@@ -506,7 +512,7 @@ def _apply(documents: DataFrame, classifier: Classifier | None, columns: str, ro
                 found = with_letterless(found, text.to_pylist() if count == len(text) else ["".join(text.to_pylist())])
                 yield pa.RecordBatch.from_arrays(rows(own, found, ids, labels), names)
 
-    taken = documents.select("doc_id", "text", language_of_label(F.col("lang")).alias("label"))
+    taken = documents.select("doc_id", "text", language_of_label(F.col("lang"), classifier.names).alias("label"))
     return taken.mapInArrow(run, f"doc_id {kind}, {columns}")
 
 
