@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +258,22 @@ def test_wide_hashes(spark):
         assert {i: None if h is None else int(h) for i, h in got.items()} == {i: None if w is None else plain(w) % (1 << bits) for i, w in enumerate(words)}
     rows = HashIndexer(64).buckets_of(frame.select(frame.w.alias("ngram")).where("w is not null")).collect()
     assert HashIndexer(64).upper_bound == 1 << 64 and {int(r.found[0]) for r in rows} == {plain(w) for w in words if w is not None}
+
+
+# Published rankings over a file of vectors of place names, which is not part of this
+# repository; WORDLOOM_PLACES names it.
+NEAR_STUTTGART = "Karlsruhe Mannheim München Darmstadt Heidelberg Wiesbaden Kassel Düsseldorf Leipzig Berlin"
+NEAR_BERLIN = """Potsdam Hamburg Leipzig Dresden München Düsseldorf Bonn Stuttgart Weimar Berlin-Charlottenburg
+Rostock Karlsruhe Chemnitz Breslau Wiesbaden Hannover Mannheim Kassel Köln Danzig
+Erfurt Dessau Bremen Charlottenburg Magdeburg Neuruppin Darmstadt Jena Wien Heidelberg
+Dortmund Stettin Schwerin Neubrandenburg Greifswald Göttingen Braunschweig Berliner Warschau Berlin-Spandau"""
+
+
+@pytest.mark.skipif("WORDLOOM_PLACES" not in os.environ, reason="the file of place names is not there")
+def test_published_rankings(spark):
+    from wordloom.sources.text import read_text
+
+    model = read_text(spark, os.environ["WORDLOOM_PLACES"])
+    for word, near in (("Stuttgart", NEAR_STUTTGART), ("Berlin", NEAR_BERLIN)):
+        found = similarity.word_similarity(model, word, len(near.split()))
+        assert [r.word for r in found.collect()] == near.split()

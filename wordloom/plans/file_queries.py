@@ -39,6 +39,8 @@ def query(sql: str | None = None):
 def _place(spark: SparkSession) -> str:
     """A new file in the shared folder, which must be one that tasks can open; removed at the end."""
     folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"model files need a shared folder that tasks can open by its path, not {folder}")
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, f"wordloom-model-{uuid.uuid4().hex}")
     atexit.register(shutil.rmtree, path, ignore_errors=True)

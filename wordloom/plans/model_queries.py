@@ -149,12 +149,11 @@ def normalize(spark, d):
 
 
 @query(
-    f"SELECT row_id, {MARK.format('list_transform(embedding, lambda x: x::DOUBLE * coalesce(norm, 1))')} AS mark FROM word_vectors WHERE embedding IS NOT NULL"
+    f"SELECT row_id, {MARK.format('list_transform(embedding, lambda x: (x::DOUBLE * coalesce(norm, 1))::FLOAT)').replace(', 5)', ', 3)')} AS mark FROM word_vectors WHERE embedding IS NOT NULL"
 )
 def unnormalize(spark, d):
     rows = table(spark, d, "word_vectors").where("embedding is not null")
-    scaled = v.scale(F.col("embedding"), F.coalesce("norm", F.lit(1.0)).cast("double"))
-    return rows.select("row_id", mark(scaled).alias("mark"))
+    return lookup.unnormalized(rows).select("row_id", mark(F.col("embedding"), 3).alias("mark"))
 
 
 @query("""
