@@ -134,10 +134,20 @@ def test_stretches(spark, tmp_path, monkeypatch):
     native.write_embeddings(model, path)
     with native._Reader(path) as reader:
         reader.header()
-        assert len(native._stretches(spark, path, 12 + 8 + 12 + 8, 500, 0)) > 10
+        _, end = reader.chunk()
+        begin = reader.file.tell() + 8
+        found = native._found(spark, path, begin, end, 500)
+        alone = native._stretches(spark, path, begin, 500, 0)
+        assert len(found) > 10 and found[-1][3] == alone[-1][3] == end and sum(x[1] for x in found) == 500
     assert content(native.read_embeddings(spark, path)) == content(model)
     word2vec.write_word2vec_binary(model, path)
-    assert len(files.row_slices(spark, path, 6, 500, b" ", 4)) > 10
+    size = (tmp_path / "model").stat().st_size
+    found = files.row_stretches(spark, path, 6, size, 500, files.Marked(b" ", 4))
+    assert len(found) > 10 and found[-1][3] == files.row_slices(spark, path, 6, 500, b" ", 4)[-1][3] and sum(x[1] for x in found) == 500
+    with open(path, "ab") as file:
+        file.write(b"behind 0000\n")  # rows behind the last are not read
+    assert len(word2vec.read_word2vec_binary(spark, path)) == 500
+    word2vec.write_word2vec_binary(model, path)
     assert content(word2vec.read_word2vec_binary(spark, path, normalize=False)) == content(model)
 
 
@@ -336,3 +346,21 @@ def test_toml():
     assert toml.parse(toml.dump(table)) == table
     with pytest.raises(FormatError):
         toml.parse("= 1")
+
+
+def test_rows_are_found_from_any_place(spark, tmp_path, monkeypatch):
+    """Words longer than what is looked at, words of zeros, and floats that look like the mark."""
+    from wordloom.sources import files
+
+    rng = np.random.default_rng(4)
+    words = ["w" * int(rng.choice([1, 3, 9, 700])) + str(i) + "\0" * int(rng.choice([0, 0, 5])) for i in range(400)]
+    space = float(np.frombuffer(b"    ", "<f4")[0])
+    rows = [(w, i, [space if rng.random() < 0.3 else float(np.float32(rng.normal())) for _ in range(3)], None) for i, w in enumerate(words)]
+    model = EmbeddingModel(spark.createDataFrame(rows, SCHEMA), 3)
+    path = str(tmp_path / "model")
+    monkeypatch.setattr(files, "SLICE", 900)
+    monkeypatch.setattr(files, "ENTRY", 40)
+    native.write_embeddings(model, path)
+    assert content(native.read_embeddings(spark, path)) == content(model)
+    word2vec.write_word2vec_binary(model, path)
+    assert content(word2vec.read_word2vec_binary(spark, path, normalize=False)) == content(model)

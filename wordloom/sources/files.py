@@ -62,6 +62,120 @@ def row_slices(spark: SparkSession, path: str, begin: int, count: int, mark: byt
     return [tuple(r) for r in found]
 
 
+class Marked:
+    """Rows that end ``tail`` bytes behind the first ``mark`` in them: the key of a place is the next
+    mark, and where a row ends depends on its key only."""
+
+    def __init__(self, mark: bytes, tail: int):
+        self.mark, self.tail = mark, tail
+
+    def key(self, data, place: int) -> int:
+        return data.find(self.mark, place)
+
+    def after(self, data, key: int) -> int:
+        return key + len(self.mark) + self.tail
+
+    def keys(self, data, low: int, high: int) -> Iterator[int]:
+        """All keys of places from ``low`` on that are below ``high``."""
+        key = data.find(self.mark, low)
+        while 0 <= key < high:
+            yield key
+            key = data.find(self.mark, key + 1)
+
+
+class Sized:
+    """Items with their length before them, as four little-endian bytes: the key of a place is itself."""
+
+    def key(self, data, place: int) -> int:
+        return place if place + 4 <= len(data) else -1
+
+    def after(self, data, key: int) -> int:
+        return key + 4 + int.from_bytes(data[key : key + 4], "little")
+
+    def keys(self, data, low: int, high: int) -> Iterator[int]:
+        return iter(range(low, min(high, len(data) - 3)))
+
+
+#: Bytes at the beginning of a range in which a row is expected to begin, besides a row's fixed part.
+ENTRY = 4096
+
+
+def row_stretches(spark: SparkSession, path: str, begin: int, end: int, count: int, rows: Marked | Sized) -> list[tuple[int, int, int, int]]:
+    """First row, rows, place and end of stretches of ``count`` rows that lie from ``begin`` on, before
+    ``end``, found by ranges of bytes in parallel.
+
+    A task does not know where in its range a row begins, so it follows the rows from every place near
+    the front at which one may; chains that meet go on as one.  The driver then links the ranges, from
+    a few numbers of each.  A range in which that fails, as behind a very long word, is read by a
+    task of its own from the place at which its first row is known to begin.
+    """
+    window = ENTRY + getattr(rows, "tail", 0)
+    ranges = [(low, min(low + SLICE, end)) for low in range(begin, end, SLICE)]
+
+    def follow(data, starts: list[int], high: int) -> list[tuple[int, int, int]]:
+        """Key, rows that begin before ``high``, and where the last of them ends, of chains from keys."""
+        known: dict[int, tuple[int, int]] = {}
+        for key in starts:
+            trail = []
+            while key not in known:
+                trail.append(key)
+                place = rows.after(data, key)
+                if place >= high or place > end:
+                    known[key] = (1, place if place <= end else -1)
+                    break
+                following = rows.key(data, place)
+                if following < 0 or rows.after(data, following) > end:
+                    known[key] = (1, place)
+                    break
+                key = following
+            more, last = known[trail[-1]] if trail and trail[-1] in known else known[key]
+            for k, x in enumerate(reversed([x for x in trail if x not in known]), 1):
+                known[x] = (more + k, last)
+        return [(key, *known[key]) for key in starts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, entry in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(path, "rb") as file, mapped(file) as data:
+                    if entry < 0:
+                        starts = [k for k in rows.keys(data, low, min(low + window, high)) if rows.after(data, k) <= end]
+                    else:
+                        starts = [rows.key(data, entry)]
+                    found = [(low, *x) for x in follow(data, starts, high) if x[2] >= 0]
+                columns = zip(*found) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
+
+    names = ["low", "key", "rows", "last"]
+
+    def ask(asked: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        table = spark.createDataFrame(asked, "low long, high long, entry long").repartition(len(asked), "low")
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for r in table.mapInArrow(run, "low long, key long, rows long, last long").collect():
+            out.setdefault(r.low, []).append((r.key, r.rows, r.last))
+        return {low: sorted(x) for low, x in out.items()}
+
+    told = ask([(low, high, -1) for low, high in ranges]) if len(ranges) > 1 else {}
+    out, first, place = [], 0, begin
+    for low, high in ranges:
+        if first >= count:
+            break
+        if place >= high:
+            continue
+        exact = [x for x in told.get(low, []) if x[0] >= place and (isinstance(rows, Marked) or x[0] == place)]
+        if not exact or place < low:
+            exact = ask([(low, high, place)]).get(low, [])
+        if not exact:
+            raise ReadError("the file ends within a row")
+        _, number, last = exact[0]
+        if first + number > count or last < 0:
+            raise ReadError("the file has not the rows it should have")
+        out.append((first, number, place, last))
+        first, place = first + number, last
+    if first < count:
+        raise ReadError("the file ends within a row")
+    return out or [(0, 0, begin, begin)]
+
+
 def matrix_rows(spark: SparkSession, path: str, offset: int, rows: int, dims: int, first: int = 0) -> DataFrame:
     """idx (from ``first``), embedding of a little-endian FLOAT matrix, a range of rows a task."""
     width = 4 * dims

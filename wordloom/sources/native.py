@@ -1,8 +1,9 @@
 """The native container: a header and chunks for metadata, vocabulary, matrix and norms.
 
 Only the heads of chunks are read on the driver; words, matrices, codes and norms are read by
-tasks, and written by tasks at their places.  Where stretches of words begin is found by one task,
-which hops from length to length.
+tasks, and written by tasks at their places.  Where stretches of words begin is found by ranges of
+bytes in parallel; of explicit vocabularies, whose words end at no known place, by one task, which
+hops from length to length.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from wordloom.functions.indexers import ExplicitIndexer, FastTextIndexer, Floret
 from wordloom.model import EmbeddingModel, Subwords, refuse_repeats
 from wordloom.operators import quantize as pq
 from wordloom.sources import toml
-from wordloom.sources.files import SLICE, OrderedFile, code_rows, exactly, float_bytes, mapped, matrix_rows
+from wordloom.sources.files import SLICE, OrderedFile, Sized, code_rows, exactly, float_bytes, mapped, matrix_rows, row_stretches
 
 # The mark, the version, and the numbers of chunks and of types.
 MARK, VERSION = b"FiFu", 0
@@ -188,6 +189,14 @@ def _stretches(spark: SparkSession, path: str, offset: int, count: int, tail: in
     return [tuple(r) for r in rows]
 
 
+def _found(spark: SparkSession, path: str, begin: int, end: int, count: int) -> list[tuple[int, int, int, int]]:
+    """_stretches() of items that fill the bytes up to ``end``, found in parallel."""
+    try:
+        return row_stretches(spark, path, begin, end, count, Sized())
+    except ReadError:  # told exactly, or not at fault, if they are read one after the other
+        return _stretches(spark, path, begin, count, 0)
+
+
 def _items(spark: SparkSession, path: str, stretches: list[tuple[int, int, int, int]], numbered: bool) -> DataFrame:
     """pos, item and, if ``numbered``, number: texts with their lengths before them, a stretch a task."""
 
@@ -238,7 +247,7 @@ def _vocabulary(spark: SparkSession, reader: _Reader) -> tuple[int, DataFrame, S
         count, min_n, max_n, buckets = reader.numbers("QIII")
         subwords = Subwords(HashIndexer(buckets) if chunk == BUCKET else FastTextIndexer(buckets), min_n, max_n)
     begin = reader.file.tell()
-    stretches = _stretches(spark, reader.path, begin, count, 0)
+    stretches = _stretches(spark, reader.path, begin, count, 0) if chunk == EXPLICIT else _found(spark, reader.path, begin, end, count)
     words = _items(spark, reader.path, stretches, False).select(F.col("item").alias("word"), F.col("pos").alias("of"))
     if chunk == EXPLICIT:
         # The n-grams begin after the words.

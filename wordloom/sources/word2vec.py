@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.errors import FormatError
+from wordloom.errors import FormatError, ReadError
 from wordloom.model import EmbeddingModel
 from wordloom.operators.line_parser import WHITE_SPACE
-from wordloom.sources.files import OrderedFile, first_line, float_bytes, mapped, row_slices
+from wordloom.sources.files import Marked, OrderedFile, first_line, float_bytes, mapped, row_slices, row_stretches
 from wordloom.sources.text import WORDS, finished, written_words
 
 
@@ -24,7 +25,10 @@ def read_word2vec_binary(spark: SparkSession, path: str, lossy: bool = False, no
         count, dims = (int(x) for x in head.split(b" "))
     except ValueError as error:
         raise FormatError("the first line has not two numbers") from error
-    slices = row_slices(spark, path, len(head), count, b" ", 4 * dims)
+    try:
+        slices = row_stretches(spark, path, len(head), os.path.getsize(path), count, Marked(b" ", 4 * dims))
+    except ReadError:  # told exactly, or not at fault, as rows behind the last, if rows are read one after the other
+        slices = row_slices(spark, path, len(head), count, b" ", 4 * dims)
     width = 4 * dims
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
